@@ -9,8 +9,9 @@ from assetloom.session import cut
 
 
 def _least(pairs: DataFrame) -> DataFrame:
-    """`pairs(u, v)` with the least of u and its v's as `m`: an aggregate and a join, so a hub's rows can be split."""
-    return pairs.join(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "u")
+    """`pairs(u, v)` with the least of u and its v's as `m`. The aggregate is cut first, so that the join may split a hub's rows."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return pairs.join(cut(least), "u")
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
