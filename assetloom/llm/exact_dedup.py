@@ -27,8 +27,9 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", head_ch
     """
     rows = docs.select(F.col(id).alias("doc_id"), F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE, " ").alias("t"))
     brief = cut(rows.select("doc_id", F.length("t").alias("size"), F.xxhash64(F.substring("t", 1, head_chars)).alias("head")))
-    sizes = brief.groupBy("size").count().where("count > 1")
-    heads = brief.join(sizes, "size", "left_semi").groupBy("size", "head").count().where("count > 1")
+    # counts are cut before they are joined back, so that Spark may split a hot key's rows in the join
+    sizes = cut(brief.groupBy("size").count().where("count > 1"))
+    heads = cut(brief.join(sizes, "size", "left_semi").groupBy("size", "head").count().where("count > 1"))
     open_ids = brief.join(heads, ["size", "head"], "left_semi").select(F.col("doc_id").alias("open_id"), F.lit(True).alias("open")).distinct()
 
     whole = F.sha2(F.encode("t", "UTF-8"), 256)
@@ -39,7 +40,7 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", head_ch
         *([whole.alias("text_sha256")] if digest else []),
     )
     hashed = cut(hashed)
-    groups = hashed.where("full is not null").groupBy("size", "full").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    groups = cut(hashed.where("full is not null").groupBy("size", "full").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"))
     return hashed.join(groups, ["size", "full"], "left").select(
         "doc_id",
         F.coalesce("keep_id", "doc_id").alias("keep_id"),

@@ -38,7 +38,7 @@ def drop_boilerplate(pages: DataFrame, id: str = "page_id", url: str = "url", ht
     """
     rows = pages.select(F.col(id).alias("page_id"), host_of(F.col(url)).alias("host"), (html_lines(F.col(html)) if lines is None else lines).alias("lines"))
     keyed = cut(rows.select("page_id", "host", F.transform(F.array_distinct("lines"), lambda x: F.unhex(F.md5(x))).alias("keys")))
-    totals = keyed.groupBy("host").agg(F.count("*").alias("pages"))
+    totals = cut(keyed.groupBy("host").agg(F.count("*").alias("pages")))
     each = keyed.select("page_id", "host", F.explode("keys").alias("key"))
     counts = each.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
     common = cut(counts.join(totals, "host").where(F.col("n") > most * F.col("pages")).select("host", "key"))

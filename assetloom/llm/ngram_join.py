@@ -227,13 +227,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id: s
 
     sets = cut(rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node")))
     meet = cut(_prefixes(docs, words, percent, common))
-    shared = meet.groupBy("token").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("token")
+    # aggregates are cut before they are joined back, so that Spark may split a hot key's rows in the join
+    shared = cut(meet.groupBy("token").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("token"))
     klass = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * 1.001)).cast("int") if percent < 100 else F.col("n").cast("int")
     met = meet.join(shared, "token", "left_semi").distinct().join(sets.where("node is not null"), "k1").select("token", "node", "n", F.explode(F.array(klass, klass - 1)).alias("klass"))
     met = cut(met)
-    hubs = met.groupBy("token", "klass").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("token", "klass", "hub")
+    hubs = cut(met.groupBy("token", "klass").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("token", "klass", "hub"))
     members = cut(met.join(hubs, ["token", "klass"]).select("hub", "klass", "node", "n").distinct())
-    dealt = members.groupBy("hub", "klass").agg(F.greatest(F.ceil(F.sum("n") / GROUP_TOKENS), F.ceil(F.count("*") / GROUP_SETS)).cast("long").alias("blocks"))
+    dealt = cut(members.groupBy("hub", "klass").agg(F.greatest(F.ceil(F.sum("n") / GROUP_TOKENS), F.ceil(F.count("*") / GROUP_SETS)).cast("long").alias("blocks")))
     own_block = F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blocks"))))
     tasks = members.join(dealt, ["hub", "klass"]).select("hub", "klass", F.explode(own_block).alias("block"), "node", F.col("node").alias("part"))
     found = cut(_groups(docs, tasks, words, percent).distinct())
