@@ -3,8 +3,9 @@
 Sets that are equal enter once. A pair that reaches the threshold shares a token among the first few of both sets in any
 fixed token order (prefix filter), so sets meet in groups: all sets that share such a token, and are of fitting size, meet
 under the least of them, their hub. In each group a signature tree holds OR-combined token bitmaps and size ranges; a
-traversal of the tree against itself prunes node pairs whose largest possible overlap is too small, and pairs that reach
-the leaves are compared exactly.
+traversal of the tree against itself prunes node pairs whose largest possible overlap is too small. That is done twice:
+over bitmaps alone, so that sets without a possible partner never travel, then over the sets that are left, where pairs
+that reach the leaves are compared exactly.
 """
 
 from __future__ import annotations
@@ -61,16 +62,28 @@ def set_keys(tokens: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out[0], out[1]
 
 
+def bitmaps(tokens: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """A bitmap of each set's tokens, of a power of two of bits, two for each token at least. The upper half folds onto the lower."""
+    size = np.diff(edges)
+    bits = 1 << np.ceil(np.log2(np.clip(2 * size, 64, 1 << 16))).astype(np.int64)
+    first = np.cumsum(bits // 64) - bits // 64
+    own = np.repeat(np.arange(len(size)), size)
+    bit = ((tokens >> np.uint64(20)) & (bits[own] - 1).astype(np.uint64)).astype(np.int64)
+    out = np.zeros(int((bits // 64).sum()), np.uint64)
+    np.bitwise_or.at(out, first[own] + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return [out[a : a + n].tobytes() for a, n in zip(first.tolist(), (bits // 64).tolist(), strict=True)]
+
+
+def folded(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of one matrix, of the width of the narrowest."""
+    width = min(len(m) for m in maps) // 8
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(m, np.uint64).reshape(-1, width), 0) for m in maps])
+
+
 class SignatureTree:
     """Levels of nodes over sets, leaves first: OR of the bitmaps, least and largest size, and the most tokens that share a bit."""
 
-    def __init__(self, tokens: list[np.ndarray]):
-        size = np.array([len(t) for t in tokens])
-        bits = int(min(8192, max(256, 1 << math.ceil(math.log2(2 * np.median(size) + 1)))))
-        map_ = np.zeros((len(tokens), bits // 64), np.uint64)
-        own, all_tokens = np.repeat(np.arange(len(tokens)), size), np.concatenate(tokens)
-        bit = (all_tokens >> np.uint64(20)) % np.uint64(bits)
-        np.bitwise_or.at(map_, (own, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    def __init__(self, map_: np.ndarray, size: np.ndarray):
         self.levels = [(map_, size, size, size - np.bitwise_count(map_).sum(1))]
         while len(self.levels[-1][1]) > 1:
             m, lo, hi, slack = self.levels[-1]
@@ -107,13 +120,31 @@ class SignatureTree:
                 todo.append((level - 1, cx[keep], cy[keep]))
 
 
+def may_connect(maps: list[bytes], size: np.ndarray, percent: int) -> np.ndarray:
+    """A label for each set: sets that chains of pairs within the bounds connect have one label."""
+    m = folded(maps)
+    order = np.lexsort((size, m[:, 0]))
+    label = np.arange(len(size))
+    for x, y in SignatureTree(m[order], size[order]).pairs(percent):
+        while len(x):
+            keep = label[x] != label[y]
+            x, y = x[keep], y[keep]
+            if len(x):
+                label[label == label[y[0]]] = label[x[0]]
+    out = np.empty(len(size), np.int64)
+    out[order] = label
+    return out
+
+
 def links(node: np.ndarray, tokens: list[np.ndarray], percent: int, part: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that join all sets of this group that are connected within it; sets of the same `part` count as joined already."""
-    order = np.lexsort((np.array([len(t) for t in tokens]), np.array([t[0] for t in tokens])))
-    node, tokens = node[order], [tokens[i] for i in order]
+    size = np.array([len(t) for t in tokens])
+    order = np.lexsort((size, np.array([t[0] for t in tokens])))
+    node, tokens, size = node[order], [tokens[i] for i in order], size[order]
     label = np.unique(part[order], return_inverse=True)[1] if part is not None else np.arange(len(node))
     out = []
-    for x, y in SignatureTree(tokens).pairs(percent):
+    maps = folded(bitmaps(np.concatenate(tokens), np.concatenate([[0], np.cumsum(size)])))
+    for x, y in SignatureTree(maps, size).pairs(percent):
         while len(x):
             keep = label[x] != label[y]
             x, y = x[keep], y[keep]
@@ -131,7 +162,7 @@ def links(node: np.ndarray, tokens: list[np.ndarray], percent: int, part: np.nda
 
 
 def _scan(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of two kinds: `(doc_id, n, k1, k2)` of each text, and `(token in k1, n)` of tokens that are common in a block of texts."""
+    """Rows of two kinds: `(doc_id, n, k1, k2, map)` of each text, and `(token in k1, n)` of tokens that are common in a block of texts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,9 +177,10 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
                 t, n = t[n >= 4], n[n >= 4]
                 ids = pa.concat_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.nulls(len(t), batch.column("doc_id").type)])
                 cols = [np.concatenate(x) for x in ((size, n), (k1, t.view(np.int64)), (k2, np.zeros(len(t), np.int64)), (np.zeros(len(size), bool), np.ones(len(t), bool)))]
-                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, cols)], ["doc_id", "n", "k1", "k2", "common"])
+                maps = pa.array(bitmaps(tokens, edges) + [None] * len(t), pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, cols), maps], ["doc_id", "n", "k1", "k2", "common", "map"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, common boolean")
+    return docs.mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, common boolean, map binary")
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame:
@@ -173,6 +205,34 @@ def _prefixes(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> Data
     return docs.mapInArrow(run, "token long, k1 long")
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """How many tasks share each group."""
+    return cut(members.groupBy("hub", "klass").agg(F.greatest(F.ceil(F.sum("n") / GROUP_TOKENS), F.ceil(F.count("*") / GROUP_SETS)).cast("long").alias("blocks")))
+
+
+def _refined(members: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """Groups without the sets that the trees of bitmaps rule out, taken apart where no pair within the bounds connects
+    the parts; a part is named by its least set, so equal parts of several groups become one. Groups of more than one
+    task stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in tx.sorted_groups(batches, ["hub", "klass"]):
+            if g.num_rows < 2:
+                continue
+            node, n = g.column("node").to_numpy(), g.column("n").to_numpy()
+            label, count = np.unique(may_connect(g.column("map").to_pylist(), n, percent), return_inverse=True, return_counts=True)[1:]
+            least = np.full(len(count), np.iinfo(np.int64).max)
+            np.minimum.at(least, label, node)
+            keep = count[label] > 1
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(least[label][keep]), pa.array(g.column("klass").to_numpy()[keep]), pa.array(node[keep]), pa.array(n[keep])], ["hub", "klass", "node", "n"])
+
+    dealt = _blocks(members)
+    small = members.join(dealt.where("blocks = 1").select("hub", "klass"), ["hub", "klass"]).join(maps, "node")
+    parts = small.select("hub", "klass", "node", "n", "map").repartition("hub", "klass").sortWithinPartitions("hub", "klass").mapInArrow(run, "hub long, klass int, node long, n long")
+    return cut(parts.unionByName(members.join(dealt.where("blocks > 1").select("hub", "klass"), ["hub", "klass"])).distinct())
+
+
 def _groups(docs: DataFrame, tasks: DataFrame, k: int, percent: int) -> DataFrame:
     """Links `(src, dst)` within each task. `tasks`: (hub, klass, block, node, part), one row for each set and task."""
     lists = tasks.groupBy("node").agg(F.collect_set(F.struct("hub", "klass", "block", "part")).alias("tasks"))
@@ -221,7 +281,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id: s
     ready(spark)
     docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     scan = cut(_scan(docs, words))
-    rows = scan.where("not common").select("doc_id", "n", "k1", "k2")
+    rows = scan.where("not common").select("doc_id", "n", "k1", "k2", "map")
     hot = scan.where("common").groupBy("k1").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_FROM).orderBy(F.desc("n"), "k1").limit(COMMON).select("k1")
     common = np.sort(hot.toArrow().column("k1").to_numpy().view(np.uint64))
 
@@ -234,7 +294,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id: s
     met = cut(met)
     hubs = cut(met.groupBy("token", "klass").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("token", "klass", "hub"))
     members = cut(met.join(hubs, ["token", "klass"]).select("hub", "klass", "node", "n").distinct())
-    dealt = cut(members.groupBy("hub", "klass").agg(F.greatest(F.ceil(F.sum("n") / GROUP_TOKENS), F.ceil(F.count("*") / GROUP_SETS)).cast("long").alias("blocks")))
+    members = _refined(members, rows.where("n > 0").select(F.col("doc_id").alias("node"), "map"), percent)
+    dealt = _blocks(members)
     own_block = F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blocks"))))
     tasks = members.join(dealt, ["hub", "klass"]).select("hub", "klass", F.explode(own_block).alias("block"), "node", F.col("node").alias("part"))
     found = cut(_groups(docs, tasks, words, percent).distinct())
@@ -243,7 +304,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id: s
         found = found.unionByName(_across_blocks(docs, members, large, found, words, percent))
     parts = connected_components(found)
     named = sets.join(parts, sets["node"] == parts["node"], "left").select("k1", "k2", "n", F.coalesce("component", sets["node"]).alias("component"))
-    return rows.join(named, ["k1", "k2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return rows.drop("map").join(named, ["k1", "k2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def _across_blocks(docs: DataFrame, members: DataFrame, large: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:

@@ -98,7 +98,9 @@ def test_signature_tree_rules_out_no_link():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 1 << 63, 60).astype(np.uint64)) for _ in range(120)]
     sets += [np.unique(np.concatenate([s[: len(s) - int(rng.integers(0, 9))], rng.integers(0, 1 << 63, int(rng.integers(0, 5))).astype(np.uint64)])) for s in sets]
-    seen = {(int(i), int(j)) for x, y in ngram_join.SignatureTree(sets).pairs(80) for i, j in zip(x, y)}
+    size = np.array([len(s) for s in sets])
+    maps = ngram_join.folded(ngram_join.bitmaps(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)])))
+    seen = {(int(i), int(j)) for x, y in ngram_join.SignatureTree(maps, size).pairs(80) for i, j in zip(x, y)}
     want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 180 * len(np.intersect1d(sets[i], sets[j])) >= 80 * (len(sets[i]) + len(sets[j]))}
     assert want <= seen
     assert len(seen) < len(sets) ** 2 / 8
