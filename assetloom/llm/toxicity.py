@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from assetloom.llm import text as tx
 from assetloom.llm.labelled import held_out, training_rows
-from assetloom.session import ready
+from assetloom.session import cut, ready
 
 #: Lengths in bytes of the n-grams, and bits of their hash.
 SIZES, BITS = (4, 5, 6), 20
@@ -59,45 +59,50 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, prior: float, alpha: float = 1.0, least_docs: int = 4, keep: int = 4096, l2: float = 1e-2, rounds: int = 200) -> Model:
-    """Log-count ratios, the `keep` most telling features by them, then logistic regression on the scaled features.
+def train(doc: np.ndarray, col: np.ndarray, y: np.ndarray, ratio: np.ndarray, prior: float, l2: float = 1e-2, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """Logistic regression on features scaled by their log-count `ratio`; (doc, col) are the features present.
 
-    `prior` is the share of label 1 among all labelled rows; sampled rows are weighted to it.
+    `prior` is the share of label 1 among all labelled rows; sampled rows are weighted to it. Steps have a rate for
+    each weight (Duchi et al., JMLR 2011). Returns weights of the unscaled features, and the bias.
     """
-    if not len(y) or y.min() == y.max():
-        return Model(np.zeros(0, np.int64), np.zeros(0), 4.0 if len(y) and y[0] else -4.0)
-    size = 1 << BITS
-    n1, n0 = float(y.sum()), float((1 - y).sum())
-    c1, c0 = (np.bincount(feature[y[doc] == v], minlength=size) for v in (1, 0))
-    p1, p0 = (c1 + alpha) / (n1 + 2 * alpha), (c0 + alpha) / (n0 + 2 * alpha)
-    ratio = np.log(p1 / p0) - np.log((1 - np.minimum(p1, 0.999)) / (1 - np.minimum(p0, 0.999)))
-    spread = np.sqrt(1 / (c1 + alpha) + 1 / (c0 + alpha))
-    telling = np.where(c1 + c0 >= least_docs, np.abs(ratio) / spread, 0)
-    chosen = np.sort(np.argsort(-telling, kind="stable")[:keep])
-    chosen = chosen[telling[chosen] > 0]
-    place = np.full(size, -1)
-    place[chosen] = np.arange(len(chosen))
-    col = place[feature]
-    doc, col = doc[col >= 0], col[col >= 0]
-    scaled = np.clip(ratio[chosen], -6, 6)
-    value = scaled[col]
-    weight = np.where(y == 1, prior / n1, (1 - prior) / n0)
-    w, b = np.zeros(len(chosen)), float(np.log(prior / (1 - prior)))
-    gw, gb = np.full(len(chosen), 1e-8), 1e-8
-    for step in range(rounds):  # gradient steps with a rate for each weight (Duchi et al., JMLR 2011)
+    value = ratio[col]
+    weight = np.where(y == 1, prior / max(y.sum(), 1), (1 - prior) / max((1 - y).sum(), 1))
+    w, b = np.zeros(len(ratio)), float(np.log(prior / (1 - prior)))
+    gw, gb = np.full(len(ratio), 1e-8), 1e-8
+    for _ in range(rounds):
         z = b + np.bincount(doc, w[col] * value, len(y))
         e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight
-        g = np.bincount(col, e[doc] * value, len(chosen)) + l2 * w / len(chosen)
+        g = np.bincount(col, e[doc] * value, len(ratio)) + l2 * w / max(len(ratio), 1)
         gw, gb = gw + g * g, gb + e.sum() ** 2
         w, b = w - 0.1 * g / np.sqrt(gw), b - 0.1 * e.sum() / np.sqrt(gb)
-    return Model(chosen, w * scaled, float(b))
+    return w * ratio, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 3000) -> Model:
+def telling_features(sample: DataFrame, n1: int, n0: int, alpha: float, least_docs: int, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """(features, log-count ratios) of the `keep` features whose ratio is largest against its spread. Spark counts documents of each class for each feature."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, at in tx.text_blocks(batch):
+                doc, feature = present(data, at)
+                key, n = np.unique(feature << 1 | batch.column("y").slice(lo, hi - lo).to_numpy()[doc], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key >> 1), pa.array(key & 1), pa.array(n)], ["feature", "y", "n"])
+
+    counts = sample.mapInArrow(run, "feature long, y long, n long").groupBy("feature").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("c1"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c0"))
+    p1, p0 = (F.col("c1") + alpha) / (n1 + 2 * alpha), (F.col("c0") + alpha) / (n0 + 2 * alpha)
+    ratio = F.log(p1 / p0) - F.log((1 - F.least(p1, F.lit(0.999))) / (1 - F.least(p0, F.lit(0.999))))
+    spread = F.sqrt(1 / (F.col("c1") + alpha) + 1 / (F.col("c0") + alpha))
+    rated = counts.where(F.col("c1") + F.col("c0") >= least_docs).select("feature", F.greatest(F.lit(-6.0), F.least(F.lit(6.0), ratio)).alias("ratio"), (F.abs(ratio) / spread).alias("telling"))
+    rows = rated.where("ratio <> 0").orderBy(F.desc("telling"), "feature").limit(keep).collect()
+    rows.sort(key=lambda r: r["feature"])
+    return np.array([r["feature"] for r in rows], np.int64), np.array([r["ratio"] for r in rows], float)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 3000, alpha: float = 1.0, least_docs: int = 4, keep: int = 4096) -> Model:
     """Fit on a bounded sample: at most `most` labelled rows of each class, in the order of a hash of their id.
 
-    The bound is the parameter; the sample's ids are broadcast to the scan, so no text is shuffled, and its distinct
-    hashed n-grams reach the driver. Class shares are counted over all labelled rows that are not held out.
+    The bound is the parameter; the sample's ids are broadcast to the scan, so no text is shuffled. Spark counts the
+    sample's n-grams and picks the `keep` most telling; which of those each sampled text has is what reaches the
+    driver. Class shares are counted over all labelled rows that are not held out.
     """
     ready(docs.sparkSession)
     rows = training_rows(labels, label)
@@ -105,22 +110,29 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     pick = [rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
     pick = F.broadcast(pick[0].unionByName(pick[1]))
     texts = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null").join(pick, "doc_id").select("y", "text")
+    sample = cut(texts)
+    have = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    if len(have) < 2:
+        return Model(np.zeros(0, np.int64), np.zeros(0), 4.0 if 1 in have else -4.0)
+    chosen, ratio = telling_features(sample, have[1], have[0], alpha, least_docs, keep)
+    wanted = np.zeros(1 << BITS, bool)
+    wanted[chosen] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, at in tx.text_blocks(batch):
-                doc, feature = present(data, at)
+                doc, feature = present(data, at, wanted)
                 edges = np.searchsorted(doc, np.arange(hi - lo + 1))
-                feature = feature.astype("<i4").tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column("y").slice(lo, hi - lo), pa.array([feature[4 * a : 4 * b] for a, b in zip(edges, edges[1:], strict=False)], pa.binary())], ["y", "f"])
+                packed = np.searchsorted(chosen, feature).astype("<u2").tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column("y").slice(lo, hi - lo), pa.array([packed[2 * a : 2 * b] for a, b in zip(edges, edges[1:], strict=False)], pa.binary())], ["y", "f"])
 
-    got = texts.mapInArrow(run, "y int, f binary").toArrow()
+    got = sample.mapInArrow(run, "y int, f binary").toArrow()
     y = got.column("y").to_numpy().astype(np.int64)
-    parts = [np.frombuffer(f, "<i4") for f in got.column("f").to_pylist()]
+    parts = [np.frombuffer(f, "<u2") for f in got.column("f").to_pylist()]
     doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    feature = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
-    both = n.get(0, 0) + n.get(1, 0)
-    return train(doc, feature, y, min(max(n.get(1, 0) / max(both, 1), 1e-3), 1 - 1e-3))
+    prior = min(max(n[1] / (n[0] + n[1]), 1e-3), 1 - 1e-3)
+    weights, bias = train(doc, np.concatenate(parts).astype(np.int64), y, ratio, prior)
+    return Model(chosen, weights, bias)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.5, most: int = 3000) -> DataFrame:
