@@ -167,7 +167,7 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, at in tx.text_blocks(batch):
+            for lo, hi, data, at in tx.text_blocks(batch, most=2 << 20):
                 tokens, edges = shingle_sets(data, at, k)
                 k1, k2 = set_keys(tokens, edges)
                 size = np.diff(edges)

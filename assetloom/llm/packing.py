@@ -29,7 +29,7 @@ from assetloom.session import cut, ready
 assert array("I").itemsize == 4 and sys.byteorder == "little"
 
 #: Words whose ids a Python worker keeps; words met later are encoded each time.
-CACHE = 1_000_000
+CACHE = 250_000
 _TOKENIZERS: dict = {}
 #: Lower-case words that the vocabulary's normaliser leaves alone and its pre-tokenizer takes whole: a-z, and precomposed Latin letters from U+00E0.
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+").fullmatch

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes that a kernel works on at once; one longer text is still taken whole.
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -49,10 +49,10 @@ def blocks(at: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def text_blocks(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(batch: pa.RecordBatch, text: str = "text", most: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, end, bytes, starts) of the blocks of a batch."""
     data, at = raw(batch.column(text))
-    for lo, hi in blocks(at):
+    for lo, hi in blocks(at, most):
         yield lo, hi, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
 
 
