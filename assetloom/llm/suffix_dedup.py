@@ -276,12 +276,13 @@ def repeated_spans(docs: DataFrame, length: int = 200, shard_bytes: int = SHARD)
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (start, count, anchor, whole))], ["doc_id", "start", "places", "anchor", "whole"])
 
     rows = cut(docs.mapInArrow(scan, f"doc_id {kind}, start long, places long, anchor long, whole long"))
-    again = rows.groupBy("anchor").count().where("count > 1").select("anchor")
+    # what is joined by anchor is cut first: a join whose sides both come straight from an exchange can split a hot anchor
+    again = cut(rows.groupBy("anchor").count().where("count > 1").select("anchor"))
     rows = cut(rows.join(again, "anchor", "left_semi"))
     same = cut(rows.groupBy("anchor", "whole").agg(F.count("*").alias("copies"), F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.first("places").alias("places")))
     whole_spans = rows.join(same.where("copies > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi").select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("places") - 1 + length).alias("hi"))
 
-    unclear = same.groupBy("anchor").agg(F.count("*").alias("kinds"), F.count_if(F.col("copies") == 1).alias("singles"), F.sum(F.col("places") + length).alias("bytes")).where("kinds > 1 and singles > 0")
+    unclear = cut(same.groupBy("anchor").agg(F.count("*").alias("kinds"), F.count_if(F.col("copies") == 1).alias("singles"), F.sum(F.col("places") + length).alias("bytes")).where("kinds > 1 and singles > 0"))
     parts = F.ceil(F.col("bytes") / shard_bytes)
     dealt = same.join(unclear, "anchor").select("doc_id", F.struct("anchor", F.pmod(F.xxhash64("whole"), parts).alias("part"), (parts > 1).alias("spread"), (F.col("copies") == 1).alias("single"), "start", "places").alias("s"))
     texts = docs.join(dealt.groupBy("doc_id").agg(F.collect_list("s").alias("s")), "doc_id")
