@@ -15,7 +15,7 @@ from assetloom.llm.labelled import held_out, training_rows
 from assetloom.session import cut, ready
 
 #: Lengths in bytes of the n-grams, and bits of their hash.
-SIZES, BITS = (4, 5, 6), 20
+SIZES, BITS = (4, 5, 6, 7, 8), 22
 _MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -53,17 +53,18 @@ class Model:
         out[self.features] = self.weights
         return out
 
-    def scores(self, data: np.ndarray, at: np.ndarray, table: np.ndarray) -> np.ndarray:
-        doc, feature = present(data, at, table != 0)
+    def scores(self, data: np.ndarray, at: np.ndarray, table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        doc, feature = present(data, at, wanted)
         z = self.bias + np.bincount(doc, table[feature], len(at) - 1)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train(doc: np.ndarray, col: np.ndarray, y: np.ndarray, ratio: np.ndarray, prior: float, l2: float = 1e-2, rounds: int = 200) -> tuple[np.ndarray, float]:
+def train(doc: np.ndarray, col: np.ndarray, y: np.ndarray, ratio: np.ndarray, prior: float, l2: float = 1e-3, rounds: int = 200) -> tuple[np.ndarray, float]:
     """Logistic regression on features scaled by their log-count `ratio`; (doc, col) are the features present.
 
-    `prior` is the share of label 1 among all labelled rows; sampled rows are weighted to it. Steps have a rate for
-    each weight (Duchi et al., JMLR 2011). Returns weights of the unscaled features, and the bias.
+    `prior` is the share that label 1 counts for; sampled rows are weighted to it. `l2` weighs the squared weights
+    against the mean loss. Steps have a rate for each weight (Duchi et al., JMLR 2011). Returns weights of the unscaled
+    features, and the bias.
     """
     value = ratio[col]
     weight = np.where(y == 1, prior / max(y.sum(), 1), (1 - prior) / max((1 - y).sum(), 1))
@@ -72,7 +73,7 @@ def train(doc: np.ndarray, col: np.ndarray, y: np.ndarray, ratio: np.ndarray, pr
     for _ in range(rounds):
         z = b + np.bincount(doc, w[col] * value, len(y))
         e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight
-        g = np.bincount(col, e[doc] * value, len(ratio)) + l2 * w / max(len(ratio), 1)
+        g = np.bincount(col, e[doc] * value, len(ratio)) + l2 * w
         gw, gb = gw + g * g, gb + e.sum() ** 2
         w, b = w - 0.1 * g / np.sqrt(gw), b - 0.1 * e.sum() / np.sqrt(gb)
     return w * ratio, float(b)
@@ -97,12 +98,13 @@ def telling_features(sample: DataFrame, n1: int, n0: int, alpha: float, least_do
     return np.array([r["feature"] for r in rows], np.int64), np.array([r["ratio"] for r in rows], float)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 3000, alpha: float = 1.0, least_docs: int = 4, keep: int = 4096) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 3000, alpha: float = 1.0, least_docs: int = 4, keep: int = 4096, least_share: float = 0.25) -> Model:
     """Fit on a bounded sample: at most `most` labelled rows of each class, in the order of a hash of their id.
 
     The bound is the parameter; the sample's ids are broadcast to the scan, so no text is shuffled. Spark counts the
     sample's n-grams and picks the `keep` most telling; which of those each sampled text has is what reaches the
-    driver. Class shares are counted over all labelled rows that are not held out.
+    driver. Class shares are counted over all labelled rows that are not held out; a rare label 1 still counts for
+    `least_share` of the loss.
     """
     ready(docs.sparkSession)
     rows = training_rows(labels, label)
@@ -115,10 +117,10 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     if len(have) < 2:
         return Model(np.zeros(0, np.int64), np.zeros(0), 4.0 if 1 in have else -4.0)
     chosen, ratio = telling_features(sample, have[1], have[0], alpha, least_docs, keep)
-    wanted = np.zeros(1 << BITS, bool)
-    wanted[chosen] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.zeros(1 << BITS, bool)
+        wanted[chosen] = True
         for batch in batches:
             for lo, hi, data, at in tx.text_blocks(batch):
                 doc, feature = present(data, at, wanted)
@@ -130,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     y = got.column("y").to_numpy().astype(np.int64)
     parts = [np.frombuffer(f, "<u2") for f in got.column("f").to_pylist()]
     doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    prior = min(max(n[1] / (n[0] + n[1]), 1e-3), 1 - 1e-3)
+    prior = min(max(n[1] / (n[0] + n[1]), least_share), 1 - 1e-3)
     weights, bias = train(doc, np.concatenate(parts).astype(np.int64), y, ratio, prior)
     return Model(chosen, weights, bias)
 
@@ -147,9 +149,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
+        wanted = table != 0
         for batch in batches:
             for lo, hi, data, at in tx.text_blocks(batch):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(model.scores(data, at, table))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(model.scores(data, at, table, wanted))], ["doc_id", "score"])
 
     scored = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
