@@ -312,7 +312,7 @@ def uncertain_groups(s, d):
 
 @query("SELECT group_id, path, round(comp_score, 4) AS comp_score FROM judged WHERE group_id < 50", "judged")
 def group_members(s, d):
-    return judged(s, d).where("group_id < 50").orderBy("group_id", F.desc("comp_score")).select("group_id", "path", r6(F.col("comp_score"), "comp_score", 4))
+    return judged(s, d).orderBy("group_id", F.desc("comp_score")).select("group_id", "path", r6(F.col("comp_score"), "comp_score", 4))
 
 
 # views and rollups

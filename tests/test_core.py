@@ -143,3 +143,12 @@ def test_ingest_stream_resumes_and_merges(spark, tmp_path):
 def test_copy_plan_never_overwrites(spark):
     out = views.copy_plan(spark.createDataFrame([("/a/x.jpg", "x.jpg"), ("/b/x.jpg", "x.jpg"), ("/c/y", "y")], "path string, fname string")).collect()
     assert len({r["dst"] for r in out}) == 3
+
+
+def test_group_members_are_those_of_all_groups(spark):
+    import __spark_entry__ as e
+
+    sf = "/root/testdata/sf0.001"
+    got = [(r["group_id"], r["path"]) for r in e.queries()["group_members"](spark, sf).collect()]
+    assert max(g for g, _ in got) >= 50
+    assert sorted(got) == sorted((r["group_id"], r["path"]) for r in e.queries()["group_ids"](spark, sf).collect())
