@@ -25,11 +25,12 @@ def html_lines(html: Column) -> Column:
     return F.filter(F.transform(F.split(flat, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def drop_boilerplate(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", most: float = 0.1, least_pages: int = 5, lines: Column | None = None) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", most: float = 0.1, lines: Column | None = None) -> DataFrame:
     """Per page: `page_id`, `host`, `n_lines`, `n_dropped`, `text` (the lines that stay, joined by line feeds).
 
-    A line is dropped from a host's pages if at least `least_pages` of them hold it and they are more than `most` of
-    the host's pages. A page counts a line once. `lines` may give the lines of plain text instead of HTML.
+    A line is dropped from a host's pages if the pages that hold it are more than `most` of the host's pages and it
+    repeats at all: what one page alone holds is no boilerplate, however few pages the host has. A page counts a line
+    once. `lines` may give the lines of plain text instead of HTML.
 
     Lines are counted by an md5 of the line, partially in each task, so one host or line with a third of all rows
     moves one row from each task. Only a page's boilerplate hashes travel to the page. Null pages have no lines; null
@@ -40,7 +41,7 @@ def drop_boilerplate(pages: DataFrame, id: str = "page_id", url: str = "url", ht
     keyed = cut(rows.select("page_id", "host", F.transform(F.array_distinct("lines"), lambda x: F.unhex(F.md5(x))).alias("keys")))
     totals = cut(keyed.groupBy("host").agg(F.count("*").alias("pages")))
     each = keyed.select("page_id", "host", F.explode("keys").alias("key"))
-    counts = each.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    counts = each.groupBy("host", "key").agg(F.count("*").alias("n")).where("n > 1")
     common = cut(counts.join(totals, "host").where(F.col("n") > most * F.col("pages")).select("host", "key"))
     marked = each.join(common, ["host", "key"]).select("page_id", "key").distinct().groupBy("page_id").agg(F.collect_list("key").alias("drop")).withColumnRenamed("page_id", "marked_id")
     kept = F.filter("lines", lambda x: ~F.coalesce(F.array_contains("drop", F.unhex(F.md5(x))), F.lit(False)))

@@ -243,6 +243,12 @@ def test_line_dedup_is_relative_to_the_host(spark):
     assert len(out) == len(pages)
 
 
+def test_line_dedup_cleans_small_hosts(spark):
+    pages = [(i, f"http://small.org/{i}", f"<nav>Menu</nav><p>text {i}</p>") for i in range(3)] + [(9, "http://one.org/", "<nav>Menu</nav><p>text</p>")]
+    out = {r["page_id"]: r["text"] for r in line_dedup.drop_boilerplate(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert out == {0: "text 0", 1: "text 1", 2: "text 2", 9: "Menu\ntext"}
+
+
 def test_url_entries_hold_for_a_time(spark):
     entries = spark.sql("select * from values ('domain','example.org',date'2024-02-01','add'), ('domain','example.org',date'2024-03-01','remove'), ('host','x.net',date'2024-01-01','add'), ('prefix','y.net/ads',date'2024-01-01','add'), (null,'z',date'2024-01-01','add') t(kind,pattern,at,action)")
     caps = spark.sql("select * from values ('http://a.example.org/p', date'2024-01-31'), ('http://a.example.org/p', date'2024-02-01'), ('http://a.example.org/p', date'2024-03-01'), ('https://X.net:80/', date'2024-06-01'), ('http://y.net/ads/1?q', date'2024-06-01'), ('http://y.net/adsense', date'2024-06-01'), (null, date'2024-06-01'), ('http://x.net/', null) t(url,fetched_at)")
