@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from assetloom.llm.line_dedup import host_of
+from assetloom.session import cut
 
-#: First segments of a URL's path that a `prefix` entry can name.
-DEPTH = 3
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)"
 
 
-def url_keys(url: Column) -> Column:
-    """What an entry can name: `host` the host, `domain` it or a parent domain, `prefix` the host and first path segments."""
+def url_keys(url: Column, depth: Column | None = None) -> Column:
+    """What an entry can name: `host` the host, `domain` it or a parent domain, `prefix` the host and first path segments.
+
+    `depth`, where given, is the most segments that any entry has; longer prefixes could meet none and are left out.
+    """
     host = host_of(url)
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("pattern")))
     segments = F.filter(F.split(F.coalesce(F.regexp_extract(url, PATH, 1), F.lit("")), "/"), lambda x: x != "")
-    prefixes = F.transform(F.filter(F.sequence(F.lit(1), F.lit(DEPTH)), lambda i: i <= F.size(segments)), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.lit("/"), F.array_join(F.slice(segments, 1, i), "/")).alias("pattern")))
+    prefixes = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(segments), F.lit(1))), lambda i: (i <= F.size(segments)) & (F.lit(True) if depth is None else i <= depth)), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.lit("/"), F.array_join(F.slice(segments, 1, i), "/")).alias("pattern")))
     keys = F.concat(F.array(F.struct(F.lit("host").alias("kind"), host.alias("pattern"))), domains, prefixes)
     return F.when(host != "", keys).otherwise(F.array().cast("array<struct<kind:string,pattern:string>>"))
 
@@ -28,9 +30,12 @@ def intervals(entries: DataFrame) -> DataFrame:
     """`(kind, pattern, spans)`: when each pattern was listed, as (since, until) with `until` null while it still is.
 
     `entries` has kind, pattern, at, action ('add' or 'remove'); of entries with one time the 'remove' wins. Entries
-    with nulls are void; an 'add' of what is listed, or a 'remove' of what is not, changes nothing.
+    with nulls are void; an 'add' of what is listed, or a 'remove' of what is not, changes nothing. The case of a
+    pattern's host does not count, that of its path does.
     """
-    e = entries.select("kind", F.lower("pattern").alias("pattern"), "at", (F.col("action") == "add").alias("on")).where("kind is not null and pattern is not null and at is not null and on is not null")
+    host = F.substring_index("pattern", "/", 1)
+    pattern = F.concat(F.lower(host), F.expr("substring(pattern, length(substring_index(pattern, '/', 1)) + 1)"))
+    e = entries.select("kind", pattern.alias("pattern"), "at", (F.col("action") == "add").alias("on")).where("kind is not null and pattern is not null and at is not null and on is not null")
     e = e.groupBy("kind", "pattern", "at").agg(F.min("on").alias("on"))
     w = W.Window.partitionBy("kind", "pattern").orderBy("at")
     e = e.withColumn("was", F.coalesce(F.lag("on").over(w), F.lit(False))).where("on <> was").withColumn("until", F.lead("at").over(w)).where("on")
@@ -42,14 +47,17 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", at: s
 
     Every capture is judged at its own fetch time: an entry holds from its date to before the date it was removed.
     A pattern is one row with its spans, so the join meets at most one row for each key of a capture, and a host with
-    a third of all captures splits by captures. Callers join the verdicts back by URL and time.
+    a third of all captures splits by captures. Callers join the verdicts back by URL and time. A capture yields the
+    prefixes of its path down to the deepest that is listed.
 
     Null or odd URLs match nothing; a null time is before every entry. Repeated captures share one verdict. Other
     columns are not read; with no entries nothing is blocked.
     """
     c = captures.select(F.col(url).alias("url"), F.col(at).alias("at")).distinct()
-    keys = c.select("url", "at", F.explode_outer(url_keys(F.col("url"))).alias("key")).select("url", "at", "key.kind", "key.pattern")
-    met = keys.join(intervals(entries), ["kind", "pattern"], "left")
+    listed = cut(intervals(entries))
+    deepest = listed.where("kind = 'prefix'").agg(F.coalesce(F.max(F.size(F.split("pattern", "/")) - 1), F.lit(0)).alias("depth"))
+    keys = c.crossJoin(F.broadcast(deepest)).select("url", "at", F.explode_outer(url_keys(F.col("url"), F.col("depth"))).alias("key")).select("url", "at", "key.kind", "key.pattern")
+    met = keys.join(listed, ["kind", "pattern"], "left")
     holds = F.coalesce(F.exists("spans", lambda s: (s["since"] <= F.col("at")) & (s["until"].isNull() | (F.col("at") < s["until"]))), F.lit(False))
     name = F.when(F.col("holds"), F.concat_ws(":", "kind", "pattern"))
     return met.withColumn("holds", holds).groupBy("url", "at").agg(F.max("holds").alias("blocked"), F.count_if("holds").alias("n_active"), F.min(name).alias("first_pattern"))

@@ -256,6 +256,14 @@ def test_url_entries_hold_for_a_time(spark):
     assert [got[k] for k in (("http://a.example.org/p", "2024-01-31"), ("http://a.example.org/p", "2024-02-01"), ("http://a.example.org/p", "2024-03-01"), ("https://X.net:80/", "2024-06-01"), ("http://y.net/ads/1?q", "2024-06-01"), ("http://y.net/adsense", "2024-06-01"), (None, "2024-06-01"), ("http://x.net/", "None"))] == [False, True, False, True, True, False, False, False]
 
 
+def test_url_prefixes_of_any_depth_and_case(spark):
+    entries = spark.sql("select * from values ('prefix','D.org/a/b/c/d',date'2024-01-01','add'), ('prefix','Y.net/Ads',date'2024-01-01','add') t(kind,pattern,at,action)")
+    caps = spark.sql("select *, date'2024-06-01' as fetched_at from values ('http://d.org/a/b/c/d/e/f'), ('http://d.org/a/b/c/d'), ('http://d.org/a/b/c'), ('http://Y.net/Ads/1'), ('http://y.net/ads/1'), ('http://y.net/') t(url)")
+    got = {r["url"]: r["blocked"] for r in url_filters.filter_urls(caps, entries).collect()}
+    assert {u for u, b in got.items() if b} == {"http://d.org/a/b/c/d/e/f", "http://d.org/a/b/c/d", "http://Y.net/Ads/1"}
+    assert len(got) == 6
+
+
 def _held_out_accuracy(spark, sf, scored, label):
     labels = table(spark, sf, "labels")
     rows = scored.where("held_out").join(labels, "doc_id").select("predicted", label).collect()
