@@ -82,17 +82,28 @@ def best_match(template: list[int], words: np.ndarray, least: float = 0.8, slack
     """(share of the template's words that align, first and last word of the match) over the whole document.
 
     Documents are aligned in windows of `1 + 2 * slack` template lengths around each place of the template words that
-    are rarest in the document, so that a licence that occurs twice does not hide its own anchors. A match of `least`
-    lacks at most `(1 - least)` of the template's words, so with one word more than that some window lies on it. Words
+    are rarest in the document. Where copies stand so close that a window holds several, no word is unique in it; so
+    the place is also taken as an anchor itself, and each side is aligned only as far as one copy's share of that word
+    reaches, and as far as one copy's length with spare words or none. A licence that occurs twice then does not hide
+    its own anchors. A match of `least` lacks at most `(1 - least)` of the template's words, so with one word more than that some window lies on it. Words
     farther than `slack / 2` template lengths from the middle of a match do not count.
     """
     m, best = len(template), (0.0, -1, -1)
     places = {w: np.flatnonzero(words == w) for w in dict.fromkeys(template)}
     for w in sorted(places, key=lambda w: len(places[w]))[: int((1 - least) * m + 1e-9) + 1]:
-        for at in places[w].tolist():
-            lo = max(0, at - slack * m)
-            near = [j + lo for _, j in align(template, words[lo : at + slack * m + 1].tolist())]
-            if near:
+        own, stands = [r for r, x in enumerate(template) if x == w], places[w].tolist()
+        for i, at in enumerate(stands):
+            lo, hi = max(0, at - slack * m), at + slack * m + 1
+            tries = [[j + lo for _, j in align(template, words[lo:hi].tolist())]]
+            for k, r in enumerate(own):
+                start = max(lo, stands[i - k - 1] + 1 if i > k else 0)
+                after = i + len(own) - k
+                end = min(hi, stands[after] if after < len(stands) else hi)
+                for spare in (slack * m, m // 8 + 1, 0):
+                    begin, stop = max(start, at - r - spare), min(end, at + m - r + spare)
+                    left = [j + begin for _, j in align(template[:r], words[begin:at].tolist())]
+                    tries.append([*left, at, *(j + at + 1 for _, j in align(template[r + 1 :], words[at + 1 : stop].tolist()))])
+            for near in filter(None, tries):
                 mid = near[len(near) // 2]
                 near = [j for j in near if abs(j - mid) <= slack * m // 2 + 1]
                 best = max(best, (len(near) / m, near[0], near[-1]), key=lambda x: x[0])

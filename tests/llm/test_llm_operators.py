@@ -13,7 +13,7 @@ import corpus_pipeline
 from assetloom.llm import line_dedup, ngram_join, packing, queries, suffix_dedup, toxicity, url_filters
 from assetloom.llm.decontaminate import contamination
 from assetloom.llm.exact_dedup import exact_dedup
-from assetloom.llm.license_scan import align, scan_licenses
+from assetloom.llm.license_scan import TEMPLATES, align, scan_licenses
 from assetloom.llm.quality import score_quality
 from assetloom.session import table
 
@@ -235,6 +235,15 @@ def test_license_scan_finds_templates(spark):
     assert "MIT" not in got[2]
 
 
+@pytest.mark.parametrize("between", ["", "and", "* \n"])
+@pytest.mark.parametrize("copies", [1, 2, 5])
+def test_license_scan_finds_repeated_notices_inside_text(spark, between, copies):
+    known = [(n, t) for n, ts in sorted(TEMPLATES.items()) for t in ts]
+    rows = [(i, f"some text x {f' {between} '.join([f'{t}.'] * copies)} y and more text") for i, (_, t) in enumerate(known)]
+    got = {r["doc_id"]: {x["license"]: x["coverage"] for x in r["licenses"]} for r in scan_licenses(docs_of(spark, rows)).collect()}
+    assert [got[i].get(n) for i, (n, _) in enumerate(known)] == [1.0] * len(known)
+
+
 def test_line_dedup_is_relative_to_the_host(spark):
     pages = [(i, f"http://a.org/{i}", f"<nav>Menu</nav><p>text {i}</p><style>p{{}}</style>") for i in range(8)] + [(100, "http://b.org/", "<p>Menu</p>"), (101, None, None), (102, "odd", "<p>Menu")]
     out = {r["page_id"]: r for r in line_dedup.drop_boilerplate(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
