@@ -56,6 +56,20 @@ def text_blocks(batch: pa.RecordBatch, text: str = "text", most: int = BLOCK) ->
         yield lo, hi, data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
 
 
+def text_slices(batch: pa.RecordBatch, overlap: int, text: str = "text", most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(texts, first places in them, bytes, starts) of the blocks of a batch. A text longer than two blocks comes alone, in slices that share `overlap` bytes."""
+    data, at = raw(batch.column(text))
+    most = most or BLOCK
+    for lo, hi in blocks(at, most):
+        size = at[hi] - at[lo]
+        if size <= 2 * most:
+            yield np.arange(lo, hi), np.zeros(hi - lo, np.int64), data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+            continue
+        for s in range(0, max(size - overlap, 1), most):
+            e = min(size, s + most + overlap)
+            yield np.array([lo]), np.array([s]), data[at[lo] + s : at[lo] + e], np.array([0, e - s])
+
+
 def words(data: np.ndarray, at: np.ndarray, inside_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text number of each maximal run of `inside_of` bytes; runs end with their text."""
     n = len(data)
