@@ -33,17 +33,21 @@ def drop_boilerplate(pages: DataFrame, id: str = "page_id", url: str = "url", ht
     once. `lines` may give the lines of plain text instead of HTML.
 
     Lines are counted by an md5 of the line, partially in each task, so one host or line with a third of all rows
-    moves one row from each task. Only a page's boilerplate hashes travel to the page. Null pages have no lines; null
-    or odd URLs share the host ''. Rows that repeat an id count as pages each; a null id is kept. Other columns are
-    not read; an empty table gives an empty result.
+    moves one row from each task. Only a page's boilerplate hashes travel to the page; pages are told apart by id, host
+    and a hash of their lines. Null pages have no lines; null or odd URLs share the host ''. Every row counts as a page of
+    its own and is cleaned by its own host, also where ids repeat or are null. Other columns are not read; an empty table
+    gives an empty result.
     """
     rows = pages.select(F.col(id).alias("page_id"), host_of(F.col(url)).alias("host"), (html_lines(F.col(html)) if lines is None else lines).alias("lines"))
-    keyed = cut(rows.select("page_id", "host", F.transform(F.array_distinct("lines"), lambda x: F.unhex(F.md5(x))).alias("keys")))
+    rows = rows.withColumn("own", F.xxhash64("lines"))
+    keyed = cut(rows.select("page_id", "host", "own", F.transform(F.array_distinct("lines"), lambda x: F.unhex(F.md5(x))).alias("keys")))
     totals = cut(keyed.groupBy("host").agg(F.count("*").alias("pages")))
-    each = keyed.select("page_id", "host", F.explode("keys").alias("key"))
+    each = keyed.select("page_id", "host", "own", F.explode("keys").alias("key"))
     counts = each.groupBy("host", "key").agg(F.count("*").alias("n")).where("n > 1")
     common = cut(counts.join(totals, "host").where(F.col("n") > most * F.col("pages")).select("host", "key"))
-    marked = each.join(common, ["host", "key"]).select("page_id", "key").distinct().groupBy("page_id").agg(F.collect_list("key").alias("drop")).withColumnRenamed("page_id", "marked_id")
+    # a set: rows that are equal in all three bring the same keys; cut, so that a key with many rows can be split from its rows
+    marked = cut(each.join(common, ["host", "key"]).groupBy("page_id", "host", "own").agg(F.collect_set("key").alias("drop"))).withColumnsRenamed({"page_id": "marked_id", "host": "marked_host", "own": "marked_own"})
     kept = F.filter("lines", lambda x: ~F.coalesce(F.array_contains("drop", F.unhex(F.md5(x))), F.lit(False)))
-    joined = rows.join(marked, F.col("page_id").eqNullSafe(F.col("marked_id")), "left").withColumn("kept", kept)
+    met = F.col("page_id").eqNullSafe(F.col("marked_id")) & (F.col("host") == F.col("marked_host")) & (F.col("own") == F.col("marked_own"))
+    joined = rows.join(marked, met, "left").withColumn("kept", kept)
     return joined.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
