@@ -25,21 +25,18 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", head_ch
     share its `kept`. A null id never wins over an id; where all ids of a group are null, its rows stay. Other
     columns are not read, whatever their names; an empty table gives an empty result.
     """
+    whole = F.sha2(F.encode("t", "UTF-8"), 256)
     rows = docs.select(F.col(id).alias("doc_id"), F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE, " ").alias("t"))
-    brief = cut(rows.select("doc_id", F.length("t").alias("size"), F.xxhash64(F.substring("t", 1, head_chars)).alias("head")))
+    rows = rows.select("doc_id", "t", F.length("t").alias("size"), F.xxhash64(F.substring("t", 1, head_chars)).alias("head"))
     # counts are cut before they are joined back, so that Spark may split a hot key's rows in the join
+    brief = cut(rows.select("size", "head"))
     sizes = cut(brief.groupBy("size").count().where("count > 1"))
-    heads = cut(brief.join(sizes, "size", "left_semi").groupBy("size", "head").count().where("count > 1"))
-    open_ids = brief.join(heads, ["size", "head"], "left_semi").select(F.col("doc_id").alias("open_id"), F.lit(True).alias("open")).distinct()
+    open_ = cut(brief.join(sizes, "size", "left_semi").groupBy("size", "head").count().where("count > 1").select("size", "head", F.lit(True).alias("open")))
 
-    whole = F.sha2(F.encode("t", "UTF-8"), 256)
-    hashed = rows.join(open_ids, F.col("doc_id").eqNullSafe(F.col("open_id")), "left").select(
-        "doc_id",
-        F.length("t").alias("size"),
-        F.when(F.col("open"), whole).alias("full"),
-        *([whole.alias("text_sha256")] if digest else []),
-    )
-    hashed = cut(hashed)
+    # where every text's hash is asked for, only hashes travel; else the text does, and only what is open is hashed
+    sent = rows.withColumn("text_sha256", whole).drop("t") if digest else rows
+    full = F.when(F.col("open"), F.col("text_sha256") if digest else whole).alias("full")
+    hashed = cut(sent.join(open_, ["size", "head"], "left").select("doc_id", "size", full, *(["text_sha256"] if digest else [])))
     groups = cut(hashed.where("full is not null").groupBy("size", "full").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"))
     return hashed.join(groups, ["size", "full"], "left").select(
         "doc_id",
