@@ -11,21 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetloom.llm import text as tx
+from assetloom.llm.license_texts import TEMPLATES
 from assetloom.session import ready
 
-# Short notices of public licences and the openings of licence texts, as published.
-TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "GPL-3.0": ["licensed under the GNU General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
-    "MIT": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
-}
-
-
 def _words(text: str) -> list[int]:
     data = np.frombuffer(text.encode(), np.uint8)
     return tx.word_hashes(data, np.array([0, len(data)]), tx.ALNUM)[0].tolist()
@@ -112,15 +100,33 @@ def best_match(template: list[int], words: np.ndarray, least: float = 0.8, slack
     return best
 
 
+def listed(found: dict[str, list[tuple[int, tuple[float, int, int]]]]) -> list[dict]:
+    """Rows of the licences of a text, each by its best match; `found` has (template words, match) of all that match.
+
+    A licence of which all matches lie inside a match of another one, of which more words align, is left out.
+    """
+    def aligned(x: tuple) -> float:
+        return x[0] * x[1][0]
+
+    def part(x: tuple, name: str) -> bool:
+        return any(aligned(y) > aligned(x) + 1e-9 and y[1][1] <= x[1][1] and x[1][2] <= y[1][2] for other, ys in found.items() if other != name for y in ys)
+
+    best = {k: (max(xs, key=lambda x: (x[1][0], x[0]))[1], max(map(aligned, xs))) for k, xs in found.items() if not all(part(x, k) for x in xs)}
+    order = sorted(best, key=lambda k: (-round(best[k][0][0], 6), -best[k][1], k))
+    return [{"license": k, "coverage": round(best[k][0][0], 6), "first_word": best[k][0][1], "last_word": best[k][0][2]} for k in order]
+
+
 def scan_licenses(docs: DataFrame, id: str = "doc_id", text: str = "text", templates: dict[str, list[str]] | None = None, least: float = 0.8) -> DataFrame:
-    """Per row of `docs`: `doc_id`, `licenses`, a list of (license, coverage, first_word, last_word) by falling coverage, then name.
+    """Per row of `docs`: `doc_id`, `licenses`, a list of (license, coverage, first_word, last_word) by falling coverage, then
+    words that align, then name.
 
     A licence is found if `least` of the words of one of its templates align. A template is aligned only with documents
-    that hold enough of its words at all, counted with repeats, which rules out no match.
+    that hold enough of its words at all, counted with repeats, which rules out no match. A licence whose matches lie
+    inside a match of another licence, of which more words align, is part of that licence's text and is not listed.
 
     Null and empty texts, and texts without words, have no licence; a licence with several matching templates is listed
     once with its best; a longer template wins a tie. Repeated rows and null ids are each scanned. Other columns are
-    not read.
+    not read; an empty table gives an empty result, and without templates no licence is found.
     """
     ready(docs.sparkSession)
     known = [(name, _words(t)) for name, ts in sorted((templates or TEMPLATES).items()) for t in ts]
@@ -141,13 +147,13 @@ def scan_licenses(docs: DataFrame, id: str = "doc_id", text: str = "text", templ
                 hit = vocabulary[place] == h if len(vocabulary) else np.zeros(len(h), bool)
                 have = np.bincount(doc[hit] * len(vocabulary) + place[hit], minlength=n * len(vocabulary)).reshape(n, -1)
                 edge = np.searchsorted(doc, np.arange(n + 1))
-                out: list[dict[str, tuple]] = [{} for _ in range(n)]
+                out: list[dict[str, list]] = [{} for _ in range(n)]
                 for k, (name, t) in enumerate(known):
                     for d in np.flatnonzero(np.minimum(have, needs[k]).sum(1) >= least * len(t)):
                         got = best_match(t, h[edge[d] : edge[d + 1]], least)
-                        if got[0] >= least and (got[0], len(t)) > out[d].get(name, ((0, 0), 0))[0]:
-                            out[d][name] = ((got[0], len(t)), got)
-                found = [sorted(({"license": k, "coverage": round(v[1][0], 6), "first_word": v[1][1], "last_word": v[1][2]} for k, v in x.items()), key=lambda r: (-r["coverage"], r["license"])) for x in out]
+                        if got[0] >= least:
+                            out[d].setdefault(name, []).append((len(t), got))
+                found = [listed(x) for x in out]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), pa.array(found, pa.list_(item))], ["doc_id", "licenses"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, licenses array<struct<license: string, coverage: double, first_word: bigint, last_word: bigint>>")
