@@ -43,6 +43,17 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(256 + rest.index(b)) for b in range(256)]
 
 
+def slices(text: bytes, most: int = 4 << 20) -> Iterator[slice]:
+    """Parts of about `most` bytes that end at a blank or line feed, where there is one: words are split out of one part at a time."""
+    lo = 0
+    while len(text) - lo > most:
+        ends = [k for k in (text.find(b" ", lo + most), text.find(b"\n", lo + most)) if k >= 0]
+        hi = min(ends) if ends else len(text)
+        yield slice(lo, hi)
+        lo = hi
+    yield slice(lo, len(text))
+
+
 class Encoder(dict):
     """Ids of words as little-endian 32-bit numbers, filled as words come up: tokens of this kind of vocabulary never span white space."""
 
@@ -69,7 +80,10 @@ class Encoder(dict):
 
     def ids(self, text: bytes) -> bytes:
         """A text's ids. A-Z are lower-cased first, as the vocabulary's own rule does, unless the text may hold a special token."""
-        return b"".join(map(self.__getitem__, (text if b"<|" in text else text.lower()).split()))
+        special, out = b"<|" in text, []
+        for k in slices(text):
+            out.append(b"".join(map(self.__getitem__, (text[k] if special else text[k].lower()).split())))
+        return b"".join(out)
 
 
 def encoder(path: str) -> Encoder:
@@ -177,21 +191,22 @@ def rounds(counts: np.ndarray, capacity: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["length", "first", "n", "sequence", "place"])
 
 
-def pack(cut_pieces: DataFrame, capacity: int = 4096, salts: int = 64) -> DataFrame:
+def pack(cut_pieces: DataFrame, capacity: int = 4096, at_once: int = 200_000) -> DataFrame:
     """Add `sequence_id` and `offset` to pieces of at most `capacity` tokens.
 
-    Ranks within a length are counted over `salts` parts of each length, so one very common length is no single task.
-    Only the histogram of lengths passes the driver, and the plan made of it; the capacity bounds both, whatever the
-    input, so the plan is broadcast.
+    Ranks within a length are counted over parts of about `at_once` pieces, as many as the length's count asks for, so
+    one very common length is no single task. Only the histogram of lengths passes the driver, and the plan made of it;
+    the capacity bounds both, whatever the input, so the plan is broadcast.
     """
     spark = cut_pieces.sparkSession
-    p = cut_pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    per = p.groupBy("length", "salt").agg(F.count("*").alias("n"))
     counts = np.zeros(capacity + 1, np.int64)
-    for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect():
+    for r in cut_pieces.groupBy("length").agg(F.count("*").alias("n")).collect():
         counts[r["length"]] = r["n"]
     plan = spark.createDataFrame(rounds(counts, capacity), "length long, first long, n long, sequence long, place long")
+    parts = spark.createDataFrame([(k, int(-(-counts[k] // at_once))) for k in np.flatnonzero(counts).tolist()], "length long, salts long")
     steps = F.broadcast(plan.groupBy("length").agg(F.collect_list(F.struct("first", "n", "sequence", "place")).alias("steps")))
+    p = cut_pieces.join(F.broadcast(parts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "salts")).drop("salts")
+    per = p.groupBy("length", "salt").agg(F.count("*").alias("n"))
     so_far = W.Window.partitionBy("length").orderBy("salt").rowsBetween(W.Window.unboundedPreceding, -1)
     bases = per.select("length", "salt", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("base"))
     w = W.Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
