@@ -245,7 +245,8 @@ def _groups(docs: DataFrame, tasks: DataFrame, k: int, percent: int) -> DataFram
                 tokens, edges = shingle_sets(data, at, k)
                 part = lists.slice(lo, hi - lo)
                 own = np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy())
-                flat = part.flatten()
+                full = np.flatnonzero(np.diff(edges)[own])  # an id that repeats may have an empty text too
+                flat, own = part.flatten().take(pa.array(full)), own[full]
                 packed = [tokens[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
                 for s in range(0, len(own), 2000):
                     some = own[s : s + 2000]
