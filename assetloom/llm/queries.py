@@ -50,7 +50,7 @@ WITH p AS (SELECT page_id, lower(coalesce(regexp_extract(url, {_q(line_dedup.HOS
   list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), {_q(line_dedup.HIDDEN)}, '', 'g'), {_q(line_dedup.BREAK)}, chr(10), 'g'), {_q(line_dedup.TAG)}, '', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM pages),
 l AS (SELECT page_id, host, unnest(list_distinct(lines)) AS line FROM p),
 t AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
-c AS (SELECT host, line FROM (SELECT host, line, count(*) AS n FROM l GROUP BY host, line) JOIN t USING (host) WHERE n >= 5 AND n > 0.1 * pages),
+c AS (SELECT host, line FROM (SELECT host, line, count(*) AS n FROM l GROUP BY host, line) JOIN t USING (host) WHERE n > 1 AND n > 0.1 * pages),
 d AS (SELECT l.page_id, list(l.line) AS gone FROM l JOIN c ON l.host = c.host AND l.line = c.line GROUP BY l.page_id),
 k AS (SELECT p.page_id, p.host, p.lines, list_filter(p.lines, lambda x: NOT coalesce(list_contains(d.gone, x), false)) AS kept FROM p LEFT JOIN d USING (page_id))
 SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped, sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256 FROM k
@@ -58,10 +58,11 @@ SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::B
 
 
 def dated_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dated list made from the pages' own hosts, parent domains and path prefixes: some are added, removed and added again."""
+    """A dated list made from the pages' own hosts, parent domains and path prefixes: all registrable domains (the hot ones too) and some of the others are added, removed and added again."""
     named = table(spark, sf_dir, "pages").select(F.explode(url_filters.url_keys(F.col("url"))).alias("k")).select("k.kind", "k.pattern").distinct()
     h = F.conv(F.substring(F.md5(F.concat_ws(":", "kind", "pattern")), 1, 4), 16, 10).cast("int")
-    listed = named.withColumn("h", h).where((F.col("h") % 5 == 0) & (F.size(F.split("pattern", r"\.")) >= 3))
+    labels = F.size(F.split("pattern", r"\."))
+    listed = named.withColumn("h", h).where(((F.col("h") % 5 == 0) & (labels >= 3)) | ((F.col("kind") == "domain") & (labels == 2)))
     steps = F.array(*(F.struct(F.lit(a).alias("action"), F.lit(d).alias("after")) for a, d in (("add", 0), ("remove", 60), ("add", 120))))
     s = listed.select("kind", "pattern", "h", F.explode(steps).alias("s"))
     return s.select("kind", "pattern", (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.col("h") % 200 + F.col("s.after"))).alias("at"), F.col("s.action").alias("action"))
@@ -88,7 +89,7 @@ k AS (SELECT page_id, url, fetched_at, 'host' AS kind, host AS pattern FROM u WH
   UNION ALL SELECT page_id, url, fetched_at, 'domain', array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.') FROM u, unnest(range(1, len(string_split(host, '.')) + 1)) r(i) WHERE host <> ''
   UNION ALL SELECT page_id, url, fetched_at, 'prefix', host || '/' || array_to_string(list_slice(seg, 1, i), '/') FROM u, unnest(range(1, least(3, len(seg)) + 1)) r(i) WHERE host <> ''),
 n AS (SELECT DISTINCT kind, pattern, ('0x' || substr(md5(kind || ':' || pattern), 1, 4))::INT AS h FROM k),
-e AS (SELECT kind, lower(pattern) AS pattern, TIMESTAMP '2024-01-01' + to_days(h % 200 + a) AS at, act FROM n, (VALUES ('add', 0), ('remove', 60), ('add', 120)) s(act, a) WHERE h % 5 = 0 AND len(string_split(pattern, '.')) >= 3),
+e AS (SELECT kind, lower(pattern) AS pattern, TIMESTAMP '2024-01-01' + to_days(h % 200 + a) AS at, act FROM n, (VALUES ('add', 0), ('remove', 60), ('add', 120)) s(act, a) WHERE (h % 5 = 0 AND len(string_split(pattern, '.')) >= 3) OR (kind = 'domain' AND len(string_split(pattern, '.')) = 2)),
 m AS (SELECT k.page_id, k.url, k.fetched_at, k.kind, k.pattern, e.act FROM k ASOF LEFT JOIN e ON k.kind = e.kind AND k.pattern = e.pattern AND k.fetched_at >= e.at)
 SELECT u.page_id, u.url, u.fetched_at, coalesce(bool_or(m.act = 'add'), false) AS blocked, count(*) FILTER (m.act = 'add')::BIGINT AS n_active, min(m.kind || ':' || m.pattern) FILTER (m.act = 'add') AS first_pattern
 FROM u LEFT JOIN m ON u.page_id = m.page_id GROUP BY u.page_id, u.url, u.fetched_at
