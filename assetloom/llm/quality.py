@@ -29,6 +29,8 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     size = (at[1:] - at[:-1]).astype(float)
 
     def share(flags: np.ndarray) -> np.ndarray:
+        if n == 1:  # perhaps a very long text
+            return np.array([np.count_nonzero(flags[data])])
         total = np.concatenate([[0], np.cumsum(flags[data], dtype=np.int64)])
         return total[at[1:]] - total[at[:-1]]
 
@@ -54,7 +56,10 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     short = per((length <= 3).astype(float))
     longest = np.zeros(n)
     np.maximum.at(longest, doc, length)
-    cells = np.bincount(np.repeat(np.arange(n), size.astype(np.int64)) * 64 + (data >> 2), minlength=n * 64).reshape(n, 64) if n else np.zeros((0, 64))
+    if n == 1:
+        cells = sum(np.bincount(data[k : k + tx.BLOCK] >> 2, minlength=64) for k in range(0, max(len(data), 1), tx.BLOCK)).reshape(1, 64)
+    else:
+        cells = np.bincount(np.repeat(np.arange(n), size.astype(np.int64)) * 64 + (data >> 2), minlength=n * 64).reshape(n, 64)
     p = cells / np.maximum(size, 1)[:, None]
     entropy = -(p * np.log(np.maximum(p, 1e-12))).sum(1)
 
@@ -79,6 +84,14 @@ def features(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
 
+def _forward(lower: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solve lower @ x = b by forward substitution."""
+    x = np.empty_like(b)
+    for i in range(len(b)):
+        x[i] = (b[i] - lower[i, :i] @ x[:i]) / lower[i, i]
+    return x
+
+
 @dataclass(frozen=True)
 class Model:
     """Scaling, and for classes 0 and 1: mean, Cholesky factor of the covariance, its log determinant, log prior."""
@@ -92,7 +105,7 @@ class Model:
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.middle) / self.scale, -self.reach, self.reach)
-        side = [c - 0.5 * (np.linalg.solve(f, (z - m).T) ** 2).sum(0) for m, f, c in zip(self.means, self.factors, self.constants, strict=True)]
+        side = [c - 0.5 * (_forward(f, (z - m).T) ** 2).sum(0) for m, f, c in zip(self.means, self.factors, self.constants, strict=True)]
         return 1 / (1 + np.exp(-np.clip(side[1] - side[0], -40, 40)))
 
 
@@ -137,7 +150,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
     give the class moments; the score is the logistic of the difference of the two class log densities.
 
     Null and empty texts have the statistics of an empty text and are scored. Null ids are scored, never learned from.
-    Repeated rows are scored each. With no labels all rows score 0.5. Other columns are not read.
+    Repeated rows are scored each. Labels that are null or neither 0 nor 1 do not count; of repeated ones 1 wins. With no
+    labels all rows score 0.5. Other columns are not read; an empty table gives an empty result.
     """
     rows = cut(features(docs, id, text))
     model = fit(rows.join(training_rows(labels, label), "doc_id").select("x", "y"), shrink)

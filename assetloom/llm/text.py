@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes that a kernel works on at once; one longer text is still taken whole.
-BLOCK = 1 << 19
+#: Bytes that a kernel works on at once, and whose word hashes are made at once. One longer text comes in slices, or, where
+#: its words are numbered, whole: then with about 20 bytes of memory for each of its bytes.
+BLOCK, HASHED = 1 << 19, 1 << 21
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -85,15 +86,28 @@ def words(data: np.ndarray, at: np.ndarray, inside_of: np.ndarray) -> tuple[np.n
 
 
 def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte run."""
+    """A 64-bit hash of each byte run, of about `HASHED` bytes at a time."""
     size = end - start
-    if not len(size):
-        return np.zeros(0, np.uint64)
+    out, upto, lo = np.zeros(len(size), np.uint64), np.cumsum(size), 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] - size[lo] + HASHED, "right")))
+        out[lo:hi] = _polynomials(data, start[lo:hi], size[lo:hi])
+        lo = hi
+    return mix(out + size.astype(np.uint64) * _M)
+
+
+def _polynomials(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    if len(size) == 1 and size[0] > HASHED:  # one very long run, in parts
+        total, power, step = np.zeros(1, np.uint64), np.ones(1, np.uint64), np.array([pow(int(_M), HASHED, 1 << 64)], np.uint64)
+        for s in range(0, int(size[0]), HASHED):
+            part = _RANDOM[data[start[0] + s : start[0] + min(s + HASHED, size[0])]]
+            total += power * (part * np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(part) - 1, _M, np.uint64)]))).sum()
+            power *= step
+        return total
     first = np.cumsum(size) - size
     place = np.arange(int(size.sum())) - np.repeat(first, size)
     powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(size.max()) - 1, _M, np.uint64)]))
-    value = _RANDOM[data[place + np.repeat(start, size)]] * powers[place]
-    return mix(np.add.reduceat(value, first) + size.astype(np.uint64) * _M)
+    return np.add.reduceat(_RANDOM[data[place + np.repeat(start, size)]] * powers[place], first)
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray, inside_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

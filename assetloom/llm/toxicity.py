@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,14 @@ def present(data: np.ndarray, at: np.ndarray, wanted: np.ndarray | None = None)
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
+def features_of(batch: pa.RecordBatch, wanted: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, end, text numbers from the first, features) of the blocks of a batch; a long text is read in slices that overlap by one byte less than an n-gram."""
+    for lo, slices in groupby(tx.text_slices(batch, max(SIZES) - 1), key=lambda x: int(x[0][0])):
+        parts = [(len(own), *present(data, at, wanted)) for own, _, data, at in slices]
+        n, doc, feature = parts[0] if len(parts) == 1 else (1, None, np.unique(np.concatenate([f for _, _, f in parts])))
+        yield lo, lo + n, np.zeros(len(feature), np.int64) if doc is None else doc, feature
+
+
 @dataclass(frozen=True)
 class Model:
     features: np.ndarray
@@ -53,9 +62,8 @@ class Model:
         out[self.features] = self.weights
         return out
 
-    def scores(self, data: np.ndarray, at: np.ndarray, table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        doc, feature = present(data, at, wanted)
-        z = self.bias + np.bincount(doc, table[feature], len(at) - 1)
+    def scores(self, n: int, doc: np.ndarray, feature: np.ndarray, table: np.ndarray) -> np.ndarray:
+        z = self.bias + np.bincount(doc, table[feature], n)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -82,13 +90,18 @@ def train(doc: np.ndarray, col: np.ndarray, y: np.ndarray, ratio: np.ndarray, pr
 def telling_features(sample: DataFrame, n1: int, n0: int, alpha: float, least_docs: int, keep: int) -> tuple[np.ndarray, np.ndarray]:
     """(features, log-count ratios) of the `keep` features whose ratio is largest against its spread. Spark counts documents of each class for each feature."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, 1 << BITS), np.int32)  # one partition's counts
         for batch in batches:
-            for lo, hi, data, at in tx.text_blocks(batch):
-                doc, feature = present(data, at)
-                key, n = np.unique(feature << 1 | batch.column("y").slice(lo, hi - lo).to_numpy()[doc], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key >> 1), pa.array(key & 1), pa.array(n)], ["feature", "y", "n"])
-
-    counts = sample.mapInArrow(run, "feature long, y long, n long").groupBy("feature").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("c1"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c0"))
+            y = batch.column("y").to_numpy()
+            for lo, hi, doc, feature in features_of(batch):
+                for k in (0, 1):
+                    n[k] += np.bincount(feature[y[lo:hi][doc] == k], minlength=1 << BITS).astype(np.int32)
+        some = np.flatnonzero(n.any(0))
+        for k in range(0, len(some), 100_000):
+            part = some[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(n[i, part].astype(np.int64)) for i in (1, 0))], ["feature", "c1", "c0"])
+
+    counts = sample.mapInArrow(run, "feature long, c1 long, c0 long").groupBy("feature").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
     p1, p0 = (F.col("c1") + alpha) / (n1 + 2 * alpha), (F.col("c0") + alpha) / (n0 + 2 * alpha)
     ratio = F.log(p1 / p0) - F.log((1 - F.least(p1, F.lit(0.999))) / (1 - F.least(p0, F.lit(0.999))))
     spread = F.sqrt(1 / (F.col("c1") + alpha) + 1 / (F.col("c0") + alpha))
@@ -122,8 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
         wanted = np.zeros(1 << BITS, bool)
         wanted[chosen] = True
         for batch in batches:
-            for lo, hi, data, at in tx.text_blocks(batch):
-                doc, feature = present(data, at, wanted)
+            for lo, hi, doc, feature in features_of(batch, wanted):
                 edges = np.searchsorted(doc, np.arange(hi - lo + 1))
                 packed = np.searchsorted(chosen, feature).astype("<u2").tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column("y").slice(lo, hi - lo), pa.array([packed[2 * a : 2 * b] for a, b in zip(edges, edges[1:], strict=False)], pa.binary())], ["y", "f"])
@@ -137,22 +149,27 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     return Model(chosen, weights, bias)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.5, most: int = 3000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.5, most: int = 3000, least_docs: int = 4, keep: int = 4096) -> DataFrame:
     """Per row of `docs`: `doc_id`, `held_out`, `score` (0 to 1, higher: label 1 likelier), `predicted`.
 
-    One pass over the whole texts looks the n-grams up in a table of fixed size. Null and empty texts have no n-grams
-    and get the model's bias. Null ids are scored, never learned from; repeated rows are scored each. With labels of
-    one class only, all rows score for that class; with none, all rows score as label 0. Other columns are not read.
+    The model learns from at most `most` labelled rows of each class and has the `keep` most telling n-grams of those
+    that `least_docs` of these rows hold. One pass over the whole texts, long ones in slices, looks the n-grams up in a
+    table of fixed size.
+
+    Null and empty texts have no n-grams and get the model's bias. Null ids are scored, never learned from; repeated rows
+    are scored each. Labels that are null or neither 0 nor 1 do not count; of repeated ones 1 wins. With labels of one
+    class only, all rows score for that class; with none, all rows score as label 0. Other columns are not read; an
+    empty table gives an empty result.
     """
-    model = fit(docs, labels, id, text, label, most)
+    model = fit(docs, labels, id, text, label, most, least_docs=least_docs, keep=keep)
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
         wanted = table != 0
         for batch in batches:
-            for lo, hi, data, at in tx.text_blocks(batch):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(model.scores(data, at, table, wanted))], ["doc_id", "score"])
+            for lo, hi, doc, feature in features_of(batch, wanted):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(model.scores(hi - lo, doc, feature, table))], ["doc_id", "score"])
 
     scored = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -50,8 +50,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", at: s
     a third of all captures splits by captures. Callers join the verdicts back by URL and time. A capture yields the
     prefixes of its path down to the deepest that is listed.
 
-    Null or odd URLs match nothing; a null time is before every entry. Repeated captures share one verdict. Other
-    columns are not read; with no entries nothing is blocked.
+    Null, empty or odd URLs match nothing; a null time is before every entry. Repeated captures share one verdict. Other
+    columns are not read; with no entries nothing is blocked, without captures the result is empty.
     """
     c = captures.select(F.col(url).alias("url"), F.col(at).alias("at")).distinct()
     listed = cut(intervals(entries))
