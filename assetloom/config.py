@@ -15,9 +15,14 @@ def _ranges() -> dict[str, tuple[float, float]]:
     return {"musiq": (0.0, 100.0), "musiq-ava": (1.0, 10.0), "musiq-koniq": (0.0, 100.0), "dbcnn": (0.0, 1.0), "brisque": (0.0, 100.0), "clipiqa": (0.0, 1.0), "niqe": (0.0, 100.0)}
 
 
+#: File name endings of photos, and of raw files that are read on demand.
+PHOTO = ("jpeg", "jpg", "png")
+RAW = ("arw", "cr2", "cr3", "dng", "nef", "orf", "pef", "raf", "rw2", "sr2")
+
+
 @dataclass(frozen=True)
 class Config:
-    """Run parameters; every operator takes them as arguments."""
+    """Run parameters; every operator takes them as arguments. The defaults."""
 
     blur_waste: float = 60.0
     exposure_waste: float = 0.5

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -129,6 +131,26 @@ def exposure_level(over: Column, under: Column) -> Column:
     return F.when((o > 50) | (u > 50), "bad").when((o > 20) | (u > 20), "warn").otherwise("good")
 
 
+def breakdown(c: Config) -> Column:
+    """An item's dimensions as `array<struct<dim, value, level>>`; explode it for the long form. A near-duplicate of its group's best has one entry more."""
+    percent = lambda x: F.round(x).cast("int").cast("string")
+    one = lambda dim, value, lev: F.struct(D(dim).alias("dim"), F.coalesce(value, D("-")).alias("value"), lev.alias("level"))
+    closed = eyes_closed(F.col("ear"), F.col("eye_close_prob"), c)
+    face = F.coalesce(F.col("is_face"), D(False))
+    loser = F.coalesce(F.col("is_similar_loser"), D(False)) & ~F.coalesce(F.col("is_waste"), D(False))
+    over, under = (F.coalesce(F.col(n), D(0.0)) * 100.0 for n in ("over_ratio", "under_ratio"))
+    shown = F.concat_ws(" ", F.when(over > 1, F.concat(D("over "), percent(over))), F.when(under > 1, F.concat(D("under "), percent(under))))
+    return F.array_compact(F.array(
+        one("clarity", F.when(F.col("blur_score").isNotNull(), clarity_percent(F.col("blur_score")).cast("string")), level(F.col("blur_score"), 120, 60)),
+        one("exposure", F.when(shown == "", "normal").otherwise(shown), exposure_level(F.col("over_ratio"), F.col("under_ratio"))),
+        one("aesthetics", percent(F.col("aesthetic")), level(F.col("aesthetic"), 60, 40)),
+        one("face", F.when(~face, "none").when(closed, "closed").otherwise("open"), F.when(~face, "muted").when(closed, "bad").otherwise("good")),
+        one("scene", F.col("scene"), D("muted")),
+        one("composite", percent(F.col("comp_score")), level(F.col("comp_score"), 70, 50)),
+        F.when(loser, one("similar", D("near-dup"), D("warn"))),
+    ))
+
+
 def badge() -> Column:
     """Tags of an item's state; a dash if it has none."""
     near = F.coalesce(F.col("is_similar_loser"), D(False)) & ~F.coalesce(F.col("is_waste"), D(False))
@@ -167,9 +189,14 @@ def linear_head_score(v: Column, w: list[float], bias: float) -> Column:
     return clip((dot(v, F.array(*map(D, w))) / norm2(v) + bias) * 10.0, 0.0, 100.0)
 
 
+def bind(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once, however often f uses it inside lambdas."""
+    return F.get(F.transform(F.array(x), f), D(0))
+
+
 def softmax(logits: Column) -> Column:
-    e = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(e, lambda x: x / F.aggregate(e, D(0.0), lambda a, y: a + y))
+    e = bind(F.struct(logits.alias("l"), F.array_max(logits).alias("m")), lambda t: F.transform(t["l"], lambda x: F.exp(x - t["m"])))
+    return bind(e, lambda v: bind(F.struct(v.alias("e"), F.aggregate(v, D(0.0), lambda a, y: a + y).alias("s")), lambda t: F.transform(t["e"], lambda x: x / t["s"])))
 
 
 def eye_aspect(points: Column, eye: tuple[int, int, int, int, int, int]) -> Column:
@@ -200,8 +227,7 @@ def mean(a: Column) -> Column:
 
 
 def variance(a: Column) -> Column:
-    m = mean(a)
-    return F.aggregate(a, D(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(a)
+    return bind(F.struct(a.alias("a"), mean(a).alias("m")), lambda t: F.aggregate(t["a"], D(0.0), lambda s, x: s + (x - t["m"]) * (x - t["m"])) / F.size(t["a"]))
 
 
 def grid_bits(a: Column) -> Column:

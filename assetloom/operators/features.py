@@ -73,3 +73,13 @@ def cascade(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series], c: Confi
     rest = df.where(~band).withColumn("prob", F.lit(None).cast("double"))
     both = score_batches(df.where(band), scorer, "prob").unionByName(rest)
     return both.withColumn("closed", X.eyes_closed(F.col(cheap), F.col("prob"), c))
+
+
+def fill_scores(items: DataFrame, score: Callable[[DataFrame], DataFrame], cols: tuple[str, ...], key: str = "path") -> DataFrame:
+    """Items with missing `cols` filled: `score` gets only the rows that lack any of them and returns `(key, *cols)`; a value that is there stays, and so does one that `score` fails to give."""
+    lacking = F.lit(False)
+    for c in cols:
+        lacking = lacking | F.col(c).isNull()
+    fresh = score(items.where(lacking)).select(key, *(F.col(c).alias(f"new_{c}") for c in cols))
+    filled = {c: F.coalesce(F.col(c), F.col(f"new_{c}")) for c in cols}
+    return items.join(fresh, key, "left").withColumns(filled).select(items.columns)

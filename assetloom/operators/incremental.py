@@ -8,37 +8,50 @@ from pyspark.sql import functions as F
 from assetloom.config import ITEM_COLUMNS
 
 
+def model_signature(**models: str) -> str:
+    """One text for the models that a run uses; it changes when any of them does."""
+    return "|".join(f"{k}={models[k]}" for k in sorted(models))
+
+
+def usable_prior(prior: DataFrame, signature: str | None = None, root: str | None = None) -> DataFrame:
+    """The rows of a stored state that a run may build on. A row made by other models, or by none that is named, counts for
+    nothing where a `signature` is given; so does one from another source where a `root` is given (a row that names no
+    source stays)."""
+    none = F.lit(None).cast("string")
+    if signature is not None:
+        prior = prior.where((F.col("model_signature") if "model_signature" in prior.columns else none).eqNullSafe(signature))
+    if root is not None:
+        prior = prior.where(F.coalesce(F.col("source_root") if "source_root" in prior.columns else none, F.lit(root)) == root)
+    return prior
+
+
 def incremental_plan(scanned: DataFrame, prior: DataFrame, signature: str | None = None, root: str | None = None) -> DataFrame:
     """`(path, need_features, need_scores)` for each scanned `(path, mtime)`.
 
     Features are needed unless the stored row has the same time (to a microsecond), a blur score and a fingerprint;
-    scores if features are, or a stored score is missing. A prior of another model `signature` or source `root`, where
-    the prior has such columns, counts for nothing.
+    scores if features are, or a stored score is missing. What of the prior counts is `usable_prior`'s rule.
     """
-    p = prior
-    if signature is not None and "model_signature" in p.columns:
-        p = p.where(F.col("model_signature").eqNullSafe(signature))
-    if root is not None and "source_root" in p.columns:
-        p = p.where(F.col("source_root").eqNullSafe(root))
-    p = p.select("path", F.col("mtime").alias("old_mtime"), "blur_score", "fp", "aesthetic", "scene")
+    p = usable_prior(prior, signature, root).select("path", F.col("mtime").alias("old_mtime"), "blur_score", "fp", "aesthetic", "scene")
     same = F.coalesce(F.abs(F.unix_micros("mtime") - F.unix_micros("old_mtime")) <= 1, F.lit(False))
     need = ~(same & F.col("blur_score").isNotNull() & F.col("fp").isNotNull())
     return scanned.select("path", "mtime").join(p, "path", "left").select("path", need.alias("need_features"), (need | F.col("aesthetic").isNull() | F.col("scene").isNull()).alias("need_scores"))
 
 
 def known_columns(df: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
-    """Only the columns that a snapshot has."""
+    """Only the columns that a snapshot has, in the order of `df`."""
     return df.select([c for c in df.columns if c in ITEM_COLUMNS or c in also])
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "path", seq: str | None = None, insert: bool = True) -> DataFrame:
-    """Insert or update by key; only columns that `new` has change. Of repeated keys in `new` the last by `seq` counts.
+    """Insert or update by key; only columns that `new` has change. Of repeated keys in `new` the last by `seq` counts. Without columns to set only unknown keys are added.
 
     Rows of `new` without a key are refused: the job fails. With `insert` false unknown keys are left out.
     """
     values = [c for c in new.columns if c not in (key, seq)]
+    if not values:  # nothing is set; unknown keys are still inserted
+        return old.unionByName(new.where(F.col(key).isNotNull()).select(key).distinct().join(old.select(key), key, "left_anti"), allowMissingColumns=True) if insert else old
     checked = new.withColumn(key, F.when(F.col(key).isNull(), F.raise_error(F.lit("row without a key"))).otherwise(F.col(key)))
-    order = F.struct(*([seq] if seq else []), *(c for c in values)) if not seq else F.col(seq)
+    order = F.struct(*([seq] if seq else []), *values)
     last = checked.groupBy(key).agg(F.max_by(F.struct(*values), order).alias("new"))
     joined = old.withColumn("in_old", F.lit(True)).join(last.withColumn("in_new", F.lit(True)), key, "full" if insert else "left")
     names = [*old.columns, *(c for c in values if c not in old.columns)]

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from assetloom.config import Config
+from assetloom.config import ITEM_COLUMNS, Config
 from assetloom.functions import exprs as X
 
 _TEXT, _EQUAL = ("scene", "label", "search"), ("scene", "star", "is_waste", "is_best", "is_uncertain", "is_candidate", "group_id", "label")
 
 
 def item_filter(filters: dict[str, Any]) -> Column:
-    """Conjunction of the filters given; empty texts and absent keys do not filter."""
+    """Conjunction of the filters given; empty texts and absent keys do not filter. `search` heeds no case, and `_` and `%` in it stand for any one and any characters."""
     cond = F.lit(True)
     for k, v in filters.items():
         if v is None or (k in _TEXT and v == ""):
@@ -25,12 +25,19 @@ def item_filter(filters: dict[str, Any]) -> Column:
         elif k == "star_min":
             cond = cond & (F.coalesce("star", F.lit(0)) >= v)
         elif k == "search":
-            cond = cond & F.col("fname").contains(v)
+            cond = cond & F.col("fname").ilike("%" + v.replace("\\", "\\\\") + "%")
         else:
             raise ValueError(f"unknown filter {k}")
     return cond
 
 
+def missing(items: DataFrame, field: str) -> DataFrame:
+    """Paths of items that lack a value of `field`; none for a field that snapshots do not have."""
+    if field not in ITEM_COLUMNS or field not in items.columns:
+        return items.select("path").where(F.lit(False))
+    return items.where(F.col(field).isNull()).select("path")
+
+
 def leaderboard(judged: DataFrame, c: Config, scene: str = "", star_min: int = 0, hide_waste: bool = False, hide_losers: bool = False, only_best: bool = False, search: str = "", sort: str = "comp_desc") -> DataFrame:
     """Items that pass, in order: nulls last when rising, first when falling, ties by falling score, then path."""
     cond = F.coalesce("star", F.lit(0)) >= star_min
@@ -45,9 +52,11 @@ def leaderboard(judged: DataFrame, c: Config, scene: str = "", star_min: int = 0
 
 
 def collection_stats(judged: DataFrame, groups: DataFrame) -> DataFrame:
-    """Ten counts in one pass over items and one over groups."""
+    """Nine counts and `scenes`, a map of items by scene, in one pass over items and one over groups."""
     star = F.coalesce("star", F.lit(0))
-    i = judged.agg(F.count("*").alias("total"), F.count_if("is_waste").alias("waste"), F.count_if(star > 0).alias("starred"), F.count_if(star == 5).alias("star5"), F.count_if("is_best").alias("best"), F.count_if("is_uncertain").alias("uncertain_photos"), F.count_if("is_candidate").alias("candidate_photos"))
+    counts = {"total": F.count("*"), "waste": F.count_if("is_waste"), "starred": F.count_if(star > 0), "star5": F.count_if(star == 5), "best": F.count_if("is_best"), "uncertain_photos": F.count_if("is_uncertain"), "candidate_photos": F.count_if("is_candidate")}
+    by_scene = judged.groupBy(F.coalesce("scene", F.lit("other")).alias("scene")).agg(*(n.alias(k) for k, n in counts.items()))
+    i = by_scene.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in counts), F.map_from_entries(F.array_sort(F.collect_list(F.struct("scene", "total")))).alias("scenes"))
     g = groups.agg(F.count_if("is_uncertain").alias("uncertain_groups"), F.count("*").alias("groups"))
     return i.crossJoin(g)  # one row each
 
@@ -72,13 +81,25 @@ def export_manifest(judged: DataFrame, c: Config, which: str = "keep") -> DataFr
     return judged.where(cond).select("fname", "path", "scene", r("scene_conf", 3), r("comp_score", 1), F.coalesce("star", F.lit(0)).alias("star"), F.coalesce("label", F.lit("")).alias("label"), F.coalesce("waste_reasons", F.lit("")).alias("waste_reasons"), F.col("is_best").cast("int").alias("is_best"), "group_id", r("blur_score", 1), r("over_ratio", 3), r("under_ratio", 3), r("aesthetic", 1))
 
 
-def write_csv(manifest: DataFrame, path: str) -> None:
-    manifest.coalesce(1).write.mode("overwrite").csv(path, header=True)
+def write_csv(manifest: DataFrame, path: str, files: int | None = 1) -> None:
+    """Write the list with a header, as one file: it is made for people. `files=None` leaves as many parts as there are tasks, for lists that one task should not hold."""
+    (manifest if files is None else manifest.coalesce(files)).write.mode("overwrite").csv(path, header=True)
+
+
+def pair_levels(judged: DataFrame, c: Config) -> DataFrame:
+    """The two best of each group side by side: `(group_id, a_path, b_path, comp_diff, dim, a_value, a_level, b_value, b_level)`, a row for each dimension."""
+    long = judged.where("rank <= 2").select("group_id", "rank", "path", "comp_score", F.explode(X.breakdown(c)).alias("d"))
+    one = lambda r, p: long.where(F.col("rank") == r).select("group_id", F.col("d.dim").alias("dim"), F.col("path").alias(f"{p}_path"), F.col("comp_score").alias(f"{p}_comp"), F.col("d.value").alias(f"{p}_value"), F.col("d.level").alias(f"{p}_level"))
+    return one(1, "a").join(one(2, "b"), ["group_id", "dim"]).select("group_id", "a_path", "b_path", (F.col("a_comp") - F.col("b_comp")).alias("comp_diff"), "dim", "a_value", "a_level", "b_value", "b_level")
 
 
 def copy_plan(chosen: DataFrame, folder: str = "photos") -> DataFrame:
-    """`(src, dst)`: equal names get a number, so that no copy overwrites another."""
+    """`(src, dst)`, all `dst` different: the n-th of equal names gets `_n`, and where another file already has that name, a folder of its number beside `folder`."""
     n = F.row_number().over(W.Window.partitionBy("fname").orderBy("path"))
     stem, ext = F.regexp_extract("fname", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("fname", r"^(.*?)(\.[^.]*)?$", 2)
-    name = F.when(n == 1, F.col("fname")).otherwise(F.concat(stem, F.lit("_"), n, ext))
-    return chosen.select(F.col("path").alias("src"), F.concat(F.lit(f"{folder}/"), name).alias("dst"))
+    named = chosen.select("path", "fname", n.alias("n")).withColumn("name", F.when(F.col("n") == 1, F.col("fname")).otherwise(F.concat(stem, F.lit("_"), F.col("n"), ext)))
+    taken = chosen.select(F.col("fname").alias("name")).distinct().withColumn("taken", F.lit(True))
+    # `stem_n` names differ from each other, so only a whole name can be in the way
+    clash = (F.col("n") > 1) & F.coalesce("taken", F.lit(False))
+    dst = F.when(clash, F.concat(F.lit(f"{folder}-"), F.col("n"), F.lit("/"), F.col("fname"))).otherwise(F.concat(F.lit(f"{folder}/"), F.col("name")))
+    return named.join(taken, "name", "left").select(F.col("path").alias("src"), dst.alias("dst"))

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from assetloom.config import Config
 from assetloom.functions import exprs as X
-from assetloom.operators import decisions, features, incremental, similarity, verdict, views
+from assetloom.operators import components, decisions, features, incremental, similarity, verdict, views
+from assetloom.plans import collection
 from assetloom.plans import curate as plan
-from assetloom.session import cut, table
+from assetloom.session import KEPT, cut, table
 from assetloom.sources import files
 
 #: Events cover 30 days, so the test collection's bursts use a wider gap than a camera's.
@@ -20,13 +21,14 @@ _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, uses: str = "") -> Callable:
-    """Register a query under its function's name; `uses` names the common tables that its SQL needs."""
+def query(sql: str | None = None, uses: str = "", changed: dict[str, str] | None = None) -> Callable:
+    """Register a query under its function's name; `uses` names the common tables that its SQL needs, `changed` has those that differ."""
     def add(f: Callable) -> Callable:
         _Q[f.__name__] = f
         if sql:
-            names = [n for n in CTES if n in closure(uses.split())]
-            _SQL[f.__name__] = ("WITH RECURSIVE " + ", ".join(f"{n} AS ({CTES[n]})" for n in names) + " " if names else "") + sql
+            tables = CTES | (changed or {})
+            names = [n for n in tables if n in closure(uses.split())]
+            _SQL[f.__name__] = ("WITH RECURSIVE " + ", ".join(f"{n} AS ({tables[n]})" for n in names) + " " if names else "") + sql
         return f
 
     return add
@@ -66,15 +68,12 @@ def full_items(spark: SparkSession, d: str) -> DataFrame:
     return cut(items(spark, d).join(fingerprints(spark, d), "path", "left"))
 
 
-_JUDGED: dict[tuple[str, str], DataFrame] = {}
-
-
 def judged(spark: SparkSession, d: str) -> DataFrame:
-    """The curated collection; kept for the session, as many views read it."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _JUDGED:
-        _JUDGED[key] = cut(plan.curate(full_items(spark, d), CONFIG).withColumn("label", F.when(F.pmod("doc_id", F.lit(17)) == 0, "P").when(F.pmod("doc_id", F.lit(19)) == 0, "X")))
-    return _JUDGED[key]
+    """The curated collection; kept for the session, as many views read it. `session.clear_shared` forgets it."""
+    key = ("judged", spark.sparkContext.applicationId, d)
+    if key not in KEPT:
+        KEPT[key] = cut(plan.curate(full_items(spark, d), CONFIG).withColumn("label", F.when(F.pmod("doc_id", F.lit(17)) == 0, "P").when(F.pmod("doc_id", F.lit(19)) == 0, "X")))
+    return KEPT[key]
 
 
 def prior(spark: SparkSession, d: str) -> DataFrame:
@@ -114,11 +113,19 @@ CTES = {
     "judged": """SELECT *, coalesce(waste_reasons <> '', false) AS is_waste FROM (SELECT *, other AND NOT close AS is_similar_loser, CASE WHEN is_candidate THEN rank ELSE 0 END AS candidate_rank, CASE WHEN is_best THEN 5 ELSE 0 END AS star, CASE WHEN doc_id % 17 = 0 THEN 'P' WHEN doc_id % 19 = 0 THEN 'X' END AS label,
   nullif(concat_ws(',', CASE WHEN blur_score < 60 THEN 'blurred' END, CASE WHEN over_ratio > 0.5::DOUBLE OR under_ratio > 0.5::DOUBLE THEN 'exposure' END, CASE WHEN other AND close THEN 'duplicate' END, CASE WHEN closed AND is_face THEN 'eyes_closed' END), '') AS waste_reasons FROM marked)""",
     "groups": "SELECT group_id, count(*)::BIGINT AS size, coalesce(max(path) FILTER (is_best), max(path) FILTER (candidate_rank = 1)) AS best_path, bool_or(is_uncertain) AS is_uncertain, count(*) FILTER (is_candidate)::BIGINT AS n_candidates FROM judged GROUP BY group_id",
+    "dims": """SELECT path, group_id, rank, comp_score, unnest(x, recursive := true) FROM (SELECT *, list_filter([
+  {'dim': 'clarity', 'value': (floor(greatest(0.0::DOUBLE, least(1.0::DOUBLE, blur_score / 200.0::DOUBLE)) * 100.0::DOUBLE)::INT)::VARCHAR, 'level': CASE WHEN blur_score >= 120 THEN 'good' WHEN blur_score >= 60 THEN 'warn' ELSE 'bad' END},
+  {'dim': 'exposure', 'value': coalesce(nullif(concat_ws(' ', CASE WHEN over_ratio * 100 > 1 THEN 'over ' || round(over_ratio * 100)::INT END, CASE WHEN under_ratio * 100 > 1 THEN 'under ' || round(under_ratio * 100)::INT END), ''), 'normal'), 'level': CASE WHEN over_ratio * 100 > 50 OR under_ratio * 100 > 50 THEN 'bad' WHEN over_ratio * 100 > 20 OR under_ratio * 100 > 20 THEN 'warn' ELSE 'good' END},
+  {'dim': 'aesthetics', 'value': coalesce((round(aesthetic)::INT)::VARCHAR, '-'), 'level': CASE WHEN aesthetic IS NULL THEN 'muted' WHEN aesthetic >= 60 THEN 'good' WHEN aesthetic >= 40 THEN 'warn' ELSE 'bad' END},
+  {'dim': 'face', 'value': CASE WHEN NOT is_face THEN 'none' WHEN closed THEN 'closed' ELSE 'open' END, 'level': CASE WHEN NOT is_face THEN 'muted' WHEN closed THEN 'bad' ELSE 'good' END},
+  {'dim': 'scene', 'value': scene, 'level': 'muted'},
+  {'dim': 'composite', 'value': (round(comp_score)::INT)::VARCHAR, 'level': CASE WHEN comp_score >= 70 THEN 'good' WHEN comp_score >= 50 THEN 'warn' ELSE 'bad' END},
+  CASE WHEN is_similar_loser AND NOT is_waste THEN {'dim': 'similar', 'value': 'near-dup', 'level': 'warn'} END], lambda e: e IS NOT NULL) AS xs FROM judged), unnest(xs) AS u(x)""",
     "prior": "SELECT doc_id, path, CASE WHEN doc_id % 7 = 0 THEN ts + INTERVAL 60 SECOND ELSE ts END AS mtime, blur_score, CASE WHEN doc_id % 11 <> 0 THEN doc_id END AS fp, CASE WHEN doc_id % 13 <> 0 THEN aesthetic END AS aesthetic, scene FROM items WHERE doc_id % 5 <> 0",
     "log": "SELECT event_id AS seq, user_id::VARCHAR AS path, CASE event_type WHEN 'view' THEN 'star' WHEN 'click' THEN 'pick' WHEN 'purchase' THEN 'label' WHEN 'signup' THEN 'scene' ELSE 'undo' END AS kind, CASE event_type WHEN 'view' THEN (event_id % 6)::VARCHAR WHEN 'click' THEN CASE WHEN event_id % 2 = 0 THEN 'P' ELSE 'X' END WHEN 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN '' ELSE 'P' END WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'portrait' ELSE 'other' END ELSE (event_id - event_id % 10)::VARCHAR END AS value FROM events",
     "vecs": "SELECT vec_id, label, embedding, list_transform(embedding, lambda x: x::DOUBLE) AS v, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings",
 }
-_NEEDS = {"word_bits": "items", "fps": "word_bits", "near": "fps", "bursts": "items", "edges": "near bursts", "reach": "items edges", "grouped": "reach", "gscene": "items grouped", "norms": "items", "scored": "norms grouped gscene weights fps", "ranked": "scored", "verd": "ranked", "marked": "ranked verd", "judged": "marked", "groups": "judged", "prior": "items"}
+_NEEDS = {"word_bits": "items", "fps": "word_bits", "near": "fps", "bursts": "items", "edges": "near bursts", "reach": "items edges", "grouped": "reach", "gscene": "items grouped", "norms": "items", "scored": "norms grouped gscene weights fps", "ranked": "scored", "verd": "ranked", "marked": "ranked verd", "judged": "marked", "groups": "judged", "dims": "judged", "prior": "items"}
 
 
 def closure(names: list[str]) -> set[str]:
@@ -136,6 +143,11 @@ def r6(c, name: str, n: int = 5):
     return F.round(c, n).alias(name)
 
 
+def _signed(x: str) -> str:
+    """SQL for an unsigned 64-bit number as the signed one of the same bits."""
+    return f"CASE WHEN {x} >= 9223372036854775808::UBIGINT THEN ({x}::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE {x}::BIGINT END"
+
+
 # scalar functions over items
 @query("SELECT path, round(bn, 5) AS blur_n, round(qn, 5) AS quality_n, round(expo_n, 5) AS expo_n, round(aes_n, 5) AS aes_n, round(face_n, 5) AS face_n FROM norms", "norms")
 def normalize(s, d):
@@ -190,9 +202,9 @@ def parse_capture_time(s, d):
     return table(s, d, "events").select("event_id", F.date_format(X.parse_capture_time(raw), "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
-@query("SELECT path, CASE WHEN blur_score >= 120 THEN 'good' WHEN blur_score >= 60 THEN 'warn' ELSE 'bad' END AS clarity, floor(greatest(0.0::DOUBLE, least(1.0::DOUBLE, blur_score / 200.0::DOUBLE)) * 100.0::DOUBLE)::INT AS clarity_pct, CASE WHEN over_ratio * 100 > 50 OR under_ratio * 100 > 50 THEN 'bad' WHEN over_ratio * 100 > 20 OR under_ratio * 100 > 20 THEN 'warn' ELSE 'good' END AS exposure, CASE WHEN aesthetic IS NULL THEN 'muted' WHEN aesthetic >= 60 THEN 'good' WHEN aesthetic >= 40 THEN 'warn' ELSE 'bad' END AS aesthetics FROM items", "items")
+@query("SELECT path, dim, value, level FROM dims", "dims")
 def score_breakdown(s, d):
-    return items(s, d).select("path", X.level(F.col("blur_score"), 120, 60).alias("clarity"), X.clarity_percent(F.col("blur_score")).alias("clarity_pct"), X.exposure_level(F.col("over_ratio"), F.col("under_ratio")).alias("exposure"), X.level(F.col("aesthetic"), 60, 40).alias("aesthetics"))
+    return judged(s, d).select("path", F.explode(X.breakdown(CONFIG)).alias("d")).select("path", "d.*")
 
 
 # similarity
@@ -206,20 +218,17 @@ def exact_duplicates(s, d):
     return similarity.exact_duplicates(fingerprints(s, d), "path").select("rep", "size")
 
 
-@query("SELECT path, n::BIGINT AS n_words, bit_count(fp)::INT AS ones FROM fps JOIN (SELECT path, count(*) AS n FROM word_bits GROUP BY path) USING (path)", "fps")
+@query(f"SELECT path, n::BIGINT AS n_words, {_signed('fp')} AS fp FROM fps JOIN (SELECT path, count(*) AS n FROM word_bits GROUP BY path) USING (path)", "fps")
 def simhash(s, d):
     n = table(s, d, "documents").select(F.concat(F.lit("/"), "source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".txt")).alias("path"), F.size(F.array_distinct(words(F.col("text")))).cast("long").alias("n_words"))
-    return fingerprints(s, d).join(n, "path").select("path", "n_words", F.bit_count("fp").cast("int").alias("ones"))
+    return fingerprints(s, d).join(n, "path").select("path", "n_words", "fp")
 
 
-@query("SELECT src, dst, bit_count(xor(a.fp, b.fp))::INT AS dist FROM (SELECT path AS src, lead(path) OVER (ORDER BY path) AS dst FROM fps) p JOIN fps a ON a.path = src JOIN fps b ON b.path = dst", "fps")
+@query("SELECT a.path AS src, b.path AS dst, coalesce(bit_count(xor(x.fp, y.fp)), 255)::INT AS dist FROM items a JOIN items b ON b.doc_id = a.doc_id + 1 LEFT JOIN fps x ON x.path = a.path LEFT JOIN fps y ON y.path = b.path", "fps")
 def hamming_distance(s, d):
-    from pyspark.sql import window as W
-
-    f = fingerprints(s, d)
-    nxt = W.Window.partitionBy(F.lit(0)).orderBy("path")
-    p = f.select(F.col("path").alias("src"), F.lead("path").over(nxt).alias("dst"), "fp", F.lead("fp").over(nxt).alias("fp2")).where("dst is not null")
-    return p.select("src", "dst", X.hamming(F.col("fp"), F.col("fp2")).alias("dist"))
+    i = full_items(s, d).select("doc_id", "path", "fp")
+    after = i.select((F.col("doc_id") - 1).alias("doc_id"), F.col("path").alias("dst"), F.col("fp").alias("fp2"))
+    return i.join(after, "doc_id").select(F.col("path").alias("src"), "dst", X.hamming(F.col("fp"), F.col("fp2")).alias("dist"))
 
 
 _BURST = "SELECT event_id, sum(new) OVER (ORDER BY ts, event_id)::BIGINT AS session FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY ts, event_id)) >= 60000000 THEN 1 ELSE 0 END AS new FROM events)"
@@ -239,8 +248,12 @@ def burst_sessions_by_user(s, d):
 
 @query("SELECT path, min(root) AS component FROM reach GROUP BY path", "reach")
 def connected_components(s, d):
-    j = judged(s, d)
-    return j.join(j.groupBy("group_id").agg(F.min("path").alias("component")), "group_id").select("path", "component")
+    i = full_items(s, d)
+    near = similarity.hamming_pairs(i, "path", 12).select("src", "dst")
+    bursts = cut(similarity.stitched_sessions(i.where("ts_ms is not null").select("path", "ts_ms"), F.col("ts_ms"), CONFIG.burst_gap_ms, ["path"], 3_600_000.0))
+    heads = bursts.groupBy("session").agg(F.min("path").alias("src"))
+    parts = components.connected_components(near.unionByName(bursts.join(heads, "session").select("src", F.col("path").alias("dst"))))
+    return i.select("path").join(parts, F.col("path") == F.col("node"), "left").select("path", F.coalesce("component", "path").alias("component"))
 
 
 @query("SELECT path, group_id FROM grouped", "grouped")
@@ -254,10 +267,25 @@ def curate(s, d):
     return judged(s, d).select("path", "group_id", r6(F.col("comp_score"), "comp_score", 4), "is_best", "is_uncertain", "is_candidate", "candidate_rank", "is_similar_loser", "is_waste", "waste_reasons", "star")
 
 
-@query()
+def _with(name: str, *changes: tuple[str, str]) -> str:
+    """A common table with other constants."""
+    sql = CTES[name]
+    for old, new in changes:
+        assert old in sql, (name, old)
+        sql = sql.replace(old, new)
+    return sql
+
+
+_CUSTOM = {
+    "near": _with("near", ("< 12", "< 8")), "bursts": _with("bursts", ("< 5000", "< 20000")), "verd": _with("verd", ("gap < 3", "gap < 1"), ("group_conf < 0.6", "group_conf < 0.3")),
+    "gscene": "SELECT group_id, 'landscape' AS group_scene, 1.0::DOUBLE AS group_conf FROM grouped GROUP BY group_id", "weights": "SELECT 'landscape' AS scene, 0.4::DOUBLE AS w0, 0.2::DOUBLE AS w1, 0.2::DOUBLE AS w2, 0.2::DOUBLE AS w3",
+}
+
+
+@query("SELECT path, group_id, is_best, is_candidate, is_waste FROM judged", "judged", _CUSTOM)
 def curate_custom(s, d):
     c = Config(burst_gap_ms=20_000.0, hash_threshold=8, score_gap=1.0, confidence_low=0.3, forced_scene="landscape", weights=(0.4, 0.2, 0.2, 0.2))
-    return plan.curate(full_items(s, d), c).select("path", "group_id", "is_best", "is_waste")
+    return plan.curate(full_items(s, d), c).select("path", "group_id", "is_best", "is_candidate", "is_waste")
 
 
 @query("SELECT group_id, group_scene, round(group_conf, 5) AS group_conf FROM gscene", "gscene")
@@ -267,7 +295,7 @@ def group_scene(s, d):
 
 @query("SELECT path, group_id, rank FROM ranked", "ranked")
 def rank_in_group(s, d):
-    return judged(s, d).select("path", "group_id", F.col("rank").cast("long").alias("rank"))
+    return verdict.rank_in_group(judged(s, d).drop("rank")).select("path", "group_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT group_id, best_path, is_uncertain, CASE WHEN is_uncertain THEN least(clean, 5) ELSE 0 END::INT AS n_candidates, round(gap, 4) AS gap FROM verd", "verd")
@@ -310,15 +338,16 @@ def uncertain_groups(s, d):
     return plan.groups_of(judged(s, d)).where("is_uncertain and size >= 2").select("group_id", "size").orderBy("group_id")
 
 
-@query("SELECT group_id, path, round(comp_score, 4) AS comp_score FROM judged WHERE group_id < 50", "judged")
+@query("SELECT group_id, path, round(comp_score, 4) AS comp_score FROM judged", "judged")
 def group_members(s, d):
     return judged(s, d).orderBy("group_id", F.desc("comp_score")).select("group_id", "path", r6(F.col("comp_score"), "comp_score", 4))
 
 
 # views and rollups
-@query("SELECT count(*)::BIGINT AS total, count(*) FILTER (is_waste)::BIGINT AS waste, count(*) FILTER (star > 0)::BIGINT AS starred, count(*) FILTER (star = 5)::BIGINT AS star5, count(*) FILTER (is_best)::BIGINT AS best, count(*) FILTER (is_uncertain)::BIGINT AS uncertain_photos, count(*) FILTER (is_candidate)::BIGINT AS candidate_photos, (SELECT count(*) FROM groups WHERE is_uncertain)::BIGINT AS uncertain_groups, (SELECT count(*) FROM groups)::BIGINT AS groups FROM judged", "groups")
+@query("SELECT count(*)::BIGINT AS total, count(*) FILTER (is_waste)::BIGINT AS waste, count(*) FILTER (star > 0)::BIGINT AS starred, count(*) FILTER (star = 5)::BIGINT AS star5, count(*) FILTER (is_best)::BIGINT AS best, count(*) FILTER (is_uncertain)::BIGINT AS uncertain_photos, count(*) FILTER (is_candidate)::BIGINT AS candidate_photos, (SELECT count(*) FROM groups WHERE is_uncertain)::BIGINT AS uncertain_groups, (SELECT count(*) FROM groups)::BIGINT AS groups, (SELECT string_agg(scene || '=' || n, ',' ORDER BY scene) FROM (SELECT scene, count(*) AS n FROM judged GROUP BY scene)) AS scenes FROM judged", "groups")
 def collection_stats(s, d):
-    return views.collection_stats(judged(s, d), plan.groups_of(judged(s, d)))
+    out = views.collection_stats(judged(s, d), plan.groups_of(judged(s, d)))
+    return out.withColumn("scenes", F.array_join(F.transform(F.map_entries("scenes"), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
 
 
 @query("SELECT scene, count(*)::BIGINT AS n FROM items GROUP BY scene", "items")
@@ -351,9 +380,9 @@ def export_metrics(s, d):
     return judged(s, d).agg(F.count("*").alias("total"), F.count_if(X.keep(F.col("star"), F.col("label"), CONFIG)).alias("selected"), F.count_if("is_waste").alias("waste"), F.countDistinct(F.when(F.col("is_uncertain"), F.col("group_id"))).alias("undecided"))
 
 
-@query("SELECT path, scene FROM judged WHERE scene = 'portrait' AND NOT is_waste AND contains(fname, '1')", "judged")
+@query("SELECT path, scene FROM judged WHERE scene = 'portrait' AND NOT is_waste AND fname ILIKE '%1_.TXT%'", "judged")
 def filter_items(s, d):
-    return judged(s, d).where(views.item_filter({"scene": "portrait", "is_waste": False, "search": "1", "label": ""})).select("path", "scene")
+    return judged(s, d).where(views.item_filter({"scene": "portrait", "is_waste": False, "search": "1_.TXT", "label": ""})).select("path", "scene")
 
 
 @query("SELECT count(*)::BIGINT AS n FROM judged WHERE star >= 5 AND NOT is_uncertain", "judged")
@@ -363,7 +392,12 @@ def filtered_count(s, d):
 
 @query("SELECT path FROM items WHERE quality IS NULL", "items")
 def missing_field(s, d):
-    return judged(s, d).where("quality is null").select("path")
+    return views.missing(judged(s, d), "quality")
+
+
+@query("SELECT path FROM items ORDER BY path LIMIT 25", "items")
+def first_items(s, d):
+    return items(s, d).select("path").orderBy("path").limit(25)
 
 
 @query("SELECT path, fname, round(blur_score, 5) AS blur_score FROM items WHERE doc_id = 42", "items")
@@ -401,22 +435,22 @@ def badge(s, d):
     return judged(s, d).select("path", X.badge().alias("badge"), X.face_badge(CONFIG).alias("face_badge"), X.status_class(CONFIG).alias("status"))
 
 
-@query("SELECT fname, path, scene, round(scene_conf, 3) AS scene_conf, star, coalesce(label, '') AS label, coalesce(waste_reasons, '') AS waste_reasons, is_best::INT AS is_best, group_id FROM (SELECT * REPLACE (CASE WHEN scene_conf = 0 THEN 1.0 ELSE scene_conf END AS scene_conf) FROM judged) WHERE star >= 4 OR label = 'P'", "judged")
+@query("SELECT fname, path, scene, round(scene_conf, 3) AS scene_conf, star, coalesce(label, '') AS label, coalesce(waste_reasons, '') AS waste_reasons, is_best::INT AS is_best, group_id, round(comp_score, 1) AS comp_score, round(blur_score, 1) AS blur_score, round(over_ratio, 3) AS over_ratio, round(under_ratio, 3) AS under_ratio, round(aesthetic, 1) AS aesthetic FROM (SELECT * REPLACE (CASE WHEN scene_conf = 0 THEN 1.0 ELSE scene_conf END AS scene_conf) FROM judged) WHERE star >= 4 OR label = 'P'", "judged")
 def export_manifest(s, d):
-    return views.export_manifest(judged(s, d), CONFIG).select("fname", "path", "scene", "scene_conf", "star", "label", "waste_reasons", "is_best", "group_id")
+    return views.export_manifest(judged(s, d), CONFIG)
 
 
-@query("SELECT path AS src, 'photos/' || CASE WHEN n = 1 THEN f ELSE replace(f, '.txt', '') || '_' || n || '.txt' END AS dst FROM (SELECT path, f, row_number() OVER (PARTITION BY f ORDER BY path) AS n FROM (SELECT path, lpad((doc_id % 50)::VARCHAR, 3, '0') || '.txt' AS f FROM items))", "items")
+@query("""WITH f AS (SELECT path, CASE WHEN doc_id % 50 = 7 THEN '006_2.txt' ELSE lpad((doc_id % 50)::VARCHAR, 3, '0') || '.txt' END AS f FROM items), k AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY path) AS n FROM f), m AS (SELECT *, CASE WHEN n = 1 THEN f ELSE replace(f, '.txt', '') || '_' || n || '.txt' END AS name FROM k)
+  SELECT path AS src, CASE WHEN n > 1 AND name IN (SELECT f FROM f) THEN 'photos-' || n || '/' || f ELSE 'photos/' || name END AS dst FROM m""".replace("WITH f", ", f", 1), "items")
 def copy_plan(s, d):
-    f = F.concat(F.lpad((F.col("doc_id") % 50).cast("string"), 3, "0"), F.lit(".txt"))
+    n = F.col("doc_id") % 50
+    f = F.when(n == 7, "006_2.txt").otherwise(F.concat(F.lpad(n.cast("string"), 3, "0"), F.lit(".txt")))
     return views.copy_plan(items(s, d).withColumn("fname", f))
 
 
-@query("SELECT a.path AS a_path, b.path AS b_path, round(a.comp_score - b.comp_score, 4) AS comp_diff FROM ranked a JOIN ranked b ON a.group_id = b.group_id AND a.rank = 1 AND b.rank = 2", "ranked")
+@query("SELECT a.path AS a_path, b.path AS b_path, round(a.comp_score - b.comp_score, 4) AS comp_diff, dim, a.value AS a_value, a.level AS a_level, b.value AS b_value, b.level AS b_level FROM dims a JOIN dims b USING (group_id, dim) WHERE a.rank = 1 AND b.rank = 2", "dims")
 def pair_compare(s, d):
-    j = judged(s, d)
-    one = lambda r, p: j.where(F.col("rank") == r).select("group_id", F.col("path").alias(f"{p}_path"), F.col("comp_score").alias(f"{p}_comp"))
-    return one(1, "a").join(one(2, "b"), "group_id").select("a_path", "b_path", r6(F.col("a_comp") - F.col("b_comp"), "comp_diff", 4))
+    return views.pair_levels(judged(s, d), CONFIG).drop("group_id").withColumn("comp_diff", F.round("comp_diff", 4))
 
 
 @query("SELECT count(*) FILTER (quality = 1)::BIGINT AS n1, count(*) FILTER (quality = 0)::BIGINT AS n0, round((avg(n_chars) FILTER (quality = 1) - avg(n_chars) FILTER (quality = 0)) / sqrt(((count(*) FILTER (quality = 1) - 1) * var_samp(n_chars) FILTER (quality = 1) + (count(*) FILTER (quality = 0) - 1) * var_samp(n_chars) FILTER (quality = 0)) / (count(*) - 2)), 5) AS d FROM documents JOIN labels USING (doc_id)")
@@ -425,18 +459,51 @@ def cohens_d(s, d):
 
 
 # incremental
-@query("SELECT i.path, n AS need_features, n OR p.aesthetic IS NULL OR p.scene IS NULL AS need_scores FROM (SELECT i.path, NOT (coalesce(abs(epoch_us(i.ts) - epoch_us(p.mtime)) <= 1, false) AND p.blur_score IS NOT NULL AND p.fp IS NOT NULL) AS n FROM items i LEFT JOIN prior p USING (path)) i LEFT JOIN prior p USING (path)", "prior")
+def signed_prior(spark: SparkSession, d: str) -> DataFrame:
+    """The stored state with the models and the source that made each row: some rows name none, some another."""
+    i = F.col("doc_id")
+    return prior(spark, d).withColumns({"model_signature": F.when(i % 17 != 0, F.when(i % 23 == 0, "aes=0|q=0").otherwise(SIGNATURE)), "source_root": F.when(i % 19 == 0, "/other").when(i % 3 != 0, "/root")})
+
+
+SIGNATURE = incremental.model_signature(q="1", aes="1")
+_USABLE = "doc_id % 17 <> 0 AND doc_id % 23 <> 0 AND doc_id % 19 <> 0"
+
+
+@query(f"SELECT i.path, n AS need_features, n OR p.aesthetic IS NULL OR p.scene IS NULL AS need_scores FROM (SELECT i.path, NOT (coalesce(abs(epoch_us(i.ts) - epoch_us(p.mtime)) <= 1, false) AND p.blur_score IS NOT NULL AND p.fp IS NOT NULL) AS n FROM items i LEFT JOIN (SELECT * FROM prior WHERE {_USABLE}) p USING (path)) i LEFT JOIN (SELECT * FROM prior WHERE {_USABLE}) p USING (path)", "prior")
 def incremental_plan(s, d):
-    return incremental.incremental_plan(items(s, d).withColumn("mtime", F.col("ts")), prior(s, d))
+    return incremental.incremental_plan(items(s, d).withColumn("mtime", F.col("ts")), signed_prior(s, d), SIGNATURE, "/root")
+
+
+_FRESH = f"NOT (doc_id % 5 <> 0 AND {_USABLE} AND doc_id % 7 <> 0 AND doc_id % 11 <> 0)"
+_MERGED = f"""SELECT * REPLACE (CASE WHEN fresh THEN blur_score ELSE blur_score * 0.9::DOUBLE END AS blur_score, CASE WHEN fresh OR doc_id % 13 = 0 THEN aesthetic ELSE aesthetic * 0.5::DOUBLE END AS aesthetic) FROM (SELECT *, {_FRESH} AS fresh FROM ({CTES["items"]}))"""
 
 
-@query("SELECT path, coalesce(u.aesthetic, p.aesthetic) AS aesthetic, CASE WHEN u.path IS NULL THEN p.scene END AS scene_if_old, p.fp FROM prior p FULL JOIN (SELECT path, doc_id::DOUBLE AS aesthetic FROM items WHERE doc_id % 10 < 3) u USING (path)", "prior")
+@query("SELECT path, group_id, round(comp_score, 4) AS comp_score, is_best, is_candidate, is_waste, waste_reasons FROM judged", "judged", {"items": _MERGED})
+def incremental_curate(s, d):
+    """A later run: stored values differ from fresh ones, so the result shows which were made anew."""
+    now = full_items(s, d).withColumn("mtime", F.col("ts"))
+    kept = signed_prior(s, d).select("path", F.col("mtime").alias("old"), "model_signature", "source_root", (F.col("blur_score") * 0.9).alias("blur"), (F.col("aesthetic") * 0.5).alias("aes"), F.col("fp").isNotNull().alias("has_fp"))
+    before = now.join(kept, "path").withColumns({"mtime": F.col("old"), "blur_score": F.col("blur"), "aesthetic": F.col("aes"), "fp": F.when(F.col("has_fp"), F.col("fp"))})
+    made = lambda rows: rows.select("path").join(now.select("path", *(c for c in collection.FEATURES if c in now.columns)), "path")
+    scored = lambda rows: rows.select("path").join(now.select("path", *collection.SCORES), "path")
+    merged = collection.refreshed(now.select("path", "mtime"), before, made, scored, SIGNATURE, "/root")
+    out = plan.curate(merged.withColumn("ts_ms", F.unix_micros("ts") / 1000.0), CONFIG)
+    return out.select("path", "group_id", r6(F.col("comp_score"), "comp_score", 4), "is_best", "is_candidate", "is_waste", "waste_reasons")
+
+
+@query("SELECT path, coalesce(p.aesthetic, i.doc_id::DOUBLE) AS aesthetic, p.scene FROM prior p JOIN items i USING (path)", "prior")
+def second_stage(s, d):
+    """Scores for stored rows that lack them."""
+    score = lambda rows: rows.select("path", F.col("doc_id").cast("double").alias("aesthetic"), F.lit("new").alias("scene"))
+    return features.fill_scores(prior(s, d), score, ("aesthetic", "scene")).select("path", "aesthetic", "scene")
+
+
+@query("SELECT path, coalesce(u.aesthetic, p.aesthetic) AS aesthetic, p.scene, p.fp FROM prior p FULL JOIN (SELECT path, doc_id::DOUBLE AS aesthetic FROM items WHERE doc_id % 10 < 3) u USING (path)", "prior")
 def upsert_merge(s, d):
     i = items(s, d).where("doc_id % 10 < 3")
     new = i.select("path", F.col("doc_id").cast("double").alias("aesthetic"), F.lit(2).alias("seq")).unionByName(i.select("path", F.lit(-1.0).alias("aesthetic"), F.lit(1).alias("seq")))
     merged = incremental.upsert(prior(s, d).drop("doc_id"), new, seq="seq")
-    touched = i.select(F.col("path").alias("t"))
-    return merged.join(touched, F.col("path") == F.col("t"), "left").select("path", "aesthetic", F.when(F.col("t").isNull(), F.col("scene")).alias("scene_if_old"), "fp")
+    return merged.select("path", "aesthetic", "scene", "fp")
 
 
 @query("SELECT path, CASE WHEN doc_id % 10 < 3 THEN 'x' ELSE scene END AS scene FROM prior", "prior")
@@ -500,6 +567,14 @@ def decision_undo(s, d):
     return decisions.fold(decisions.without_undone(decision_log(s, d)))
 
 
+@query("SELECT path, CASE WHEN doc_id % 6 = 0 THEN 0 ELSE 5 END AS star, CASE WHEN doc_id % 6 = 0 THEN '' ELSE 'P' END AS label, CASE WHEN doc_id % 9 = 0 THEN 'landscape' END AS scene_manual FROM items WHERE doc_id % 3 = 0", "items")
+def decision_rows(s, d):
+    """Picks, later removals of some, and scenes set by hand, folded."""
+    i = items(s, d).where("doc_id % 3 = 0")
+    rows = decisions.numbered(decisions.picked(i).unionByName(decisions.scene_set(i.where("doc_id % 9 = 0"), "landscape")), 0)
+    return decisions.fold(rows.unionByName(decisions.numbered(decisions.removed(i.where("doc_id % 6 = 0")), 1 << 60)))
+
+
 @query("SELECT path, 'pick' AS kind, 'X' AS value FROM judged JOIN groups USING (group_id) WHERE groups.best_path IS NOT NULL AND path <> groups.best_path", "groups")
 def keep_only_best(s, d):
     return decisions.keep_only_best(plan.groups_of(judged(s, d)), judged(s, d))
@@ -518,9 +593,9 @@ def tail_ratio(s, d):
     return m.select("vec_id", r6(F.col("over_ratio"), "over_ratio"), r6(F.col("under_ratio"), "under_ratio"))
 
 
-@query("SELECT vec_id, list_sum(list_transform(v, lambda x: CASE WHEN x > m THEN 1 ELSE 0 END))::INT AS ones FROM (SELECT vec_id, v, list_aggregate(v, 'median') AS m FROM vecs)", "vecs")
+@query(f"SELECT vec_id, {_signed('fp')} AS fp FROM (SELECT vec_id, list_sum(list_transform(range(64), lambda i: CASE WHEN v[i + 1] > m THEN pow(2::HUGEINT, i)::HUGEINT ELSE 0::HUGEINT END))::UBIGINT AS fp FROM (SELECT vec_id, v, list_aggregate(v, 'median') AS m FROM vecs))", "vecs")
 def grid_fingerprint(s, d):
-    return table(s, d, "embeddings").select("vec_id", F.bit_count(X.grid_bits(F.col("embedding"))).cast("int").alias("ones"))
+    return table(s, d, "embeddings").select("vec_id", X.grid_bits(F.col("embedding")).alias("fp"))
 
 
 _POINT = lambda a, b: f"sqrt(pow(v[{2 * a + 1}] - v[{2 * b + 1}], 2) + pow(v[{2 * a + 2}] - v[{2 * b + 2}], 2))"

@@ -46,7 +46,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Frames that stay for the session, by name; they read cut tables.
+KEPT: dict[tuple, DataFrame] = {}
+
+
 def clear_shared(spark: SparkSession) -> None:
-    """Delete the tables that this application has cut; frames that read them can no longer run."""
+    """Delete the tables that this application has cut; frames that read them can no longer run, and those kept by name are forgotten."""
+    KEPT.clear()
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

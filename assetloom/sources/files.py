@@ -7,17 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from py4j.java_gateway import JavaObject
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from assetloom.config import PHOTO, RAW
 from assetloom.session import ready
 
-PHOTO = ("jpg", "jpeg", "png")
-RAW = ("arw", "cr2", "cr3", "dng", "nef", "orf", "raf", "rw2")
-
 
 def scan_collection(spark: SparkSession, root: str, include_raw: bool = False, recursive: bool = True) -> DataFrame:
-    """`(path, mtime, size)` of photo files below a root, without hidden files and folders; file contents are not read."""
+    """`(path, mtime, size)` of photo files below a root, without hidden files and folders, in no order (sort where it is shown); file contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root).select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
     below = F.substring("path", F.length(F.regexp_extract("path", r"^(\w+:/*)", 1)) + 1, 1 << 30)
     kinds = "|".join(PHOTO + (RAW if include_raw else ()))
@@ -81,32 +80,54 @@ def image_features(spark: SparkSession, root: str) -> DataFrame:
 
 
 class Snapshots:
-    """Versions of a table below a folder. A version is written whole; a pointer row published after it makes it current."""
+    """Versions of a table below a folder. A version is written whole, then a pointer row in a folder named by its number makes
+    it current; a number that is there is never written again, so of two writers of one number the second fails. Writers
+    that start in the same instant are not told apart on stores whose folders have no exclusive creation."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointers(self) -> DataFrame | None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/current")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return self.spark.read.parquet(f"{self.root}/current") if fs.exists(path) else None
+    def _path(self, name: str) -> tuple[JavaObject, JavaObject]:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _pointers(self) -> list[Row]:
+        """Pointer rows, latest first: few, as old versions are removed by `keep`."""
+        path, fs = self._path("current")
+        schema = "version long, folder string, meta map<string,string>"
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(str(path)).orderBy(F.desc("version")).collect() if fs.exists(path) else []
 
     def version(self) -> tuple[int, str] | None:
-        p = self._pointers()
-        row = p.orderBy(F.desc("version")).first() if p is not None else None
-        return (row["version"], row["folder"]) if row else None
+        rows = self._pointers()
+        return (rows[0]["version"], rows[0]["folder"]) if rows else None
 
     def read(self, back: int = 0) -> DataFrame | None:
         """The current version, or the one `back` versions before."""
-        p = self._pointers()
-        rows = p.orderBy(F.desc("version")).limit(back + 1).collect() if p is not None else []
+        rows = self._pointers()
         return self.spark.read.parquet(f"{self.root}/{rows[back]['folder']}") if len(rows) > back else None
 
+    def meta(self, key: str) -> str | None:
+        """A value published with the current version, such as source_root or model_signature."""
+        rows = self._pointers()
+        return (rows[0]["meta"] or {}).get(key) if rows else None
+
     def publish(self, df: DataFrame, **meta: str) -> int:
-        """Write the next version, then its pointer with `meta` (such as source_root, model_signature)."""
-        now = self.version()
-        n, folder = (now[0] + 1 if now else 1), f"v-{uuid.uuid4().hex}"
+        """Write the next version, then its pointer. Values of `meta` are set; those of the version before stay otherwise."""
+        rows = self._pointers()
+        n, folder = (rows[0]["version"] + 1 if rows else 1), f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{folder}")
-        keys = sorted(meta)
-        self.spark.range(1).select(F.lit(n).cast("long").alias("version"), F.lit(folder).alias("folder"), F.create_map(*(F.lit(x) for k in keys for x in (k, meta[k]))).cast("map<string,string>").alias("meta") if keys else F.lit(None).cast("map<string,string>").alias("meta")).write.mode("append").parquet(f"{self.root}/current")
+        meta = ((rows[0]["meta"] or {}) if rows else {}) | meta
+        self.spark.createDataFrame([(n, folder, meta)], "version long, folder string, meta map<string,string>").coalesce(1).write.mode("errorifexists").parquet(f"{self.root}/current/{n}")
         return n
+
+    def keep(self, versions: int) -> None:
+        """Remove all but the latest versions; readers of removed ones fail."""
+        for r in self._pointers()[max(versions, 1) :]:
+            for name in (f"current/{r['version']}", r["folder"]):
+                path, fs = self._path(name)
+                fs.delete(path, True)
+
+    def clear(self) -> None:
+        """Remove all versions."""
+        path, fs = self._path("")
+        fs.delete(path, True)

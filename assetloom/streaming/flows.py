@@ -10,19 +10,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from assetloom.functions.exprs import hamming
 from assetloom.operators.incremental import upsert
-from assetloom.operators.similarity import hamming_pairs
+from assetloom.operators.similarity import band_radius, bands
 from assetloom.sources.files import Snapshots
 
 
-def ingest(spark: SparkSession, source: str, schema: str, features: Callable[[DataFrame], DataFrame], target: Snapshots, checkpoint: str, files: int = 16) -> StreamingQuery:
-    """Feature extraction over new files of a folder, some files at a time, each batch merged into the snapshot. A stopped run goes on where its checkpoint is."""
-    def merge(batch: DataFrame, _: int) -> None:
-        new = features(batch)
-        old = target.read()
-        target.publish(new if old is None else upsert(old, new))
+def ingest(spark: SparkSession, source: str, schema: str, features: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str, files: int = 16) -> StreamingQuery:
+    """Feature extraction over new files of a folder, some files at a time, each batch written to a folder of its number.
 
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    A batch costs what it holds, whatever is stored already. A stopped run goes on where its checkpoint is, and a batch
+    that comes again replaces what it wrote before. `folder` and `checkpoint` belong together; `compact` merges the batches.
+    """
+    def add(batch: DataFrame, number: int) -> None:
+        features(batch).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def compact(spark: SparkSession, folder: str, target: Snapshots, key: str = "path") -> int | None:
+    """Merge the batches of `folder` that the snapshot does not have yet into its next version, later ones over earlier. Returns that version, None if there are none."""
+    done = int(target.meta("batch") or -1)
+    new = spark.read.option("basePath", folder).parquet(folder).where(F.col("batch") > done)
+    last = new.agg(F.max("batch")).first()[0]
+    if last is None:
+        return None
+    old = target.read()
+    old = new.drop("batch").limit(0) if old is None else old
+    return target.publish(upsert(old, new, key, seq="batch"), batch=str(last))
 
 
 def online_bursts(events: DataFrame, gap_us: int, late: str, by: list[str] | None = None, ts: str = "ts") -> DataFrame:
@@ -33,24 +48,34 @@ def online_bursts(events: DataFrame, gap_us: int, late: str, by: list[str] | Non
 
 def decision_stream(log: DataFrame) -> DataFrame:
     """Latest `(path, star, label, scene_manual)` of a stream of decisions, in update mode; a lower seq never overwrites a higher one."""
+    fields = ("star", "label", "scene")
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seqs, values = (list(x) for x in state.get) if state.exists else ([-1, -1, -1], [None, None, None])
         for pdf in batches:
-            for r in pdf.sort_values("seq").itertuples():
-                sets = {"star": [(0, r.value)], "label": [(1, r.value)], "scene": [(2, r.value)], "pick": [(1, r.value), (0, "5" if r.value == "P" else "0")]}
-                for i, v in sets.get(r.kind, []):
-                    if r.seq >= seqs[i]:
-                        seqs[i], values[i] = int(r.seq), v
+            last = pdf.sort_values("seq", kind="stable").drop_duplicates("field", keep="last").set_index("field")
+            for i, f in enumerate(fields):
+                if f in last.index and last.at[f, "seq"] >= seqs[i]:
+                    seqs[i], values[i] = int(last.at[f, "seq"]), last.at[f, "value"]
         state.update((seqs, values))
-        yield pd.DataFrame([(key[0], None if values[0] is None else int(values[0]), values[1], values[2])], columns=["path", "star", "label", "scene_manual"]).astype({"star": "Int32"})
+        yield pd.DataFrame([(key[0], pd.to_numeric(values[0], errors="coerce"), values[1], values[2])], columns=["path", "star", "label", "scene_manual"]).astype({"star": "Int32"})
+
+    pick = F.array(F.struct(F.lit("label").alias("field"), F.col("value").alias("value")), F.struct(F.lit("star").alias("field"), F.when(F.col("value") == "P", "5").otherwise("0").alias("value")))
+    one = F.array(F.struct(F.col("kind").alias("field"), F.col("value").alias("value")))
+    sets = log.where(F.col("kind").isin("pick", *fields)).select("seq", "path", F.explode(F.when(F.col("kind") == "pick", pick).otherwise(one)).alias("f")).select("seq", "path", "f.field", "f.value")
+    return sets.groupBy("path").applyInPandasWithState(step, "path string, star int, label string, scene_manual string", "seqs array<bigint>, vals array<string>", "update", GroupStateTimeout.NoTimeout)
+
 
-    return log.groupBy("path").applyInPandasWithState(step, "path string, star int, label string, scene_manual string", "seqs array<bigint>, vals array<string>", "update", GroupStateTimeout.NoTimeout)
+def band_index(stored: DataFrame) -> DataFrame:
+    """Four rows `(stored, fp, at)` for each fingerprint of stored items `(path, fp)`, with the least path that has it. Write it once and add to it; `near_stored` reads it."""
+    return bands(stored.where("fp is not null").groupBy("fp").agg(F.min("path").alias("stored")), 0, ["stored", "fp"])
 
 
-def near_stored(batch: DataFrame, stored: DataFrame, threshold: int = 12) -> DataFrame:
-    """For `foreachBatch`: `(path, stored, dist)` of a new item and, for each close stored fingerprint, the least stored path; both sides have (path, fp)."""
-    kept = stored.where("fp is not null").groupBy("fp").agg(F.min("path").alias("stored")).withColumnRenamed("fp", "dst")
-    fps = batch.select("fp").unionByName(stored.select("fp")).where("fp is not null").distinct()
-    pairs = hamming_pairs(fps.withColumn("key", F.col("fp")), "key", threshold)
-    both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist")).unionByName(fps.select(F.col("fp").alias("src"), F.col("fp").alias("dst"), F.lit(0).alias("dist")))
-    return batch.select("path", "fp").join(both, F.col("fp") == F.col("src")).join(kept, "dst").select("path", "stored", "dist")
+def near_stored(batch: DataFrame, index: DataFrame, threshold: int = 12) -> DataFrame:
+    """For `foreachBatch`: `(path, stored, dist)` of a new item `(path, fp)` and, for each close stored fingerprint of the
+    `band_index`, the least stored path. Only the batch's fingerprints are widened; stored ones meet them as they are, not each other."""
+    new = bands(batch.select("fp").where("fp is not null").distinct(), band_radius(threshold), ["fp"]).withColumnRenamed("fp", "new_fp")
+    dist = hamming(F.col("new_fp"), F.col("fp"))
+    met = index.join(new, "at").where(dist < threshold).select("new_fp", "fp", "stored", dist.alias("dist"))
+    least = met.groupBy("new_fp", "fp").agg(F.min("stored").alias("stored"), F.first("dist").alias("dist")).drop("fp")  # once, in however many bands
+    return batch.select("path", "fp").join(least, F.col("fp") == F.col("new_fp")).select("path", "stored", "dist")
