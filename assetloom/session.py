@@ -43,9 +43,22 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    CUTS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that this process has cut, in order.
+CUTS: list[str] = []
+
+
+def drop_cuts(spark: SparkSession, paths: list[str]) -> None:
+    """Delete cut tables that no frame will read any more."""
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        CUTS.remove(p)
+
+
 #: Frames that stay for the session, by name; they read cut tables.
 KEPT: dict[tuple, DataFrame] = {}
 
@@ -53,5 +66,6 @@ KEPT: dict[tuple, DataFrame] = {}
 def clear_shared(spark: SparkSession) -> None:
     """Delete the tables that this application has cut; frames that read them can no longer run, and those kept by name are forgotten."""
     KEPT.clear()
+    CUTS.clear()
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

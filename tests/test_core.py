@@ -1,9 +1,13 @@
 """Core operators against brute force, their unit cases, and streaming forms against batch ones."""
 
+import hashlib
 import random
 import struct
+import time
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +104,8 @@ def test_undo_cancels_a_decision(spark):
     log = spark.createDataFrame([(1, "a", "star", "3"), (2, "a", "pick", "X"), (3, "a", "undo", "2")], "seq long, path string, kind string, value string")
     assert decisions.fold(decisions.without_undone(log)).first()["star"] == 3
     assert decisions.fold(log).first()["star"] == 0
+    odd = log.unionByName(spark.createDataFrame([(4, "a", "undo", "none"), (5, "a", "undo", None), (6, "b", "star", "many")], log.schema))
+    assert {r["path"]: r["star"] for r in decisions.fold(decisions.without_undone(odd)).collect()} == {"a": 3, "b": None}
 
 
 def _png(path, rows):
@@ -125,24 +131,133 @@ def test_images_and_scan(spark, tmp_path):
 
 
 def test_ingest_stream_resumes_and_merges(spark, tmp_path):
-    from assetloom.streaming.flows import ingest
+    from assetloom.streaming.flows import compact, ingest
 
-    src, snap = str(tmp_path / "in"), files.Snapshots(spark, f"file://{tmp_path}/snap")
+    src, deltas, snap = str(tmp_path / "in"), f"file://{tmp_path}/deltas", files.Snapshots(spark, f"file://{tmp_path}/snap")
     spark.createDataFrame([("a", 1.0), ("b", 2.0)], "path string, x double").write.parquet(src)
-    run = lambda: ingest(spark, src, "path string, x double", lambda b: b.withColumn("y", F.col("x") * 2), snap, str(tmp_path / "cp")).awaitTermination()
+    seen = spark.sparkContext.accumulator(0)
+
+    def features(batch):
+        def count(rows):
+            for r in rows:
+                seen.add(len(r))
+                yield r
+
+        return batch.mapInPandas(count, batch.schema).withColumn("y", F.col("x") * 2)
+
+    run = lambda: ingest(spark, src, "path string, x double", features, deltas, str(tmp_path / "cp")).awaitTermination()
     run()
-    first = snap.version()[0]
+    assert compact(spark, deltas, snap) == 1 and seen.value == 2
     run()
-    assert snap.version()[0] == first
+    assert compact(spark, deltas, snap) is None and snap.version()[0] == 1
     spark.createDataFrame([("b", 5.0)], "path string, x double").write.mode("append").parquet(src)
     run()
+    assert seen.value == 3  # a batch reads its own rows only
+    assert compact(spark, deltas, snap) == 2
     assert sorted(map(tuple, snap.read().collect())) == [("a", 1.0, 2.0), ("b", 5.0, 10.0)]
     assert sorted(snap.read(back=1).select("x").toPandas()["x"])[0] == 1.0
 
 
+def test_a_batch_that_comes_again_counts_once(spark, tmp_path):
+    """The same batch number is written again, as after a failure between writing and committing."""
+    from assetloom.streaming.flows import compact, ingest
+
+    src, deltas, snap = str(tmp_path / "in"), f"file://{tmp_path}/deltas", files.Snapshots(spark, f"file://{tmp_path}/snap")
+    spark.createDataFrame([("a", 1.0)], "path string, x double").write.parquet(src)
+    for checkpoint in ("one", "two"):
+        ingest(spark, src, "path string, x double", lambda b: b, deltas, str(tmp_path / checkpoint)).awaitTermination()
+    assert spark.read.parquet(deltas).count() == 1 and compact(spark, deltas, snap) == 1
+    assert compact(spark, deltas, snap) is None and snap.read().count() == 1
+
+
 def test_copy_plan_never_overwrites(spark):
     out = views.copy_plan(spark.createDataFrame([("/a/x.jpg", "x.jpg"), ("/b/x.jpg", "x.jpg"), ("/c/y", "y")], "path string, fname string")).collect()
     assert len({r["dst"] for r in out}) == 3
+    out = views.copy_plan(spark.createDataFrame([("/a/x.jpg", "x.jpg"), ("/b/x.jpg", "x.jpg"), ("/c/x_2.jpg", "x_2.jpg"), ("/d/x_2.jpg", "x_2.jpg"), ("/e/x_2_2.jpg", "x_2_2.jpg"), ("/f/a.b.c", "a.b.c"), ("/g/a.b.c", "a.b.c")], "path string, fname string")).collect()
+    assert len({r["dst"] for r in out}) == 7 and {r["src"]: r["dst"] for r in out}["/c/x_2.jpg"] == "photos/x_2.jpg"
+
+
+def test_search_heeds_no_case_and_missing_fields(spark):
+    df = spark.createDataFrame([("p", "IMG_001.JPG", None), ("q", "img-002.jpg", 1.0), ("r", "x%y.png", None)], "path string, fname string, quality double")
+    find = lambda t: sorted(r["path"] for r in df.where(views.item_filter({"search": t})).collect())
+    assert find("img") == ["p", "q"] and find("JPG") == ["p", "q"] and find("g_0") == ["p", "q"] and find("%y") == ["r"] and find("\\") == []
+    assert sorted(r["path"] for r in views.missing(df, "quality").collect()) == ["p", "r"]
+    assert views.missing(df, "no_such_field").collect() == [] and views.missing(df, "aesthetic").collect() == []
+
+
+def test_known_columns_and_empty_updates(spark):
+    df = spark.createDataFrame([("a", "f", 1)], "path string, fname string, other int")
+    assert incremental.known_columns(df).columns == ["path", "fname"] and incremental.known_columns(df, ("other",)).columns == df.columns
+    assert incremental.upsert(df, df.select("path"), insert=False).collect() == df.collect()
+    more = spark.createDataFrame([("a",), ("b",), ("b",)], "path string")
+    assert sorted(map(tuple, incremental.upsert(df, more).collect())) == [("a", "f", 1), ("b", None, None)]
+
+
+def test_simhash_equals_a_plain_one(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["a", "bb", "ç", "d-d", "E"]) + str(rng.randrange(30)) for _ in range(rng.choice([1, 2, 7, 300])))) for i in range(60)] + [(99, ""), (98, None)]
+    want = {}
+    for i, t in rows:
+        if t:
+            hs = [int(hashlib.md5(w.encode()).hexdigest()[:16], 16) for w in set(t.split())]
+            v = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+            want[i] = v - (1 << 64) if v >> 63 else v
+    df = spark.createDataFrame(rows, "id long, t string")
+    got = similarity.simhash(df, "id", F.filter(F.split(F.coalesce("t", F.lit("")), " "), lambda x: x != ""))
+    assert {r["id"]: r["fp"] for r in got.collect()} == want
+    edges = np.array([0, 3, 3, 5])
+    assert similarity.word_bits(pa.array(["x", "y", "z", "x", "y"]), edges, at_once=2).tolist() == similarity.word_bits(pa.array(["x", "y", "z", "x", "y"]), edges).tolist()
+
+
+def test_judging_by_top_members_equals_whole_ranks(spark):
+    """A group with most of all rows, ties, and groups without clean members."""
+    from assetloom.operators import verdict
+    from pyspark.sql import window as W
+
+    rng = random.Random(4)
+    rows = [(f"p{i:03}", rng.choice([0, 0, 0, 0, 1, 2, 3 + i]), rng.choice([0.0, 20.0, 100.0, 150.0, 151.0]), rng.choice(["portrait", "other"]), rng.random(), rng.getrandbits(60)) for i in range(400)]
+    df = spark.createDataFrame(rows, "path string, group_id long, blur_score double, scene string, scene_conf double, fp long").withColumns({"over_ratio": F.lit(0.0), "under_ratio": F.lit(0.0), "aesthetic": F.lit(50.0), "quality": F.lit(None).cast("double"), "is_face": F.lit(False), "ear": F.lit(None).cast("double"), "eye_close_prob": F.lit(None).cast("double")})
+    scored = verdict.score_items(df, Config())
+    out = {r["path"]: r for r in verdict.judge(scored, Config()).collect()}
+    ranks = {r["path"]: r for r in verdict.rank_in_group(scored).withColumn("n", F.count_if(~F.col("hard_waste")).over(W.Window.partitionBy("group_id"))).collect()}
+    for p, r in out.items():
+        rank = ranks[p]["rank"]
+        assert r["rank"] == (rank if rank and rank <= 5 else None)
+        assert r["is_best"] == (not r["is_uncertain"] and rank == 1)
+        assert r["candidate_rank"] == (rank if r["is_uncertain"] and rank and rank <= min(5, ranks[p]["n"]) else 0)
+
+
+def test_a_large_grid_and_many_classes_take_linear_time(spark):
+    df = spark.range(20).select(F.transform(F.sequence(F.lit(0), F.lit(4095)), lambda i: (i * 37 % 101).cast("double")).alias("g"), F.transform(F.sequence(F.lit(1), F.lit(256)), lambda i: F.sqrt(i.cast("double"))).alias("l"))
+    began = time.time()
+    r = df.select(X.variance(F.col("g")).alias("v"), X.softmax(F.col("l")).alias("p")).collect()[-1]
+    assert time.time() - began < 15  # each value was once visited for each other one: minutes
+    x = np.arange(4096) * 37 % 101
+    e = np.exp(np.sqrt(np.arange(1, 257)) - 16)
+    assert np.isclose(r["v"], x.var()) and np.allclose(r["p"], e / e.sum())
+
+
+def test_failing_scorers_leave_nulls(spark):
+    from assetloom.operators import features
+
+    def scorer(pdf):
+        if len(pdf) > 1 and (pdf["x"] == 3).any():
+            raise ValueError("batch")
+        if (pdf["x"] == 3).any():
+            raise ValueError("row")
+        return pdf["x"] * 2.0
+
+    got = {r["x"]: r["s"] for r in features.score_batches(spark.range(6).select(F.col("id").alias("x")).coalesce(1), scorer, "s").collect()}
+    assert got == {0: 0.0, 1: 2.0, 2: 4.0, 3: None, 4: 8.0, 5: 10.0}
+
+
+def test_kept_frames_are_forgotten_with_their_tables(spark):
+    from assetloom import queries, session
+
+    sf = "/root/testdata/sf0.001"
+    queries.queries()["waste_set"](spark, sf).count()
+    session.clear_shared(spark)
+    assert queries.queries()["waste_set"](spark, sf).count() > 0
 
 
 def test_group_members_are_those_of_all_groups(spark):

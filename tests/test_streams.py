@@ -71,7 +71,9 @@ def test_near_stored_equals_brute_force(spark):
     stored = [(f"s{i:02}", fp) for i, fp in enumerate(base)] + [("s99", base[0]), ("null", None)]
     new = [(f"n{i:02}", flip(rng.choice(base), rng.randrange(15))) for i in range(60)] + [("nx", base[0]), ("nn", None)]
     schema = "path string, fp long"
-    got = flows.near_stored(spark.createDataFrame(new, schema), spark.createDataFrame(stored, schema), 12).collect()
+    index = flows.band_index(spark.createDataFrame(stored, schema))
+    assert index.count() == 4 * 40  # stored fingerprints are not widened
+    got = flows.near_stored(spark.createDataFrame(new, schema), index, 12).collect()
     least = {}
     for p, fp in stored:
         if fp is not None:
