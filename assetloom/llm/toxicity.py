@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     return Model(chosen, weights, bias)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.5, most: int = 3000, least_docs: int = 4, keep: int = 4096) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.5, most: int = 3000, least_docs: int = 4, keep: int = 4096, row: str | None = None) -> DataFrame:
     """Per row of `docs`: `doc_id`, `held_out`, `score` (0 to 1, higher: label 1 likelier), `predicted`.
 
     The model learns from at most `most` labelled rows of each class and has the `keep` most telling n-grams of those
@@ -159,17 +159,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
     Null and empty texts have no n-grams and get the model's bias. Null ids are scored, never learned from; repeated rows
     are scored each. Labels that are null or neither 0 nor 1 do not count; of repeated ones 1 wins. With labels of one
     class only, all rows score for that class; with none, all rows score as label 0. Other columns are not read; an
-    empty table gives an empty result.
+    empty table gives an empty result. A column `row` that tells rows apart where ids do not may be named; it is returned too.
     """
     model = fit(docs, labels, id, text, label, most, least_docs=least_docs, keep=keep)
-    rows = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    kept = ["doc_id", *([row] if row else [])]
+    rows = docs.select(F.col(id).alias("doc_id"), *kept[1:], F.col(text).cast("string").alias("text"))
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
         wanted = table != 0
         for batch in batches:
             for lo, hi, doc, feature in features_of(batch, wanted):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(model.scores(hi - lo, doc, feature, table))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in kept), pa.array(model.scores(hi - lo, doc, feature, table))], [*kept, "score"])
 
-    scored = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = rows.mapInArrow(run, f"{kinds}, score double")
+    return scored.select(*kept, held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

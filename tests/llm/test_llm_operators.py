@@ -541,15 +541,34 @@ def test_odd_pages_and_captures(spark):
     assert line_dedup.drop_boilerplate(pages.where("false")).collect() == []
 
 
-def test_pipeline_keeps_clean_documents_and_drops_planted_ones(spark, tmp_path):
-    """Each stage against a plain reading of its input."""
+def plain_hits(text, items, width=13):
+    """(words, hit words) by comparing every window with every place."""
+    w = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower())
+    known = {}
+    for b in items:
+        b = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (b or "").encode().lower())
+        m = min(width, len(b))
+        known.setdefault(m, set()).update(tuple(b[j : j + m]) for j in range(len(b) - m + 1 if m else 0))
+    hit = {p + k for m, ws in known.items() if m for p in range(len(w) - m + 1) if tuple(w[p : p + m]) in ws for k in range(m)}
+    return len(w), len(hit)
+
+
+def test_pipeline_stages_against_plain_versions(spark, tmp_path):
+    """Each stage against a plain reading of its own input; toxicity against the labels it may not learn from."""
     docs = table(spark, SF, "documents")
+    toxic = {r["doc_id"]: r["toxic"] for r in table(spark, SF, "labels").collect()}
+    items = [r["text"] for r in table(spark, SF, "benchmark").collect()]
     for name, stage in corpus_pipeline.STAGES:
         before = {r["doc_id"]: r["text"] for r in docs.collect()}
         docs = stage(spark, docs, SF)
         docs.write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         after = {r["doc_id"] for r in docs.select("doc_id").collect()}
+        if name == "toxicity":
+            scored = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(table(spark, SF, "documents"), table(spark, SF, "labels")).collect()}
+            assert after == {i for i in before if scored[i] == 0}
+            held = [i for i in before if i in toxic and zlib.crc32(str(i).encode()) % 5 == 0]
+            assert sum((i in after) == (toxic[i] == 0) for i in held) >= 0.9 * len(held) and len(after) > 0.8 * len(before)
         if name == "exact_dedup":
             norm = {}
             for i in sorted(before):
@@ -557,10 +576,34 @@ def test_pipeline_keeps_clean_documents_and_drops_planted_ones(spark, tmp_path):
             assert after == set(norm.values())
         if name == "ngram_jaccard":
             assert after == {c for _, _, c in brute_components(sorted(before.items()), 5, 80)}
+        if name == "decontamination":
+            hits = {i: plain_hits(t, items) for i, t in before.items()}
+            assert after == {i for i, (n, h) in hits.items() if not (h and 20 * h >= n)} and len(after) < len(before)
         if name == "packing":
             assert after == set(before)
 
 
+def test_pipeline_stages_with_odd_rows(spark, tmp_path):
+    """Null and repeated ids, nulls in any column, repeated rows, an extra column: every row is decided on by itself."""
+    bench = " ".join(f"bench{k}" for k in range(20))
+    copy = " ".join(f"word{k}" for k in range(60))
+    rows = [(None, bench), (None, copy), (None, copy), (4, bench), (4, "clean text of its own"), (5, copy), (6, f"{copy} more"), (7, "twice the same"), (7, "twice the same"), (8, None), (9, ""), (None, None)]
+    for name, data, kind in (("labels", [(10, 1, 0)], "doc_id long, quality int, toxic int"), ("benchmark", [("b", bench)], "item_id string, text string")):
+        spark.createDataFrame(data, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS).withColumn("row", F.lit(1))
+    stages = dict(corpus_pipeline.STAGES)
+    run = lambda name, df=docs: collect(stages[name](spark, df, str(tmp_path)), "doc_id", "text")
+    assert stages["toxicity"](spark, docs, str(tmp_path)).columns == docs.columns and run("toxicity") == sorted(rows, key=repr)
+    assert run("exact_dedup") == sorted([(4, bench), (4, "clean text of its own"), (5, copy), (6, f"{copy} more"), (7, "twice the same"), (8, None)], key=repr)
+    assert run("ngram_jaccard") == sorted([r for r in rows if r not in ((None, bench), (None, copy), (6, f"{copy} more"), (7, "twice the same"))] + [(7, "twice the same")], key=repr)
+    assert run("decontamination") == sorted([r for r in rows if r[1] != bench], key=repr)
+    assert stages["packing"](spark, docs, str(tmp_path)).count() == len(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), str(tmp_path)).collect() == []
+
+
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_sql_gives_the_same(spark, name):
     con = duckdb.connect()
