@@ -77,6 +77,10 @@ def simhash(df: DataFrame, key: str, words: Column) -> DataFrame:
     return each.mapInArrow(run, f"`{key}` {kind}, fp bigint")
 
 
+#: Index rows, of 12 bytes each, that may be sent to all tasks.
+BROADCAST_ROWS = 1_000_000
+
+
 def exact_duplicates(df: DataFrame, key: str, fp: str = "fp") -> DataFrame:
     """`(fp, rep, size)`: the least key of each fingerprint."""
     return df.where(F.col(fp).isNotNull()).groupBy(F.col(fp).alias("fp")).agg(F.min(key).alias("rep"), F.count("*").alias("size"))
@@ -90,7 +94,7 @@ def bands(fps: DataFrame, radius: int, cols: list[str]) -> DataFrame:
     one = lambda i: F.call_function("shiftrightunsigned", F.col("fp"), F.lit(16 * i)).bitwiseAND(F.lit(0xFFFF)).cast("int")
     at = F.array(*(F.lit(i << 16).bitwiseOR(one(i)) for i in range(4)))
     out = fps.select(*cols, F.explode(at).alias("at"))
-    return out.select(*cols, F.explode(F.transform(F.array(*map(F.lit, flips)), lambda m: F.col("at").bitwiseXOR(m))).alias("at")) if radius else out
+    return out.select(*cols, F.explode(F.array(*(F.col("at").bitwiseXOR(F.lit(m)) for m in flips))).alias("at")) if radius else out
 
 
 def band_radius(threshold: int) -> int:
@@ -112,7 +116,10 @@ def hamming_pairs(df: DataFrame, key: str, threshold: int = 12, fp: str = "fp")
     """
     radius = band_radius(threshold)
     reps = cut(exact_duplicates(df, key, fp))
-    a, b = bands(reps.select("fp"), 0, ["fp"]).alias("a"), bands(reps.select("fp"), radius, ["fp"]).alias("b")
+    # sizes are counted, as estimates do not see how often rows are exploded: the plain side is sent to the wide one or both are dealt out
+    few = reps.count() <= BROADCAST_ROWS // 4
+    a = bands(reps.select("fp"), 0, ["fp"]).hint("broadcast" if few else "merge").alias("a")
+    b = bands(reps.select("fp"), radius, ["fp"]).alias("b")
     dist = hamming(F.col("a.fp"), F.col("b.fp"))
     near = a.join(b, (F.col("a.at") == F.col("b.at")) & (F.col("a.fp") < F.col("b.fp")) & (dist < threshold))
     near = near.select(F.col("a.fp").alias("x"), F.col("b.fp").alias("y"), dist.alias("dist")).distinct()

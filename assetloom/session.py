@@ -7,13 +7,31 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Rows of each part of tables in few files.
+_ROWS: dict[tuple, list[int]] = {}
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a folder, through Spark's reader only."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame, least: int = 5000) -> DataFrame:
+    """A table as it is, but where it comes in fewer files and row groups than the session has cores, and has `least` rows
+    or more, dealt to all cores: else one task would read a file that was written as one row group. Larger tables are
+    never moved. Only the footers of those few files are read for this, once a session."""
+    spark = df.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if len(files) >= cores:
+        return df
+    key = (spark.sparkContext.applicationId, *sorted(files))
+    if key not in _ROWS:
+        _ROWS[key] = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    rows = _ROWS[key]
+    return df.repartition(cores) if len(rows) < cores and sum(rows) >= least else df
 
 
 def ready(spark: SparkSession) -> None:

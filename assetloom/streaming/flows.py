@@ -12,7 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from assetloom.functions.exprs import hamming
 from assetloom.operators.incremental import upsert
-from assetloom.operators.similarity import band_radius, bands
+from assetloom.operators.similarity import BROADCAST_ROWS, band_radius, bands
+from assetloom.session import cut
 from assetloom.sources.files import Snapshots
 
 
@@ -74,8 +75,9 @@ def band_index(stored: DataFrame) -> DataFrame:
 def near_stored(batch: DataFrame, index: DataFrame, threshold: int = 12) -> DataFrame:
     """For `foreachBatch`: `(path, stored, dist)` of a new item `(path, fp)` and, for each close stored fingerprint of the
     `band_index`, the least stored path. Only the batch's fingerprints are widened; stored ones meet them as they are, not each other."""
-    new = bands(batch.select("fp").where("fp is not null").distinct(), band_radius(threshold), ["fp"]).withColumnRenamed("fp", "new_fp")
+    new = cut(bands(batch.select("fp").where("fp is not null").distinct(), band_radius(threshold), ["fp"]).withColumnRenamed("fp", "new_fp"))
+    few = new.count() <= BROADCAST_ROWS  # counted, as estimates do not see how often rows were exploded
     dist = hamming(F.col("new_fp"), F.col("fp"))
-    met = index.join(new, "at").where(dist < threshold).select("new_fp", "fp", "stored", dist.alias("dist"))
+    met = index.join(new.hint("broadcast" if few else "merge"), "at").where(dist < threshold).select("new_fp", "fp", "stored", dist.alias("dist"))
     least = met.groupBy("new_fp", "fp").agg(F.min("stored").alias("stored"), F.first("dist").alias("dist")).drop("fp")  # once, in however many bands
     return batch.select("path", "fp").join(least, F.col("fp") == F.col("new_fp")).select("path", "stored", "dist")
