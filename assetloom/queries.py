@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,9 @@ from assetloom.functions import exprs as X
 from assetloom.operators import components, decisions, features, incremental, similarity, verdict, views
 from assetloom.plans import collection
 from assetloom.plans import curate as plan
-from assetloom.session import KEPT, cut, table
+from assetloom.session import KEPT, cut, shared_dir, table
 from assetloom.sources import files
+from assetloom.streaming import flows
 
 #: Events cover 30 days, so the test collection's bursts use a wider gap than a camera's.
 CONFIG = Config(burst_gap_ms=5000.0)
@@ -580,6 +582,38 @@ def keep_only_best(s, d):
     return decisions.keep_only_best(plan.groups_of(judged(s, d)), judged(s, d))
 
 
+# streaming forms over whole tables
+_GAPS = "SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) >= 10800000000 THEN 1 ELSE 0 END AS new FROM events)"
+
+
+@query(f"SELECT user_id, count(*)::BIGINT AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last FROM ({_GAPS}) GROUP BY user_id, session")
+def online_bursts(s, d):
+    """Session windows over the table as one batch; tests run them as a stream."""
+    e = table(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    show = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return flows.online_bursts(e, 10_800_000_000, "1 day", ["user_id"]).select("user_id", "n", show("first"), show("last"))
+
+
+@query("SELECT n.path, s.stored, bit_count(xor(n.fp, s.fp))::INT AS dist FROM (SELECT f.path, f.fp FROM fps f JOIN items USING (path) WHERE doc_id % 2 = 0) n JOIN (SELECT min(path) AS stored, f.fp FROM fps f JOIN items USING (path) WHERE doc_id % 2 = 1 GROUP BY f.fp) s ON bit_count(xor(n.fp, s.fp)) < 12", "fps")
+def near_stored(s, d):
+    """Documents of even ids as a batch of new items, those of odd ids as what is stored."""
+    i = full_items(s, d).select("doc_id", "path", "fp")
+    return flows.near_stored(i.where("doc_id % 2 = 0"), cut(flows.band_index(i.where("doc_id % 2 = 1"))), 12)
+
+
+@query("SELECT doc_id, length(coalesce(text, ''))::BIGINT AS n_chars, md5(coalesce(text, '')) AS digest FROM documents")
+def ingest_documents(s, d):
+    """The table's files as a stream, some at a time, each batch's features written by its number; then merged into a version."""
+    source, at = f"{d}/documents.parquet", f"{shared_dir(s)}/{s.sparkContext.applicationId}/ingest-{uuid.uuid4().hex}"
+    text = F.coalesce("text", F.lit(""))
+    made = lambda rows: rows.select("doc_id", F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("digest"))
+    pattern = f"{d}/documents.parque[t]"  # a stream takes a folder or a pattern; the table may be one file
+    flows.ingest(s, pattern, s.read.parquet(source).schema, made, f"{at}/batches", f"{at}/checkpoint").awaitTermination()
+    target = files.Snapshots(s, f"{at}/versions")
+    flows.compact(s, f"{at}/batches", target, "doc_id")
+    return target.read()
+
+
 # grids, vectors, landmarks
 @query()
 def laplacian_var(s, d):

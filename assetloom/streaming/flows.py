@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from assetloom.functions.exprs import hamming
 from assetloom.operators.incremental import upsert
@@ -17,7 +18,7 @@ from assetloom.session import cut
 from assetloom.sources.files import Snapshots
 
 
-def ingest(spark: SparkSession, source: str, schema: str, features: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str, files: int = 16) -> StreamingQuery:
+def ingest(spark: SparkSession, source: str, schema: str | StructType, features: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str, files: int = 16) -> StreamingQuery:
     """Feature extraction over new files of a folder, some files at a time, each batch written to a folder of its number.
 
     A batch costs what it holds, whatever is stored already. A stopped run goes on where its checkpoint is, and a batch
