@@ -191,7 +191,7 @@ def rounds(counts: np.ndarray, capacity: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["length", "first", "n", "sequence", "place"])
 
 
-def pack(cut_pieces: DataFrame, capacity: int = 4096, at_once: int = 200_000) -> DataFrame:
+def pack(cut_pieces: DataFrame, capacity: int = 4096, at_once: int = 1000) -> DataFrame:
     """Add `sequence_id` and `offset` to pieces of at most `capacity` tokens.
 
     Ranks within a length are counted over parts of about `at_once` pieces, as many as the length's count asks for, so
