@@ -59,22 +59,24 @@ def word_bits(words: pa.Array, edges: np.ndarray, at_once: int = 1 << 17) -> np.
     return np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<i8").ravel()
 
 
-def simhash(df: DataFrame, key: str, words: Column) -> DataFrame:
-    """`(key, fp)`: bit i is set where more than half of the distinct words' md5 have it (Charikar, 2002). Rows without words are left out.
+def simhash(df: DataFrame, key: str, words: Column, also: tuple[str, ...] = ()) -> DataFrame:
+    """`(key, *also, fp)`: bit i is set where more than half of the distinct words' md5 have it (Charikar, 2002); null without words.
 
-    A row's words never leave its task: no exchange.
+    A row's words never leave its task: no exchange. Other columns that are wanted with the fingerprint may come along.
     """
     ready(df.sparkSession)
-    each = df.select(key, F.array_distinct(words).alias("w")).where(F.size("w") > 0)
-    kind = df.schema[key].dataType.simpleString()
+    kept = [key, *also]
+    each = df.select(*kept, F.coalesce(F.array_distinct(words), F.array().cast("array<string>")).alias("words__"))
+    kinds = ", ".join(f"`{c}` {each.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w = batch.column("w")
-            edges = np.concatenate([[0], np.cumsum(w.value_lengths().to_numpy())]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(word_bits(w.flatten(), edges))], [key, "fp"])
+            w = batch.column("words__")
+            n = w.value_lengths().to_numpy()
+            fp = word_bits(w.flatten(), np.concatenate([[0], np.cumsum(n)]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(fp, mask=n == 0)], [*kept, "fp"])
 
-    return each.mapInArrow(run, f"`{key}` {kind}, fp bigint")
+    return each.mapInArrow(run, f"{kinds}, fp bigint")
 
 
 #: Index rows, of 12 bytes each, that may be sent to all tasks.

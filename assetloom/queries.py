@@ -40,34 +40,41 @@ def words(text):
     return F.filter(F.split(F.trim(F.lower(F.coalesce(text, F.lit("")))), r"\s+"), lambda x: x != "")
 
 
-def items(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as items: times and scenes from events, quality from labels, metrics from the text."""
+def text_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Words and shares of characters of each document."""
+    t, w = F.coalesce("text", F.lit("")), F.col("w")
+    size = F.greatest(F.length(t), F.lit(1))
+    rows = table(spark, d, "documents").select("doc_id", "source", words(F.col("text")).alias("w"), (F.length(F.regexp_replace(t, r"[\p{L}\s]", "")) / size).alias("odd"), ((F.length(t) - F.length(F.regexp_replace(t, r"\s", ""))) / size).alias("blank"))
+    return rows.select("doc_id", "source", "w", F.size(w).alias("n_words"), F.size(F.array_distinct(w)).alias("n_distinct"), "odd", "blank")
+
+
+def items(spark: SparkSession, d: str, also: tuple[str, ...] = (), doc: DataFrame | None = None) -> DataFrame:
+    """Documents as items: times and scenes from events, quality from labels, metrics from the text (`doc`, where they are made already)."""
     c = CONFIG
     e = table(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "value", (F.regexp_extract("props", r"(\d+)", 1).cast("double") / 100.0).alias("scene_conf"))
     lab = table(spark, d, "labels").select("doc_id", (F.col("quality") * 100.0).cast("double").alias("quality"), F.col("toxic"))
-    t = F.coalesce("text", F.lit(""))
-    size = F.greatest(F.length(t), F.lit(1))
-    w = F.col("w")
-    doc = table(spark, d, "documents").select("doc_id", "source", words(F.col("text")).alias("w"), (F.length(F.regexp_replace(t, r"[\p{L}\s]", "")) / size).alias("odd"), ((F.length(t) - F.length(F.regexp_replace(t, r"\s", ""))) / size).alias("blank"))
+    doc = text_metrics(spark, d).drop("w") if doc is None else doc
     ear = 0.10 + F.pmod("doc_id", F.lit(30)) / 100.0
     df = doc.join(e, "doc_id", "left").join(lab, "doc_id", "left").withColumn("ear", ear)
     name = F.concat(F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".txt"))
     return df.select(
         "doc_id", F.concat(F.lit("/"), "source", F.lit("/"), name).alias("path"), name.alias("fname"), "ts", (F.unix_micros("ts") / 1000.0).alias("ts_ms"),
         F.when(F.col("event_type") == "purchase", "portrait").when(F.col("event_type") == "view", "landscape").otherwise("other").alias("scene"), "scene_conf",
-        F.coalesce(200.0 * F.size(F.array_distinct(w)) / F.when(F.size(w) > 0, F.size(w)), F.lit(0.0)).alias("blur_score"), F.least(F.lit(1.0), 2.0 * F.col("odd")).alias("over_ratio"), F.least(F.lit(1.0), 2.7 * F.col("blank")).alias("under_ratio"),
+        F.coalesce(200.0 * F.col("n_distinct") / F.when(F.col("n_words") > 0, F.col("n_words")), F.lit(0.0)).alias("blur_score"), F.least(F.lit(1.0), 2.0 * F.col("odd")).alias("over_ratio"), F.least(F.lit(1.0), 2.7 * F.col("blank")).alias("under_ratio"),
         F.least(F.lit(100.0), "value").alias("aesthetic"), "quality", F.col("toxic").isNotNull().alias("is_face"), "ear",
-        F.when((F.col("ear") >= c.ear_closed) & (F.col("ear") <= c.gate_high), F.pmod(F.col("doc_id") * 13, F.lit(100)) / 100.0).alias("eye_close_prob"),
+        F.when((F.col("ear") >= c.ear_closed) & (F.col("ear") <= c.gate_high), F.pmod(F.col("doc_id") * 13, F.lit(100)) / 100.0).alias("eye_close_prob"), *also,
     )
 
 
 def fingerprints(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.concat(F.lit("/"), "source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".txt")).alias("path"), "text")
-    return similarity.simhash(docs, "path", words(F.col("text")))
+    return similarity.simhash(docs, "path", words(F.col("text"))).where("fp is not null")
 
 
 def full_items(spark: SparkSession, d: str) -> DataFrame:
-    return cut(items(spark, d).join(fingerprints(spark, d), "path", "left"))
+    """Items with fingerprints, in one pass over the text."""
+    made = similarity.simhash(text_metrics(spark, d), "doc_id", F.col("w"), ("source", "n_words", "n_distinct", "odd", "blank"))
+    return cut(items(spark, d, ("fp",), made))
 
 
 def judged(spark: SparkSession, d: str) -> DataFrame:
