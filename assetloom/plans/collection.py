@@ -53,15 +53,19 @@ def refreshed(scanned: DataFrame, prior: DataFrame | None, features: Stage, scor
     return cut(fill_scores(cut(base.select("path", "mtime", *cols)), scores, SCORES))
 
 
+def published(target: Snapshots) -> DataFrame | None:
+    """The current version as a prior: with its automatic scenes, and the models and source that it names."""
+    prior = target.read()
+    named = {"model_signature": F.lit(target.meta("model_signature")).cast("string"), "source_root": F.lit(target.meta("source_root")).cast("string")}
+    return None if prior is None else prior.withColumns({"scene": F.col("scene_auto"), "scene_conf": F.col("scene_conf_auto")} | named)
+
+
 def run_collection(target: Snapshots, scanned: DataFrame, features: Stage, scores: Stage, c: Config, signature: str, root: str, overrides: DataFrame | None = None, decisions: DataFrame | None = None) -> DataFrame:
     """One whole run: refresh against the published version, group, judge, publish with signature and root. Returns what was published.
 
     `scene` and `scene_conf` are the resolved ones; the automatic ones are published as `scene_auto` and `scene_conf_auto`,
     and a later run resolves them anew. A second run without change extracts and scores nothing.
     """
-    prior = target.read()
-    if prior is not None:
-        prior = prior.withColumns({"scene": F.col("scene_auto"), "scene_conf": F.col("scene_conf_auto"), "model_signature": F.lit(target.meta("model_signature")).cast("string"), "source_root": F.lit(target.meta("source_root")).cast("string")})
-    items = refreshed(scanned, prior, features, scores, signature, root).withColumns({"scene_auto": F.col("scene"), "scene_conf_auto": F.col("scene_conf"), "ts_ms": F.unix_micros("ts") / 1000.0})
+    items = refreshed(scanned, published(target), features, scores, signature, root).withColumns({"scene_auto": F.col("scene"), "scene_conf_auto": F.col("scene_conf"), "ts_ms": F.unix_micros("ts") / 1000.0})
     target.publish(curate(items, c, overrides, decisions), model_signature=signature, source_root=root)
     return target.read()

@@ -50,8 +50,13 @@ class Stages:
 def run(spark, tmp_path):
     stages, target = Stages(spark), Snapshots(spark, f"file://{tmp_path}/items")
 
-    def go(scanned, signature=SIG, root=ROOT, **more):
-        out = collection.run_collection(target, scanned, stages.features, stages.scores, Config(), signature, root, **more)
+    def go(scanned, signature=SIG, root=ROOT, whole=False, **more):
+        """A whole run, or its refreshing step alone, published in the same form."""
+        if whole:
+            out = collection.run_collection(target, scanned, stages.features, stages.scores, Config(), signature, root, **more)
+        else:
+            out = collection.refreshed(scanned, collection.published(target), stages.features, stages.scores, signature, root)
+            target.publish(out.withColumns({"scene_auto": F.col("scene"), "scene_conf_auto": F.col("scene_conf")}), model_signature=signature, source_root=root)
         return {r["path"].rsplit("/", 1)[1]: r for r in out.collect()}, stages.counts()
 
     go.target = target
@@ -65,10 +70,10 @@ def patched(run, spark, path, **values):
 
 
 def test_second_run_makes_nothing_anew(spark, run):
-    first, made = run(files_of(spark))
+    first, made = run(files_of(spark), whole=True)
     assert made == (8, 8) and first["5.jpg"]["waste_reasons"] == "blurred,duplicate" and first["0.jpg"]["comp_score"] > 50
     assert first["0.jpg"]["group_id"] == first["2.jpg"]["group_id"] != first["3.jpg"]["group_id"]
-    second, made = run(files_of(spark))
+    second, made = run(files_of(spark), whole=True)
     assert made == (0, 0)
     assert {k: r["group_id"] for k, r in second.items()} == {k: r["group_id"] for k, r in first.items()}
     assert {k: r["is_best"] for k, r in second.items()} == {k: r["is_best"] for k, r in first.items()}
@@ -95,7 +100,7 @@ def test_lacking_scores_are_made_without_features(spark, run):
 def test_a_scene_set_by_hand_survives(spark, run):
     run(files_of(spark))
     patched(run, spark, f"{ROOT}/1.jpg", scene_manual="portrait")
-    out, made = run(files_of(spark, touched={1}))
+    out, made = run(files_of(spark, touched={1}), whole=True)
     assert made == (1, 1) and (out["1.jpg"]["scene"], out["1.jpg"]["scene_manual"], out["1.jpg"]["scene_auto"]) == ("portrait", "portrait", "landscape")
 
 
@@ -113,15 +118,16 @@ def test_a_version_without_a_signature_counts_for_nothing(spark, run):
 
 
 def test_an_empty_collection(spark, run):
-    assert run(files_of(spark, 0)) == ({}, (0, 0))
+    assert run(files_of(spark, 0), whole=True) == ({}, (0, 0))
     assert run(files_of(spark, 2))[1] == (2, 2)
 
 
 def test_unreadable_files_stay_and_are_tried_again(spark, run):
     stages = Stages(spark)
     some = lambda rows: stages.features(rows.where("path not like '%/3.jpg'"))
-    go = lambda: collection.run_collection(run.target, files_of(spark), some, stages.scores, Config(), SIG, ROOT).collect()
-    out = {r["path"]: r for r in go()}
+    made = collection.refreshed(files_of(spark), None, some, stages.scores, SIG, ROOT)
+    run.target.publish(made.withColumns({"scene_auto": F.col("scene"), "scene_conf_auto": F.col("scene_conf")}), model_signature=SIG, source_root=ROOT)
+    out = {r["path"]: r for r in made.collect()}
     assert len(out) == 8 and out[f"{ROOT}/3.jpg"]["fp"] is None
     assert run(files_of(spark))[1][0] == 1
 
