@@ -116,19 +116,46 @@ def hamming_pairs(df: DataFrame, key: str, threshold: int = 12, fp: str = "fp")
     with the square of the fingerprints, by about 0.4 % of it where bits are random. Thresholds over 12 would need a
     wider search and are refused. Missing fingerprints join nothing.
     """
-    radius = band_radius(threshold)
     reps = cut(exact_duplicates(df, key, fp))
+    near = _met(reps.select("fp"), threshold, "fp").distinct()
+    return _by_keys(near, reps, "dist").unionByName(_same(df, reps, key, fp).withColumn("dist", F.lit(0)))
+
+
+def _met(fps: DataFrame, threshold: int, order: str) -> DataFrame:
+    """`(x, y, dist)`: `order` of both fingerprints of each close pair in which it differs, as often as bands of it meet."""
+    cols = list(dict.fromkeys(["fp", order]))
     # sizes are counted, as estimates do not see how often rows are exploded: the plain side is sent to the wide one or both are dealt out
-    few = reps.count() <= BROADCAST_ROWS // 4
-    a = bands(reps.select("fp"), 0, ["fp"]).hint("broadcast" if few else "merge").alias("a")
-    b = bands(reps.select("fp"), radius, ["fp"]).alias("b")
+    few = fps.count() <= BROADCAST_ROWS // 4
+    a = bands(fps, 0, cols).hint("broadcast" if few else "merge").alias("a")
+    b = bands(fps, band_radius(threshold), cols).alias("b")
     dist = hamming(F.col("a.fp"), F.col("b.fp"))
-    near = a.join(b, (F.col("a.at") == F.col("b.at")) & (F.col("a.fp") < F.col("b.fp")) & (dist < threshold))
-    near = near.select(F.col("a.fp").alias("x"), F.col("b.fp").alias("y"), dist.alias("dist")).distinct()
+    near = a.join(b, (F.col("a.at") == F.col("b.at")) & (F.col(f"a.{order}") < F.col(f"b.{order}")) & (dist < threshold))
+    return near.select(F.col(f"a.{order}").alias("x"), F.col(f"b.{order}").alias("y"), dist.alias("dist"))
+
+
+def _by_keys(near: DataFrame, reps: DataFrame, *also: str) -> DataFrame:
     named = lambda c, n: reps.select(F.col("fp").alias(c), F.col("rep").alias(n))
-    near = near.join(named("x", "p"), "x").join(named("y", "q"), "y").select(F.least("p", "q").alias("src"), F.greatest("p", "q").alias("dst"), "dist")
-    same = df.join(reps.where("size > 1").select(F.col("fp").alias(fp), "rep"), fp).where(F.col(key) != F.col("rep")).select(F.col("rep").alias("src"), F.col(key).alias("dst"), F.lit(0).alias("dist"))
-    return near.unionByName(same)
+    return near.join(named("x", "p"), "x").join(named("y", "q"), "y").select(F.least("p", "q").alias("src"), F.greatest("p", "q").alias("dst"), *also)
+
+
+def _same(df: DataFrame, reps: DataFrame, key: str, fp: str) -> DataFrame:
+    return df.join(reps.where("size > 1").select(F.col("fp").alias(fp), "rep"), fp).where(F.col(key) != F.col("rep")).select(F.col("rep").alias("src"), F.col(key).alias("dst"))
+
+
+def hamming_links(df: DataFrame, key: str, threshold: int = 12, fp: str = "fp") -> DataFrame:
+    """`(src, dst)`: as few of the edges of `hamming_pairs`, or edges between the ends of chains of them, as connect the same keys.
+
+    A fingerprint is led by the least one that has a band of it and is close. Leaders stand for those they lead, and each
+    pair of leaders is one edge, in however many pairs those they lead are close. So a dense cluster gives one edge for
+    each fingerprint, and those between its few leaders, not the square; what repeats is dropped before rows travel.
+    """
+    reps = cut(exact_duplicates(df, key, fp))
+    plain = bands(reps.select("fp"), 0, ["fp"])
+    first = cut(plain.groupBy("at").agg(F.min("fp").alias("lead"), F.max("fp").alias("last")).where("lead < last").select("at", "lead"))
+    led = plain.join(first, "at").where((F.col("lead") < F.col("fp")) & (hamming(F.col("lead"), F.col("fp")) < threshold)).groupBy("fp").agg(F.min("lead").alias("lead"))
+    led = cut(reps.select("fp").join(led, "fp", "left").select("fp", F.coalesce("lead", "fp").alias("lead")))
+    near = _met(led, threshold, "lead").select("x", "y").unionByName(led.where("lead <> fp").select(F.col("lead").alias("x"), F.col("fp").alias("y")))
+    return _by_keys(near.distinct(), reps).unionByName(_same(df, reps, key, fp))
 
 
 def dense_ids(labels: DataFrame, label: str, name: str) -> DataFrame:
@@ -143,14 +170,15 @@ def dense_ids(labels: DataFrame, label: str, name: str) -> DataFrame:
 def group_items(items: DataFrame, at: Column, gap: float, threshold: int = 12, key: str = "path", bucket: float = 3_600_000.0) -> DataFrame:
     """Add `group_id`: bursts and near-duplicates, linked through each other, numbered by their least key.
 
-    Each burst is one node of the graph, so long bursts add no rounds; only edges between bursts are followed.
+    Each burst is one node of the graph, so long bursts add no rounds; only edges between bursts are followed, and of close
+    pairs only as many as connect them.
     """
     s = cut(stitched_sessions(items.select(key, "fp", at.alias("at")), F.col("at"), gap, [key], bucket))
     heads = s.where("session is not null").groupBy("session").agg(F.min(key).alias("head"))
     nodes = cut(s.join(heads, "session", "left").select(key, "fp", F.coalesce("head", key).alias("node")))
-    pairs = hamming_pairs(nodes, key, threshold)
+    links = hamming_links(nodes, key, threshold)
     named = lambda c: nodes.select(F.col(key).alias(c), F.col("node").alias(f"{c}_node"))
-    edges = pairs.join(named("src"), "src").join(named("dst"), "dst").select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
+    edges = links.join(named("src"), "src").join(named("dst"), "dst").select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
     parts = connected_components(edges)
     labelled = nodes.join(parts, "node", "left").select(key, F.coalesce("component", "node").alias("label"))
     # the label is the least burst head, and heads are least keys, so it is the least key of the group

@@ -61,6 +61,28 @@ def test_hamming_pairs_equal_brute_force(spark, threshold):
     assert sorted((r["src"], r["dst"], r["dist"]) for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("threshold", [4, 12])
+def test_hamming_links_connect_what_pairs_connect(spark, threshold):
+    rng = random.Random(threshold + 1)
+    fps = [rng.getrandbits(64) - (1 << 63) for _ in range(40)]
+    while len(fps) < 160:  # chains: each copy is made from any earlier one
+        x = rng.choice(fps)
+        for _ in range(rng.randrange(14)):
+            x ^= 1 << rng.randrange(63)
+        fps.append(x)
+    dense = fps[0]
+    fps += [dense ^ 1 << i ^ 1 << j for i in range(24) for j in range(i, 24)] + fps[:20]
+    rows = spark.createDataFrame([(f"p{i:04}", fp) for i, fp in enumerate(fps)] + [("none", None)], "path string, fp long")
+    links = similarity.hamming_links(rows, "path", threshold).collect()
+    pairs = similarity.hamming_pairs(rows, "path", threshold).collect()
+    named = lambda edges: {(r["node"], r["component"]) for r in connected_components(spark.createDataFrame([(r["src"], r["dst"]) for r in edges], "src string, dst string")).collect()}
+    assert named(links) == named(pairs)
+    assert len(set(links)) == len(links)
+    assert len(links) * (10 if threshold == 12 else 1) < len(pairs), (len(links), len(pairs))
+    empty = similarity.hamming_links(spark.createDataFrame([("a", None)], "path string, fp long"), "path", threshold)
+    assert empty.collect() == []
+
+
 def test_stitched_sessions_equal_one_window(spark):
     rng = random.Random(7)
     rows = [(i, rng.randrange(60_000)) for i in range(300)] + [(900, None)]
