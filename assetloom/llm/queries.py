@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from assetloom.llm import line_dedup, url_filters
 from assetloom.llm.decontaminate import contamination
 from assetloom.llm.exact_dedup import exact_dedup
+from assetloom.llm.fill_middle import fill_in_middle
 from assetloom.llm.license_scan import scan_licenses
 from assetloom.llm.line_dedup import drop_boilerplate
 from assetloom.llm.ngram_join import jaccard_components
 from assetloom.llm.packing import pack_documents
 from assetloom.llm.quality import score_quality
+from assetloom.llm.simhash import simhash_dedup
 from assetloom.llm.suffix_dedup import repeated_bytes
 from assetloom.llm.toxicity import score_toxicity
 from assetloom.llm.url_filters import filter_urls
@@ -141,12 +143,32 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+p AS (SELECT doc_id, t, n, [('0x' || substr(h, 8 * k - 7, 8))::BIGINT FOR k IN [1, 2, 3, 4]] AS x FROM d),
+f AS (SELECT doc_id, t, n, least(x[1] % (n + 1), x[2] % (n + 1)) AS lo, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS hi,
+  CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR x[3] % 100 >= 90 THEN 'plain' WHEN x[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM p),
+o AS (SELECT doc_id, n, form, lo, hi, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substr(t, 1, lo) || '<S>' || substr(t, hi + 1) || '<M>' || substr(t, lo + 1, hi - lo) ELSE '<S>' || substr(t, hi + 1) || '<P>' || substr(t, 1, lo) || '<M>' || substr(t, lo + 1, hi - lo) END AS out FROM f),
+b AS (SELECT *, string_split(out, '<M>') AS m FROM o)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END::BIGINT AS middle_chars, sha256(out) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN out WHEN 'psm' THEN string_split(substr(m[1], 4), '<S>')[1] || m[2] || string_split(substr(m[1], 4), '<S>')[2] ELSE string_split(substr(m[1], 4), '<P>')[2] || m[2] || string_split(substr(m[1], 4), '<P>')[1] END) AS restored_sha256 FROM b
+"""
+
+
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     from corpus_pipeline import run
 
-    own = (op1_license_scan, op2_quality, op3_line_dedup, op4_url_filters, op5_ngram_jaccard, op6_best_fit_packing, op7_toxicity, op8_suffix_dedup, op9_exact_dedup, op10_decontamination)
+    own = (op1_license_scan, op2_quality, op3_line_dedup, op4_url_filters, op5_ngram_jaccard, op6_best_fit_packing, op7_toxicity, op8_suffix_dedup, op9_exact_dedup, op10_decontamination, op11_fill_middle, op13_simhash_dedup)
     return {f.__name__: f for f in own} | {"pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op4_url_filters": OP4_SQL, "op9_exact_dedup": OP9_SQL, "op10_decontamination": OP10_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_url_filters": OP4_SQL, "op9_exact_dedup": OP9_SQL, "op10_decontamination": OP10_SQL, "op11_fill_middle": OP11_SQL}
