@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetloom.llm import line_dedup, url_filters
+from assetloom.llm.conversation_trie import conversation_trie
 from assetloom.llm.decontaminate import contamination
 from assetloom.llm.exact_dedup import exact_dedup
 from assetloom.llm.fill_middle import fill_in_middle
@@ -159,6 +160,25 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END::BIGINT AS prefix_
 """
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+#: Each node's own share of saved tokens and leaves goes to its least member; a node's sums are then its members' shares from its depth on.
+OP12_SQL = """
+WITH t AS (SELECT conv_id, tok, chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, tok) AS pos FROM (SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS tok, length(coalesce(text, ''))::BIGINT AS chars FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS part, t.pos, tok, chars FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h UNION ALL SELECT c.conv_id, 1, t.pos, tok, chars FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h),
+d AS (SELECT conv_id, row_number() OVER w AS depth, chars, md5(string_agg(tok, '') OVER w) AS node, md5(coalesce(string_agg(tok, '') OVER (PARTITION BY conv_id ORDER BY part, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')) AS up, lead(pos) OVER (PARTITION BY conv_id ORDER BY part, pos) IS NULL AS last FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, 0, md5(''), NULL, conv_id NOT IN (SELECT conv_id FROM r) FROM c),
+n AS (SELECT depth, node, any_value(up) AS up, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*)::BIGINT AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM d GROUP BY depth, node),
+k AS (SELECT n.*, coalesce(m.n_children, 0)::BIGINT AS n_children FROM n LEFT JOIN (SELECT depth - 1 AS depth, up AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2) m USING (depth, node)),
+s AS (SELECT d.depth, d.node, sum(CASE WHEN k.conv_id = d.conv_id THEN (k.n_convs - 1) * k.chars ELSE 0 END) OVER w AS saved, sum(CASE WHEN k.conv_id = d.conv_id AND k.n_children = 0 THEN 1 ELSE 0 END) OVER w AS leaves FROM d JOIN k USING (depth, node) WINDOW w AS (PARTITION BY d.conv_id ORDER BY d.depth DESC ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT depth, node, sum(saved)::BIGINT AS saved_tokens, sum(leaves)::BIGINT AS n_leaves FROM s GROUP BY depth, node)
+SELECT k.conv_id, k.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, g.n_leaves, g.saved_tokens, k.ends_sha256 FROM k JOIN g USING (depth, node) LEFT JOIN n p ON p.depth = k.depth - 1 AND p.node = k.up
+"""
+
+
 def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
@@ -166,9 +186,9 @@ def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     from corpus_pipeline import run
 
-    own = (op1_license_scan, op2_quality, op3_line_dedup, op4_url_filters, op5_ngram_jaccard, op6_best_fit_packing, op7_toxicity, op8_suffix_dedup, op9_exact_dedup, op10_decontamination, op11_fill_middle, op13_simhash_dedup)
+    own = (op1_license_scan, op2_quality, op3_line_dedup, op4_url_filters, op5_ngram_jaccard, op6_best_fit_packing, op7_toxicity, op8_suffix_dedup, op9_exact_dedup, op10_decontamination, op11_fill_middle, op12_conversation_trie, op13_simhash_dedup)
     return {f.__name__: f for f in own} | {"pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op4_url_filters": OP4_SQL, "op9_exact_dedup": OP9_SQL, "op10_decontamination": OP10_SQL, "op11_fill_middle": OP11_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_url_filters": OP4_SQL, "op9_exact_dedup": OP9_SQL, "op10_decontamination": OP10_SQL, "op11_fill_middle": OP11_SQL, "op12_conversation_trie": OP12_SQL}
