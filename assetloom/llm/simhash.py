@@ -6,8 +6,8 @@ within m of v go to the inner side, and those farther than m - radius to the out
 `radius` bits have, by the triangle inequality, distances from v that differ by no more, so both are on the inner side or
 both on the outer one: only the ring of `radius` distances at the border is in both. So every pair meets in a leaf.
 
-Spark jobs build the upper levels, one a round, over all fingerprints: nodes that hold more than `SHARD` are split. What
-is left are shards; in each a task goes on with the same rule in memory, and leaves out what is connected already.
+The upper levels deal the fingerprints to shards of `SHARD` at most; in each a task goes on with the same rule in memory,
+and leaves out what is connected already.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from assetloom.session import cut, ready
 
 #: Fingerprints that a shard holds at most, where they can be told apart; those that a task compares pair by pair; bytes of text that are split into words at once.
 SHARD, LEAF, SLICE = 8192, 96, 1 << 20
+#: Fingerprints that the driver sees for the upper levels (1 MB), and those of them that a node needs to be split.
+SAMPLE, LEAST_SAMPLE = 1 << 17, 32
 #: Vantage points that each node tries. A split is worth making if no side keeps more than this share.
 TRIES, WORTH = 4, 0.92
 #: Ring at the border makes both sides larger than half: work grows with this power of the number of fingerprints.
@@ -180,17 +182,70 @@ def linked(points: np.ndarray, radius: int) -> np.ndarray:
     return _find(parent, np.arange(len(points)))
 
 
+class Tree:
+    """The upper levels as arrays, from a sample: of each node the vantage point, the border and its two sides, or the number of its leaf."""
+
+    def __init__(self, sample: np.ndarray, radius: int, most: float):
+        self.radius, self.point, self.border, self.sides, self.leaves = radius, [], [], [], 0
+        rng, todo = np.random.default_rng(2), [(np.unique(sample), None)]
+        while todo:
+            x, above = todo.pop()
+            k = len(self.point)
+            if above:
+                self.sides[above[0]][above[1]] = k
+            inner = outer = x
+            if len(x) > most:
+                v, d, m = _split(x, radius, rng)
+                inner, outer = x[d <= m], x[d > m - radius]
+            if max(len(inner), len(outer)) <= WORTH * len(x) and len(x) > most:
+                self.point.append(x[v])
+                self.border.append(m)
+                self.sides.append([-1, -1])
+                todo += [(inner, (k, 0)), (outer, (k, 1))]
+            else:
+                self.leaves += 1
+                self.point.append(np.uint64(0))
+                self.border.append(-1)
+                self.sides.append([self.leaves, self.leaves])
+
+    def route(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(leaf, places in x) of the points in each leaf that some are in."""
+        todo = [(0, np.arange(len(x)))]
+        while todo:
+            k, some = todo.pop()
+            if self.border[k] < 0:
+                yield self.sides[k][0], some
+                continue
+            d = np.bitwise_count(x[some] ^ self.point[k])
+            todo += [(side, part) for side, part in zip(self.sides[k], (some[d <= self.border[k]], some[d > self.border[k] - self.radius]), strict=True) if len(part)]
+
+
 def vantage_shards(fps: DataFrame, radius: int, size: int | None = None) -> DataFrame:
     """`(shard, fp)`: distinct fingerprints `fp` in shards such that each pair within `radius` bits is together in one.
 
     A fingerprint is in every shard whose region its ball overlaps, which adds a fifth to a level's rows where bits are
-    random. A node's vantage points are members of it, its border the one of least expected work by the counts of all
+    random. The upper levels come from `SAMPLE` fingerprints, chosen by hash, that the driver sees; every fingerprint is
+    routed through them in one pass. Shards that are still too large are split by the same rule, a level a round, over all
+    their fingerprints: vantage points are members, the border is the one of least expected work by the counts of all
     distances. A node stays whole where every try leaves more than `WORTH` of it on a side: fingerprints in a dense ball,
     whose number its radius bounds.
     """
+    ready(fps.sparkSession)
     size = size or SHARD
-    rows, done = fps.select(F.lit(1).cast("long").alias("shard"), "fp"), []
-    for _ in range(60):
+    n = fps.count()
+    rate = min(1.0, SAMPLE / max(n, 1))
+    chosen = fps.where(F.pmod(F.xxhash64(F.lit(7), "fp"), F.lit(1 << 20)) < int(rate * (1 << 20))) if rate < 1 else fps
+    sample = np.fromiter((r["fp"] for r in chosen.collect()), np.int64).view(np.uint64) if n > size else np.zeros(0, np.uint64)
+    tree = Tree(sample, radius, max(size * rate, LEAST_SAMPLE if rate < 1 else 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column("fp").to_numpy()
+            for leaf, some in tree.route(fp.view(np.uint64)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), leaf)), pa.array(fp[some])], ["shard", "fp"])
+
+    rows, done = cut(fps.select("fp").mapInArrow(run, "shard bigint, fp bigint")), []
+    for _ in range(40):
         picks = [F.min_by("fp", F.xxhash64(F.lit(j), "fp")).alias(f"v{j}") for j in range(TRIES)]
         big = cut(rows.groupBy("shard").agg(F.count("*").alias("n"), *picks).where(F.col("n") > size))
         if not big.limit(1).count():
@@ -209,13 +264,14 @@ def vantage_shards(fps: DataFrame, radius: int, size: int | None = None) -> Data
         d = F.bit_count(F.col("fp").bitwiseXOR(F.col("v")))
         s = F.col("shard") * 2
         sides = F.when(d <= F.col("m") - radius, F.array(s)).when(d <= F.col("m"), F.array(s, s + 1)).otherwise(F.array(s + 1))
+        # nodes of one level have numbers of their own; those of other levels may share them, so the level is kept beside
         rows = marked.where("v is not null").select(F.explode(sides).alias("shard"), "fp")
     else:
         raise RuntimeError("fingerprints could not be dealt to shards")
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+    out = done[0].withColumn("level", F.lit(0))
+    for level, more in enumerate(done[1:], 1):
+        out = out.unionByName(more.withColumn("level", F.lit(level)))
+    return out.select((F.col("shard") * 64 + F.col("level")).alias("shard"), "fp")
 
 
 def hamming_components(fps: DataFrame, radius: int = 2, size: int | None = None) -> DataFrame:

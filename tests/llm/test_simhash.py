@@ -118,8 +118,10 @@ def test_midpoints_in_several_passes():
     assert np.array_equal(simhash._find(a, some), simhash._find(b, np.arange(len(many)))[: len(x)])
 
 
-@pytest.mark.parametrize(("around", "flips"), [(0, 0), (2, 5)])
-def test_shards_hold_every_close_pair_together(spark, around, flips):
+@pytest.mark.parametrize(("around", "flips", "sample"), [(0, 0, 1 << 17), (2, 5, 64)])
+def test_shards_hold_every_close_pair_together(spark, monkeypatch, around, flips, sample):
+    """By the driver's tree alone, and by rounds over what a small sample leaves too large."""
+    monkeypatch.setattr(simhash, "SAMPLE", sample)
     points = sorted(clustered(7, 400, around, flips))
     signed = [p - (1 << 64) if p >> 63 else p for p in points]
     fps = spark.createDataFrame([(p,) for p in signed], "fp long")
