@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from assetloom.functions.exprs import hamming
-from assetloom.operators.components import connected_components
+from assetloom.operators.components import connected_components, roots, union_edges
 from assetloom.session import cut, ready
 
 
@@ -142,20 +142,88 @@ def _same(df: DataFrame, reps: DataFrame, key: str, fp: str) -> DataFrame:
     return df.join(reps.where("size > 1").select(F.col("fp").alias(fp), "rep"), fp).where(F.col(key) != F.col("rep")).select(F.col("rep").alias("src"), F.col(key).alias("dst"))
 
 
-def hamming_links(df: DataFrame, key: str, threshold: int = 12, fp: str = "fp") -> DataFrame:
-    """`(src, dst)`: as few of the edges of `hamming_pairs`, or edges between the ends of chains of them, as connect the same keys.
+#: Distinct fingerprints that one task compares with each other.
+FEW = 16_384
+#: Fingerprints of each band's value that stand for all that have it. There are four times 65536 such values, so all picks together are bounded.
+PICKS = 4
+
 
-    A fingerprint is led by the least one that has a band of it and is close. Leaders stand for those they lead, and each
-    pair of leaders is one edge, in however many pairs those they lead are close. So a dense cluster gives one edge for
-    each fingerprint, and those between its few leaders, not the square; what repeats is dropped before rows travel.
+def hamming_links(df: DataFrame, key: str, threshold: int = 12, fp: str = "fp") -> DataFrame:
+    """`(src, dst)`: edges that connect the same keys as those of `hamming_pairs`, without meeting the pairs of a dense cluster.
+
+    First every fingerprint meets a few picks of each band's value: at most `PICKS` for each, so the comparisons grow with
+    the number of fingerprints. What that connects are parts. Then bands are searched exactly, but only between parts:
+    in each band's value the part that most of its fingerprints belong to does not meet itself, and where fingerprints of
+    a part are within half the threshold of a common pick, their lead, others are compared with the lead, and with them
+    only if the triangle inequality leaves room. One edge for each fingerprint, to the least of its part, and one for each
+    pair of parts that are close is all that is returned. At most `FEW` distinct fingerprints, counted, are compared by one
+    task instead.
     """
     reps = cut(exact_duplicates(df, key, fp))
-    plain = bands(reps.select("fp"), 0, ["fp"])
-    first = cut(plain.groupBy("at").agg(F.min("fp").alias("lead"), F.max("fp").alias("last")).where("lead < last").select("at", "lead"))
-    led = plain.join(first, "at").where((F.col("lead") < F.col("fp")) & (hamming(F.col("lead"), F.col("fp")) < threshold)).groupBy("fp").agg(F.min("lead").alias("lead"))
-    led = cut(reps.select("fp").join(led, "fp", "left").select("fp", F.coalesce("lead", "fp").alias("lead")))
-    near = _met(led, threshold, "lead").select("x", "y").unionByName(led.where("lead <> fp").select(F.col("lead").alias("x"), F.col("fp").alias("y")))
-    return _by_keys(near.distinct(), reps).unionByName(_same(df, reps, key, fp))
+    same = _same(df, reps, key, fp)
+    if reps.count() <= FEW:
+        ready(df.sparkSession)
+        few = reps.select("fp").coalesce(1).mapInArrow(lambda batches: _few_linked(batches, threshold), "x bigint, y bigint")
+        return _by_keys(cut(few), reps).unionByName(same)
+    met = cut(_picked(reps.select("fp"), threshold))
+    ends = met.select("fp", F.explode(F.array("lead", "reach")).alias("to")).where("fp <> to")
+    parts = connected_components(ends, "fp", "to")
+    rows = cut(met.join(parts, met["fp"] == parts["node"], "left").select("fp", "lead", F.coalesce("component", "fp").alias("part")))
+    near = rows.where("fp <> part").select(F.col("part").alias("x"), F.col("fp").alias("y")).unionByName(_between(rows, threshold))
+    return _by_keys(near, reps).unionByName(same)
+
+
+def _few_linked(batches: Iterator[pa.RecordBatch], threshold: int, block: int = 128) -> Iterator[pa.RecordBatch]:
+    """Edges `(x, y)` from each fingerprint to the least of its component, of few distinct fingerprints."""
+    fp = np.sort(np.concatenate([np.zeros(0, np.int64), *(b.column("fp").to_numpy() for b in batches)]))
+    x, up = fp.view(np.uint64), np.arange(len(fp))
+    for k in range(0, len(x), block):
+        near = np.bitwise_count(x[k : k + block, None] ^ x[None, k:]) < threshold
+        own = roots(up, np.arange(k, len(x)))
+        i, j = np.nonzero(near & (own[:block, None] != own[None, :]))
+        union_edges(up, i + k, j + k)
+    least = roots(up, np.arange(len(x)))
+    far = np.flatnonzero(least != np.arange(len(x)))
+    yield pa.RecordBatch.from_arrays([pa.array(fp[least[far]]), pa.array(fp[far])], ["x", "y"])
+
+
+def _picked(fps: DataFrame, threshold: int) -> DataFrame:
+    """`(fp, lead, reach)`: of the picks that share a band, in the order of their hashes, the first within half the threshold and the first within the threshold; the fingerprint itself where there is none."""
+    picks = F.array_distinct(F.array(*(F.min_by("fp", F.xxhash64(F.lit(j), "fp")) for j in range(PICKS))))
+    firsts = cut(bands(fps, 0, ["fp"]).groupBy("at").agg(picks.alias("picks")).select("at", F.explode("picks").alias("pick")))
+    dist = hamming(F.col("fp"), F.col("pick"))
+    near = bands(fps, band_radius(threshold), ["fp"]).join(F.broadcast(firsts), "at").where(dist < threshold)
+    first = lambda most: F.min(F.when(dist <= most, F.struct(F.xxhash64(F.lit(-1), "pick").alias("h"), "pick")))["pick"]
+    return near.groupBy("fp").agg(F.coalesce(first((threshold - 1) // 2), "fp").alias("lead"), F.coalesce(first(threshold - 1), "fp").alias("reach"))
+
+
+def _meetings(rows: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """What meets of fingerprints `(fp, lead, part)`: `(fp, part, at, lead, other, spread)` of a fingerprint and a lead of
+    another part that share a band's value, with the largest distance of the lead's fingerprints there; and the plain bands."""
+    plain = bands(rows, 0, ["fp", "lead", "part"])
+    each = cut(plain.groupBy("at", "part", "lead").agg(F.max(hamming(F.col("fp"), F.col("lead"))).alias("spread"), F.count("*").alias("n")))
+    by_part = each.groupBy("at", "part").agg(F.sum("n").alias("n"))
+    main = cut(by_part.groupBy("at").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")))
+    leads = cut(each.join(main, "at").select("at", "lead", F.col("part").alias("other"), "spread", (F.col("part") == F.col("main")).alias("is_main")))
+    # at most a row for each of the bands' values; what can meet nothing but its own part stays where it is
+    wide = bands(rows, band_radius(threshold), ["fp", "part"]).join(F.broadcast(main), "at").where("part <> main or parts > 1")
+    few = leads.count() <= BROADCAST_ROWS
+    told = lambda f: leads.where(f).drop("is_main").hint("broadcast" if few else "merge")
+    met = wide.where("part <> main").join(told("is_main"), "at").unionByName(wide.where("parts > 1").join(told("not is_main"), "at"))
+    return met.where("part <> other").select("fp", "part", "at", "lead", "other", "spread"), plain
+
+
+def _between(rows: DataFrame, threshold: int) -> DataFrame:
+    """`(x, y)`: parts that have close fingerprints, each pair once."""
+    met, plain = _meetings(rows, threshold)
+    dist = hamming(F.col("fp"), F.col("lead"))
+    near = cut(met.withColumn("dist", dist).where(F.col("dist") < threshold + F.col("spread")))
+    pair = [F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y")]
+    # a lead is a fingerprint of its part, so one that is close settles the pair
+    sure = cut(near.where(F.col("dist") < threshold).select(pair).distinct())
+    open_ = near.where("spread > 0").withColumns({"x": pair[0], "y": pair[1]}).join(sure, ["x", "y"], "left_anti")
+    members = plain.select("at", "lead", F.col("fp").alias("member"))
+    return sure.unionByName(open_.join(members, ["at", "lead"]).where(hamming(F.col("fp"), F.col("member")) < threshold).select("x", "y")).distinct()
 
 
 def dense_ids(labels: DataFrame, label: str, name: str) -> DataFrame:

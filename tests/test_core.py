@@ -61,8 +61,15 @@ def test_hamming_pairs_equal_brute_force(spark, threshold):
     assert sorted((r["src"], r["dst"], r["dist"]) for r in got) == sorted(want)
 
 
-@pytest.mark.parametrize("threshold", [4, 12])
-def test_hamming_links_connect_what_pairs_connect(spark, threshold):
+def test_components_by_rounds_and_by_one_task(spark):
+    rng = random.Random(12)
+    edges = spark.createDataFrame([(f"n{rng.randrange(90):03}", f"n{rng.randrange(90):03}") for _ in range(70)] + [("a", None), ("b", "b")], "src string, dst string")
+    assert sorted(connected_components(edges).collect()) == sorted(connected_components(edges, small=0).collect()) != []
+
+
+@pytest.mark.parametrize(("threshold", "few"), [(4, 0), (12, 0), (12, 1 << 14)])
+def test_hamming_links_connect_what_pairs_connect(spark, monkeypatch, threshold, few):
+    monkeypatch.setattr(similarity, "FEW", few)
     rng = random.Random(threshold + 1)
     fps = [rng.getrandbits(64) - (1 << 63) for _ in range(40)]
     while len(fps) < 160:  # chains: each copy is made from any earlier one
@@ -78,11 +85,32 @@ def test_hamming_links_connect_what_pairs_connect(spark, threshold):
     named = lambda edges: {(r["node"], r["component"]) for r in connected_components(spark.createDataFrame([(r["src"], r["dst"]) for r in edges], "src string, dst string")).collect()}
     assert named(links) == named(pairs)
     assert len(set(links)) == len(links)
-    assert len(links) * (10 if threshold == 12 else 1) < len(pairs), (len(links), len(pairs))
+    assert len(links) * 4 < len(pairs), (len(links), len(pairs))
     empty = similarity.hamming_links(spark.createDataFrame([("a", None)], "path string, fp long"), "path", threshold)
     assert empty.collect() == []
 
 
+@pytest.mark.parametrize("flips", [3, 7])
+def test_dense_clusters_take_comparisons_in_proportion(spark, flips):
+    """Near copies around one centre, tight and loose: what meets grows with their number, not with its square."""
+    met = []
+    for n in (1500, 3000):
+        rng = random.Random(flips)
+        fps = {0x5A5A5A5A5A5A5A5A}
+        while len(fps) < n:
+            x = 0x5A5A5A5A5A5A5A5A
+            for b in rng.sample(range(63), rng.randrange(flips + 1)):
+                x ^= 1 << b
+            fps.add(x)
+        df = spark.createDataFrame([(x,) for x in fps], "fp long")
+        picked = similarity._picked(df, 12)
+        ends = picked.select("fp", F.explode(F.array("lead", "reach")).alias("to")).where("fp <> to")
+        rows = picked.join(connected_components(ends, "fp", "to"), F.col("fp") == F.col("node"), "left").select("fp", "lead", F.coalesce("component", "fp").alias("part"))
+        met.append(similarity._meetings(rows, 12)[0].count())
+        assert rows.select("part").distinct().count() < 0.1 * n
+    assert met[1] <= 2.3 * max(met[0], 1500), met
+
+
 def test_stitched_sessions_equal_one_window(spark):
     rng = random.Random(7)
     rows = [(i, rng.randrange(60_000)) for i in range(300)] + [(900, None)]
