@@ -8,24 +8,26 @@ from pyspark.sql import functions as F
 from assetloom.config import Config
 from assetloom.operators.decisions import fold, without_undone
 from assetloom.operators.incremental import scene_resolve
+from assetloom.operators.progress import Phases
 from assetloom.operators.similarity import group_items
 from assetloom.operators.verdict import group_scene, judge, score_items
 from assetloom.session import cut
 
 
-def curate(items: DataFrame, c: Config, overrides: DataFrame | None = None, decisions: DataFrame | None = None) -> DataFrame:
+def curate(items: DataFrame, c: Config, overrides: DataFrame | None = None, decisions: DataFrame | None = None, watch: Phases | None = None) -> DataFrame:
     """Judged items. `items` has path, fname, ts_ms, fp, scene, scene_conf and the metrics.
 
-    Decisions set stars, labels and manual scenes before judging; a manual star, 0 included, is not replaced.
+    Decisions set stars, labels and manual scenes before judging; a manual star, 0 included, is not replaced. `watch` is
+    told of the phases that end here: group and score; judging ends where the result is written.
     """
-    df = items
+    df, saved = items, (lambda name, df: watch.run(name, df)) if watch else (lambda name, df: cut(df))
     if decisions is not None:
         d = fold(without_undone(decisions)).select("path", F.col("star").alias("star_by_hand"), F.col("label").alias("label"), "scene_manual")
         df = df.drop("label", "scene_manual").join(d, "path", "left")
     df = scene_resolve(df, overrides, c.forced_scene)
-    df = cut(group_items(df, F.col("ts_ms"), c.burst_gap_ms, c.hash_threshold))
+    df = saved("group", group_items(df, F.col("ts_ms"), c.burst_gap_ms, c.hash_threshold))
     scored = score_items(df.join(group_scene(df).select("group_id", "group_scene"), "group_id"), c, "group_scene")
-    out = judge(cut(scored), c)
+    out = judge(saved("score", scored), c)
     return out.withColumn("star", F.coalesce("star_by_hand", "star")).drop("star_by_hand") if decisions is not None else out
 
 

@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from assetloom.config import Config
 from assetloom.operators import incremental
+from assetloom.operators.progress import Phases, shares
 from assetloom.plans import collection
 from assetloom.sources.files import Snapshots
+from assetloom.streaming.ledger import Ledger
 
 SIG, ROOT = incremental.model_signature(q="musiq", aes="clip", eye="none"), "/photos"
 
@@ -132,6 +134,86 @@ def test_unreadable_files_stay_and_are_tried_again(spark, run):
     assert run(files_of(spark))[1][0] == 1
 
 
+class Dies(Exception):
+    pass
+
+
+def dying(stage, after):
+    """A stage that fails from its batch number `after` on."""
+    calls = [0]
+
+    def run(rows):
+        calls[0] += 1
+        if calls[0] > after:
+            raise Dies(f"batch {calls[0]}")
+        return stage(rows)
+
+    return run
+
+
+def test_a_run_that_dies_goes_on_where_it_was(spark, tmp_path):
+    """Killed after two of five batches of features, then after one of scores: later runs make the rest only, and publish what a whole run does."""
+    stages, target, scanned = Stages(spark), Snapshots(spark, f"file://{tmp_path}/items"), files_of(spark, 10)
+    go = lambda f, s, at=scanned: collection.run_collection(target, at, f, s, Config(), SIG, ROOT, batch_rows=2)
+    with pytest.raises(Exception, match="batch 3"):
+        go(dying(stages.features, 2), stages.scores)
+    first, scored = stages.counts()
+    assert 0 < first < 10 and not scored and target.read() is None
+    with pytest.raises(Exception, match="batch 2"):
+        go(stages.features, dying(stages.scores, 1))
+    rest, scored = stages.counts()
+    assert rest == 10 - first and 0 < scored < 10
+    # a file that changed since then is made anew, what was finished for the others stays
+    got = go(stages.features, stages.scores, files_of(spark, 10, touched={4})).orderBy("path").collect()
+    made = stages.counts()
+    assert made[0] == 1 and made[1] in (10 - scored, 11 - scored)  # 4.jpg may be among those that were scored
+    whole = Snapshots(spark, f"file://{tmp_path}/whole")
+    want = collection.run_collection(whole, files_of(spark, 10, touched={4}), stages.features, stages.scores, Config(), SIG, ROOT).orderBy("path").collect()
+    assert got == want and stages.counts() == (10, 10)
+    go(stages.features, stages.scores, files_of(spark, 10, touched={4}))
+    assert stages.counts() == (0, 0)
+
+
+def test_unfinished_work_of_other_models_does_not_count(spark, tmp_path):
+    stages, target = Stages(spark), Snapshots(spark, f"file://{tmp_path}/items")
+    with pytest.raises(Exception, match="batch 2"):
+        collection.run_collection(target, files_of(spark, 4), dying(stages.features, 1), stages.scores, Config(), SIG, ROOT, batch_rows=2)
+    stages.counts()
+    collection.run_collection(target, files_of(spark, 4), stages.features, stages.scores, Config(), "aes=other", ROOT, batch_rows=2)
+    assert stages.counts() == (4, 4)
+
+
+def test_a_batch_that_comes_again_counts_once(spark, tmp_path):
+    """Scores come as a queue: a failing batch leaves earlier ones in place, a replay replaces what it wrote."""
+    ledger = Ledger(spark, f"file://{tmp_path}/l", SIG, ROOT, batch_rows=3)
+    rows = spark.createDataFrame([(f"{i}", None, None if i % 4 else 1.0, None, 0.5) for i in range(9)], "path string, mtime timestamp, aesthetic double, scene string, scene_conf double")
+    stages = Stages(spark)
+    with pytest.raises(Exception, match="batch 3"):
+        collection.second_stage(rows, dying(stages.scores, 2), ledger)
+    scored = stages.counts()[1]
+    assert 0 < scored < 9
+    done = ledger.done("scores", f"path string, mtime timestamp, {collection.typed(*collection.SCORES)}")
+    assert done.count() == scored
+    out = {r["path"]: r for r in collection.second_stage(rows, stages.scores, ledger).collect()}
+    assert stages.counts() == (0, 9 - scored) and len(out) == 9
+    assert out["4"]["aesthetic"] == 1.0 and out["5"]["aesthetic"] == 60.0 and {r["scene"] for r in out.values()} == {"landscape"} and out["0"]["scene_conf"] == 0.5
+
+
+def test_phases_of_a_run(spark, tmp_path):
+    told = []
+    watch = Phases(spark, lambda name, n: told.append((name, n)))
+    collection.run_collection(Snapshots(spark, f"file://{tmp_path}/items"), files_of(spark), Stages(spark).features, Stages(spark).scores, Config(), SIG, ROOT, batch_rows=4, watch=watch)
+    rows = {r["phase"]: r for r in watch.table().collect()}
+    assert list(rows) == ["plan", "features", "scores", "group", "score", "publish"] and {r["rows"] for r in rows.values()} == {8}
+    assert sum(n for name, n in told if name == "features") == 8 and [name for name, _ in told].count("features") == 2 and told[-1] == ("publish", 8)
+    assert abs(sum(r["seconds"] for r in rows.values()) - sum(e["seconds"] for e in watch.ended)) < 1e-6 and abs(sum(r["share"] for r in rows.values()) - 100) < 1e-6
+    assert Phases(spark).table().collect() == []
+    seen = Phases(spark)
+    seen.run("x", spark.range(7), lambda df: df.collect(), top=F.max("id"))
+    assert seen.ended[0]["rows"] == 7 and seen.ended[0]["also"] == {"top": "6"}
+    assert [r["share"] for r in shares(spark.sql("select * from values (0.0), (0.0) t(v)"), "v").collect()] == [None, None]
+
+
 def test_signature_and_source_rules(spark):
     assert SIG == incremental.model_signature(eye="none", aes="clip", q="musiq") == "aes=clip|eye=none|q=musiq"
     prior = spark.createDataFrame([("a", SIG, ROOT), ("b", None, ROOT), ("c", SIG, None), ("d", SIG, "/x"), ("e", "old", ROOT)], "path string, model_signature string, source_root string")
