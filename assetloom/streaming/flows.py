@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from assetloom.functions.exprs import hamming
@@ -49,7 +50,8 @@ def online_bursts(events: DataFrame, gap_us: int, late: str, by: list[str] | Non
 
 
 def decision_stream(log: DataFrame) -> DataFrame:
-    """Latest `(path, star, label, scene_manual)` of a stream of decisions, in update mode; a lower seq never overwrites a higher one."""
+    """Latest `(path, star, label, scene_manual)` of a stream of decisions, in update mode; a lower seq never overwrites a
+    higher one. It keeps only the latest of each field, so rows of kind `undo` are not heeded: `settled_decisions` heeds them."""
     fields = ("star", "label", "scene")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -68,6 +70,77 @@ def decision_stream(log: DataFrame) -> DataFrame:
     return sets.groupBy("path").applyInPandasWithState(step, "path string, star int, label string, scene_manual string", "seqs array<bigint>, vals array<string>", "update", GroupStateTimeout.NoTimeout)
 
 
+class Settled(StatefulProcessor):
+    """Keyed by a decision's number: sends the decision once, and its cancellation once, in whatever order decision and undo come."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sent = handle.getValueState("sent", "path string, kind string, value string")
+        self.undone = handle.getValueState("undone", "yes boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows))
+        row, cancelled, out = self.sent.get(), self.undone.exists(), []
+        decided = pdf[pdf["kind"] != "undo"]
+        if (pdf["kind"] == "undo").any() and not cancelled:
+            cancelled = True
+            self.undone.update((True,))
+            if row is not None:
+                out.append((key[0], *row, True))
+        if row is None and len(decided):
+            row = tuple(None if pd.isna(x) else x for x in decided.iloc[0][["path", "kind", "value"]])
+            self.sent.update(row)
+            if not cancelled:
+                out.append((key[0], *row, False))
+        yield pd.DataFrame(out, columns=["seq", "path", "kind", "value", "cancel"])
+
+
+class LatestFields(StatefulProcessor):
+    """Keyed by path: every decision that holds, and the latest value of each field when any comes or goes."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getMapState("held", "seq bigint", "kind string, value string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            for r in pdf.sort_values("cancel", kind="stable").itertuples():
+                if not r.cancel:
+                    self.held.updateValue((r.seq,), (r.kind, None if pd.isna(r.value) else r.value))
+                elif self.held.containsKey((r.seq,)):
+                    self.held.removeKey((r.seq,))
+        last: dict[str, tuple] = {}
+        for (seq,), (kind, value) in self.held.iterator():
+            sets = {"label": value, "star": "5" if value == "P" else "0"} if kind == "pick" else {kind: value}
+            for field, v in sets.items():
+                last[field] = max(last.get(field, (-1, None)), (seq, v), key=lambda x: x[0])
+        star, label, scene = (last.get(f, (0, None))[1] for f in ("star", "label", "scene"))
+        try:
+            star = int(star.strip()) if star is not None else None
+        except ValueError:
+            star = None
+        yield pd.DataFrame([(key[0], star, label, scene)], columns=["path", "star", "label", "scene_manual"]).astype({"star": "Int32"})
+
+
+def settled_decisions(log: DataFrame) -> DataFrame:
+    """`(path, star, label, scene_manual)` of a stream of decisions and undos `(seq, path, kind, value)`, in append mode: a
+    path's state each time it changes, the last one counts, nulls where nothing holds any more.
+
+    An undo names the number of a decision, maybe of another path and maybe one that is still to come. So both are keyed
+    by that number first; what it settles goes on by path, where all decisions that hold are kept, as an undo may reach
+    back any time. Ends at what `fold(without_undone(log))` gives for the whole log. The session needs RocksDB as its state
+    store (`rocksdb_state`).
+    """
+    undo = F.col("kind") == "undo"
+    rows = log.where(F.col("kind").isin("undo", "pick", "star", "label", "scene"))
+    keyed = rows.select(F.when(undo, F.col("value").try_cast("bigint")).otherwise(F.col("seq")).alias("seq"), "path", "kind", "value").where("seq is not null")
+    each = keyed.groupBy("seq").transformWithStateInPandas(Settled(), "seq bigint, path string, kind string, value string, cancel boolean", "append", "none")
+    return each.groupBy("path").transformWithStateInPandas(LatestFields(), "path string, star int, label string, scene_manual string", "append", "none")
+
+
+def rocksdb_state(spark: SparkSession) -> None:
+    """Keep streaming state in RocksDB, on disk, as `settled_decisions` needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def band_index(stored: DataFrame) -> DataFrame:
     """Four rows `(stored, fp, at)` for each fingerprint of stored items `(path, fp)`, with the least path that has it. Write it once and add to it; `near_stored` reads it."""
     return bands(stored.where("fp is not null").groupBy("fp").agg(F.min("path").alias("stored")), 0, ["stored", "fp"])

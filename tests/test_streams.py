@@ -40,6 +40,32 @@ def test_decision_stream_ends_at_the_batch_fold(spark, tmp_path):
     assert got == want
 
 
+def test_undo_in_the_stream_ends_at_the_batch_fold(spark, tmp_path):
+    """Undos before and after their decisions, of other paths, of unknown and repeated numbers, over several batches."""
+    rng = random.Random(15)
+    value = {"star": lambda: rng.choice(["0", "3", "5", "x", None]), "label": lambda: rng.choice(["P", "X", "", None]), "pick": lambda: rng.choice("PX"), "scene": lambda: rng.choice(["food", "city"])}
+    rows = []
+    for seq in range(70):
+        kind = rng.choice(sorted(value))
+        rows.append((seq, f"p{rng.randrange(9)}", kind, value[kind]()))
+    rows += [(100 + i, rng.choice(["p1", "elsewhere", None]), "undo", str(rng.randrange(80))) for i in range(25)] + [(200, "p1", "undo", "no number"), (201, "p1", "undo", None), (202, "p2", "other", "x")]
+    rows += [(300, "gone", "star", "4"), (301, "gone", "undo", "300")]
+    rng.shuffle(rows)
+    schema = "seq long, path string, kind string, value string"
+    want = {r["path"]: (r["star"], r["label"], r["scene_manual"]) for r in decisions.fold(decisions.without_undone(spark.createDataFrame(rows, schema))).collect()}
+    before, seen = spark.conf.get("spark.sql.streaming.stateStore.providerClass"), []
+    flows.rocksdb_state(spark)
+    try:
+        stream = flows.settled_decisions(_batches(spark, tmp_path, rows, schema, 4))
+        stream.writeStream.foreachBatch(lambda b, i: seen.extend((i, tuple(r)) for r in b.collect())).outputMode("append").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    assert len({i for i, _ in seen}) >= 3
+    got = {r[0]: r[1:] for _, r in sorted(seen, key=lambda x: x[0])}
+    assert {p: v for p, v in got.items() if p in want} == want
+    assert {v for p, v in got.items() if p not in want} <= {(None, None, None)} and "gone" not in want
+
+
 def test_online_bursts_equal_batch_sessions(spark, tmp_path):
     rng = random.Random(6)
     gap, at, rows = 1_500_000, 1_700_000_000_000_000, []
