@@ -44,6 +44,38 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def changed_edges(stored: DataFrame, edges: DataFrame, added: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a change leaves to connect: edges `(src, dst)`, and the stored labels that still name their component.
+
+    Components that lost a node are taken apart: their old edges, without those of removed nodes, come again. Every other
+    one is a single node, its label, so of all other edges only the added ones are seen, between labels.
+    """
+    gone = cut(removed.select("node").where("node is not null").distinct())
+    lost = cut(stored.join(gone, "node", "left_semi").select("component").distinct())
+    kept = cut(stored.join(lost, "component", "left_anti").select("node", "component"))
+    redo = cut(stored.join(lost, "component", "left_semi").join(gone, "node", "left_anti").select("node"))
+    at = lambda df, end: df.withColumnRenamed("node", end)
+    again = edges.select("src", "dst").join(at(redo, "src"), "src", "left_semi").join(at(redo, "dst"), "dst", "left_semi").select("src", "dst")
+    new = added.select("src", "dst").join(at(gone, "src"), "src", "left_anti").join(at(gone, "dst"), "dst", "left_anti")
+    for end in ("src", "dst"):
+        label = kept.select(F.col("node").alias("n__"), F.col("component").alias("c__"))
+        new = new.join(label, new[end] == F.col("n__"), "left").withColumn(end, F.coalesce("c__", end)).drop("n__", "c__")
+    return again.unionByName(new.select("src", "dst")), kept
+
+
+def update_components(stored: DataFrame, edges: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """`(node, component)` after a change, from the labels before it: the same as `connected_components` of `edges` and
+    `added` without all edges of `removed` nodes. Rounds are run over `changed_edges` only.
+
+    A node whose edges are all gone has no row, as there. A removed node that an added edge names stays removed. Labels of
+    components that changed are rewritten by one join; a component's label is its least node before and after.
+    """
+    todo, kept = changed_edges(stored, edges, added, removed)
+    parts = cut(connected_components(todo))
+    merged = kept.join(parts.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    return merged.unionByName(parts.join(kept, "node", "left_anti").select("node", "component"))
+
+
 def roots(up: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Roots of places x in a forest of arrays; what is passed on the way points closer to its root after."""
     r = up[x]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -146,11 +147,37 @@ def band_index(stored: DataFrame) -> DataFrame:
     return bands(stored.where("fp is not null").groupBy("fp").agg(F.min("path").alias("stored")), 0, ["stored", "fp"])
 
 
-def near_stored(batch: DataFrame, index: DataFrame, threshold: int = 12) -> DataFrame:
+class BandIndex:
+    """The `band_index` of stored items, kept in a folder as a table bucketed by band value and added to by version.
+
+    A search deals only the new items to the buckets; stored rows are read where they are, without an exchange. A version
+    that is added twice, by a run that came again, is no harm: of a fingerprint's paths the least counts. Items that are
+    stored no longer are left out by the caller, who knows which are there.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
+        self.name = "bands_" + hashlib.md5(self.folder.encode(), usedforsecurity=False).hexdigest()
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} (stored STRING, fp BIGINT, at INT, version INT) USING parquet CLUSTERED BY (at) SORTED BY (at) INTO {buckets} BUCKETS LOCATION '{self.folder}'")
+
+    def add(self, items: DataFrame, version: int) -> None:
+        """Add the items `(path, fp)` of a version. Rows are dealt by bucket first, so each writes one file."""
+        rows = band_index(items).select("stored", "fp", "at", F.lit(version).alias("version")).repartition(self.buckets, "at")
+        rows.write.mode("append").format("parquet").bucketBy(self.buckets, "at").sortBy("at").option("path", self.folder).saveAsTable(self.name)
+
+    def read(self, upto: int | None = None) -> DataFrame:
+        """Rows of all versions, or of those up to one."""
+        rows = self.spark.table(self.name)
+        return rows if upto is None else rows.where(F.col("version") <= upto)
+
+
+def near_stored(batch: DataFrame, index: DataFrame, threshold: int = 12, most: int = BROADCAST_ROWS) -> DataFrame:
     """For `foreachBatch`: `(path, stored, dist)` of a new item `(path, fp)` and, for each close stored fingerprint of the
-    `band_index`, the least stored path. Only the batch's fingerprints are widened; stored ones meet them as they are, not each other."""
+    `band_index`, the least stored path. Only the batch's fingerprints are widened; stored ones meet them as they are, not
+    each other. Widened rows are sent to all tasks while they are counted as `most` at most, else dealt by band value, as a
+    `BandIndex` is already."""
     new = cut(bands(batch.select("fp").where("fp is not null").distinct(), band_radius(threshold), ["fp"]).withColumnRenamed("fp", "new_fp"))
-    few = new.count() <= BROADCAST_ROWS  # counted, as estimates do not see how often rows were exploded
+    few = new.count() <= most  # counted, as estimates do not see how often rows were exploded
     dist = hamming(F.col("new_fp"), F.col("fp"))
     met = index.join(new.hint("broadcast" if few else "merge"), "at").where(dist < threshold).select("new_fp", "fp", "stored", dist.alias("dist"))
     least = met.groupBy("new_fp", "fp").agg(F.min("stored").alias("stored"), F.first("dist").alias("dist")).drop("fp")  # once, in however many bands

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from assetloom.config import Config
 from assetloom.functions import exprs as X
 from assetloom.operators import decisions, incremental, similarity, views
-from assetloom.operators.components import connected_components
+from assetloom.operators.components import changed_edges, connected_components, update_components
 from assetloom.sources import files
 
 
@@ -67,6 +67,22 @@ def test_components_by_rounds_and_by_one_task(spark):
     assert sorted(connected_components(edges).collect()) == sorted(connected_components(edges, small=0).collect()) != []
 
 
+def test_components_after_a_change(spark):
+    """Random inserts and deletes: the same as a full run, over few edges."""
+    rng = random.Random(31)
+    edges = {(a, b) for a, b in ((rng.randrange(300), rng.randrange(300)) for _ in range(230)) if a != b} | {(500 + i, 501 + i) for i in range(40)}
+    frame = lambda e: spark.createDataFrame(sorted(e), "src long, dst long")
+    stored = connected_components(frame(edges))
+    for added, removed in (({(1, 700), (700, 701), (3, 520)}, {510, 7}), ({(0, 299)}, set()), (set(), {501, 20, 40}), (set(), set()), ({(9, 510), (600, 601)}, {510})):
+        gone = spark.createDataFrame([(n,) for n in removed], "node long")
+        extra = frame(added) if added else frame(edges).where("false")
+        want = connected_components(frame({e for e in edges | added if not removed & set(e)}))
+        got = update_components(stored, frame(edges), extra, gone)
+        assert sorted(got.collect()) == sorted(want.collect()), (added, removed)
+    todo, _ = changed_edges(stored, frame(edges), frame({(1, 700)}), spark.createDataFrame([(510,)], "node long"))
+    assert todo.count() <= 42 < len(edges)  # the chain that lost a node, and the new edge
+
+
 @pytest.mark.parametrize(("threshold", "few"), [(4, 0), (12, 0), (12, 1 << 14)])
 def test_hamming_links_connect_what_pairs_connect(spark, monkeypatch, threshold, few):
     monkeypatch.setattr(similarity, "FEW", few)

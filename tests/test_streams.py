@@ -106,3 +106,25 @@ def test_near_stored_equals_brute_force(spark):
             least[fp] = min(p, least.get(fp, p))
     want = {(n, p, (x ^ y).bit_count()) for n, x in new if x is not None for y, p in least.items() if (x ^ y).bit_count() < 12}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_a_kept_band_index_is_not_moved(spark, tmp_path):
+    rng = random.Random(18)
+    base = [rng.getrandbits(63) for _ in range(60)]
+    flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(63), n))
+    schema = "path string, fp long"
+    stored = [(f"s{i:02}", fp) for i, fp in enumerate(base)] + [("a0", base[0]), ("null", None)]
+    new = spark.createDataFrame([(f"n{i:02}", flip(rng.choice(base), rng.randrange(14))) for i in range(50)] + [("nn", None)], schema)
+    index = flows.BandIndex(spark, f"file://{tmp_path}/bands", 4)
+    index.add(spark.createDataFrame(stored[:30], schema), 1)
+    index.add(spark.createDataFrame(stored[30:], schema), 2)
+    index.add(spark.createDataFrame(stored[30:], schema), 2)  # a run that came again
+    again = flows.BandIndex(spark, f"file://{tmp_path}/bands", 4)
+    found = flows.near_stored(new, again.read(), most=0)
+    want = flows.near_stored(new, flows.band_index(spark.createDataFrame(stored, schema)))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) != []
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan")[0]
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(at#" in line]
+    assert len(dealt) == 1 and "Bucketed: true" in plan, plan  # the batch's side alone
+    assert again.read(1).select("stored").distinct().count() == 30
