@@ -14,24 +14,30 @@ from pyspark.sql import window as W
 
 from assetloom.functions.exprs import hamming
 from assetloom.operators.components import connected_components, roots, union_edges
+from assetloom.operators.places import carry, ranged
 from assetloom.session import cut, ready
 
 
 def sessions(df: DataFrame, at: Column, gap: float, order: list[str], by: list[str] | None = None) -> DataFrame:
-    """Add `session`: numbers from 0 of runs whose neighbours are less than `gap` apart, within each `by`.
+    """Add `session`: numbers from 0 of runs whose neighbours are less than `gap` apart, within each `by` (all rows without one).
 
-    Without `by` this is one global order, which one task would sort; use `stitched_sessions` for large tables.
-    A null time gets a null session.
+    Rows are dealt by ranges of key and time, so a key with most of all rows is many tasks; a run that goes on from the
+    part before is stitched to it. A null time gets a null session.
     """
-    w = W.Window.partitionBy(*(by or [F.lit(0)])).orderBy("at__", *order)
-    t = df.withColumn("at__", at).where("at__ is not null")
-    new = F.coalesce(F.col("at__") - F.lag("at__").over(w) >= gap, F.lit(False)).cast("long")
-    out = t.withColumn("new__", new).withColumn("session", F.sum("new__").over(w.rowsBetween(W.Window.unboundedPreceding, 0))).drop("new__", "at__")
+    by, new = by or [], F.col("new__")
+    rows = ranged(df.withColumn("at__", at).where("at__ is not null"), by, [F.col("at__"), *map(F.col, order)])
+    w = W.Window.partitionBy("part__", *by).orderBy("at__", *order)
+    t = rows.withColumn("new__", F.coalesce(F.col("at__") - F.lag("at__").over(w) >= gap, F.lit(False)).cast("long")).withColumn("local__", F.sum(new).over(w.rowsBetween(W.Window.unboundedPreceding, 0)))
+    p = W.Window.partitionBy(*by).orderBy("part__")  # a row for each key and part
+    s = t.groupBy("part__", *by).agg(F.min("at__").alias("lo"), F.max("at__").alias("hi"), F.max("local__").alias("n"))
+    s = s.withColumns({"starts": F.coalesce(F.col("lo") - F.lag("hi").over(p) >= gap, F.lit(False)).cast("long"), "goes_on": F.lag("hi").over(p).isNotNull(), "before": F.coalesce(F.sum("n").over(p.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))})
+    offsets = s.select("part__", *by, "goes_on", (F.sum("starts").over(p.rowsBetween(W.Window.unboundedPreceding, 0)) + F.col("before")).alias("offset__")).where("goes_on").drop("goes_on")
+    out = carry(t, by, offsets).withColumn("session", F.col("local__") + F.coalesce("offset__", F.lit(0))).select(*df.columns, "session")
     return out.unionByName(df.withColumn("at__", at).where("at__ is null").drop("at__").withColumn("session", F.lit(None).cast("long")))
 
 
 def stitched_sessions(df: DataFrame, at: Column, gap: float, order: list[str], width: float) -> DataFrame:
-    """The same as `sessions` in one global order, by time buckets of `width`: sessions are numbered within each bucket,
+    """The same as `sessions` in one global order, by fixed time buckets of `width`: sessions are numbered within each bucket,
     and one row for each bucket that is not empty decides whether its first session goes on from the bucket before."""
     t = cut(df.withColumn("at__", at).where("at__ is not null").withColumn("bucket__", F.floor(F.col("at__") / width)))
     w = W.Window.partitionBy("bucket__").orderBy("at__", *order)

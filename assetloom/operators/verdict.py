@@ -8,6 +8,7 @@ from pyspark.sql import window as W
 
 from assetloom.config import Config
 from assetloom.functions import exprs as X
+from assetloom.operators.places import placed
 from assetloom.session import cut
 
 
@@ -37,9 +38,9 @@ def group_scene(items: DataFrame) -> DataFrame:
 
 
 def rank_in_group(scored: DataFrame) -> DataFrame:
-    """Add `rank` of members that are not rejected, best first, ties by path; null for rejected ones. Each group is sorted whole, in one task."""
-    w = W.Window.partitionBy("group_id").orderBy("hard_waste", F.desc("comp_score"), "path")
-    return scored.withColumn("rank", F.when(~F.col("hard_waste"), F.row_number().over(w)))
+    """Add `rank` of members that are not rejected, best first, ties by path; null for rejected ones. A group with most of all items is ranked in as many tasks as it has parts."""
+    rows = placed(scored, ["group_id"], [F.col("hard_waste"), F.desc("comp_score"), F.col("path")], "rank")
+    return rows.withColumn("rank", F.when(~F.col("hard_waste"), F.col("rank") + 1))
 
 
 def verdicts(scored: DataFrame, c: Config) -> DataFrame:

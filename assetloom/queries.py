@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from assetloom.config import Config
 from assetloom.functions import exprs as X
-from assetloom.operators import components, decisions, features, incremental, similarity, verdict, views
+from assetloom.operators import components, decisions, features, incremental, progress, similarity, verdict, views
 from assetloom.plans import collection
 from assetloom.plans import curate as plan
 from assetloom.session import KEPT, cut, shared_dir, table
@@ -40,11 +40,13 @@ def words(text):
     return F.filter(F.split(F.trim(F.lower(F.coalesce(text, F.lit("")))), r"\s+"), lambda x: x != "")
 
 
-def text_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Words and shares of characters of each document."""
+def text_metrics(spark: SparkSession, d: str, only: DataFrame | None = None) -> DataFrame:
+    """Words and shares of characters of each document, or of those whose `doc_id` is in `only`."""
     t, w = F.coalesce("text", F.lit("")), F.col("w")
     size = F.greatest(F.length(t), F.lit(1))
-    rows = table(spark, d, "documents").select("doc_id", "source", words(F.col("text")).alias("w"), (F.length(F.regexp_replace(t, r"[\p{L}\s]", "")) / size).alias("odd"), ((F.length(t) - F.length(F.regexp_replace(t, r"\s", ""))) / size).alias("blank"))
+    docs = table(spark, d, "documents")
+    docs = docs if only is None else docs.join(only, "doc_id", "left_semi")
+    rows = docs.select("doc_id", "source", words(F.col("text")).alias("w"), (F.length(F.regexp_replace(t, r"[\p{L}\s]", "")) / size).alias("odd"), ((F.length(t) - F.length(F.regexp_replace(t, r"\s", ""))) / size).alias("blank"))
     return rows.select("doc_id", "source", "w", F.size(w).alias("n_words"), F.size(F.array_distinct(w)).alias("n_distinct"), "odd", "blank")
 
 
@@ -66,14 +68,19 @@ def items(spark: SparkSession, d: str, also: tuple[str, ...] = (), doc: DataFram
     )
 
 
+def doc_path():
+    """A document's path as an item."""
+    return F.concat(F.lit("/"), "source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".txt")).alias("path")
+
+
 def fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.concat(F.lit("/"), "source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".txt")).alias("path"), "text")
+    docs = table(spark, d, "documents").select(doc_path(), "text")
     return similarity.simhash(docs, "path", words(F.col("text"))).where("fp is not null")
 
 
-def full_items(spark: SparkSession, d: str) -> DataFrame:
-    """Items with fingerprints, in one pass over the text."""
-    made = similarity.simhash(text_metrics(spark, d), "doc_id", F.col("w"), ("source", "n_words", "n_distinct", "odd", "blank"))
+def full_items(spark: SparkSession, d: str, only: DataFrame | None = None) -> DataFrame:
+    """Items with fingerprints, in one pass over the text; of all documents, or of those that `only` names."""
+    made = similarity.simhash(text_metrics(spark, d, only), "doc_id", F.col("w"), ("source", "n_words", "n_distinct", "odd", "blank"))
     return cut(items(spark, d, ("fp",), made))
 
 
@@ -229,7 +236,7 @@ def exact_duplicates(s, d):
 
 @query(f"SELECT path, n::BIGINT AS n_words, {_signed('fp')} AS fp FROM fps JOIN (SELECT path, count(*) AS n FROM word_bits GROUP BY path) USING (path)", "fps")
 def simhash(s, d):
-    n = table(s, d, "documents").select(F.concat(F.lit("/"), "source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".txt")).alias("path"), F.size(F.array_distinct(words(F.col("text")))).cast("long").alias("n_words"))
+    n = table(s, d, "documents").select(doc_path(), F.size(F.array_distinct(words(F.col("text")))).cast("long").alias("n_words"))
     return fingerprints(s, d).join(n, "path").select("path", "n_words", "fp")
 
 
@@ -270,6 +277,21 @@ def group_ids(s, d):
     return similarity.group_items(full_items(s, d), F.col("ts_ms"), CONFIG.burst_gap_ms).select("path", "group_id")
 
 
+_PAIRS = "SELECT a.r AS src, b.r AS dst FROM (SELECT fp, min(path) AS r FROM fps GROUP BY fp) a JOIN (SELECT fp, min(path) AS r FROM fps GROUP BY fp) b ON a.r < b.r AND bit_count(xor(a.fp, b.fp)) < 12 UNION ALL SELECT r, path FROM fps JOIN (SELECT fp, min(path) AS r FROM fps GROUP BY fp) USING (fp) WHERE path <> r"
+_NUMBER = "substr(split_part({}, '/', 3), 1, 8)::BIGINT"
+
+
+@query("SELECT path AS node, min(root) AS component FROM reach GROUP BY path HAVING count(*) > 1", "reach", {"items": CTES["items"], "edges": f"SELECT src AS a, dst AS b FROM ({_PAIRS}) WHERE {_NUMBER.format('src')} % 97 <> 5 AND {_NUMBER.format('dst')} % 97 <> 5 UNION SELECT dst, src FROM ({_PAIRS}) WHERE {_NUMBER.format('src')} % 97 <> 5 AND {_NUMBER.format('dst')} % 97 <> 5"})
+def components_after_change(s, d):
+    """Labels of near-duplicates after a hundredth of the documents came and another hundredth went, from those before."""
+    number = lambda c: F.regexp_extract(c, r"(\d+)\.txt$", 1).cast("long")
+    edges = cut(similarity.hamming_pairs(fingerprints(s, d), "path", 12).select("src", "dst"))
+    new = (number("src") % 100 == 7) | (number("dst") % 100 == 7)
+    before, added = edges.where(~new), edges.where(new)
+    gone = table(s, d, "documents").where("doc_id % 97 = 5").select(doc_path().alias("node"))
+    return components.update_components(cut(components.connected_components(before)), before, added, gone)
+
+
 # verdicts
 @query("SELECT path, group_id, round(comp_score, 4) AS comp_score, is_best, is_uncertain, is_candidate, candidate_rank::INT AS candidate_rank, is_similar_loser, is_waste, waste_reasons, star FROM judged", "judged")
 def curate(s, d):
@@ -487,15 +509,24 @@ _FRESH = f"NOT (doc_id % 5 <> 0 AND {_USABLE} AND doc_id % 7 <> 0 AND doc_id % 1
 _MERGED = f"""SELECT * REPLACE (CASE WHEN fresh THEN blur_score ELSE blur_score * 0.9::DOUBLE END AS blur_score, CASE WHEN fresh OR doc_id % 13 = 0 THEN aesthetic ELSE aesthetic * 0.5::DOUBLE END AS aesthetic) FROM (SELECT *, {_FRESH} AS fresh FROM ({CTES["items"]}))"""
 
 
+def stored_items(spark: SparkSession, d: str) -> DataFrame:
+    """What an earlier run has left: a table of the session, made once, whose values differ from fresh ones."""
+    key = ("stored", spark.sparkContext.applicationId, d)
+    if key not in KEPT:
+        kept = signed_prior(spark, d).select("path", "mtime", "model_signature", "source_root", (F.col("blur_score") * 0.9).alias("blur_score"), (F.col("aesthetic") * 0.5).alias("aesthetic"), F.col("fp").isNotNull().alias("has_fp"))
+        both = full_items(spark, d).drop("blur_score", "aesthetic").join(kept, "path")
+        KEPT[key] = cut(both.withColumn("fp", F.when(F.col("has_fp"), F.col("fp"))).drop("has_fp"))
+    return KEPT[key]
+
+
 @query("SELECT path, group_id, round(comp_score, 4) AS comp_score, is_best, is_candidate, is_waste, waste_reasons FROM judged", "judged", {"items": _MERGED})
 def incremental_curate(s, d):
-    """A later run: stored values differ from fresh ones, so the result shows which were made anew."""
-    now = full_items(s, d).withColumn("mtime", F.col("ts"))
-    kept = signed_prior(s, d).select("path", F.col("mtime").alias("old"), "model_signature", "source_root", (F.col("blur_score") * 0.9).alias("blur"), (F.col("aesthetic") * 0.5).alias("aes"), F.col("fp").isNotNull().alias("has_fp"))
-    before = now.join(kept, "path").withColumns({"mtime": F.col("old"), "blur_score": F.col("blur"), "aesthetic": F.col("aes"), "fp": F.when(F.col("has_fp"), F.col("fp"))})
-    made = lambda rows: rows.select("path").join(now.select("path", *(c for c in collection.FEATURES if c in now.columns)), "path")
-    scored = lambda rows: rows.select("path").join(now.select("path", *collection.SCORES), "path")
-    merged = collection.refreshed(now.select("path", "mtime"), before, made, scored, SIGNATURE, "/root")
+    """A later run over what an earlier one has stored: only documents that need it are read and fingerprinted. Stored values differ from fresh ones, so the result shows which were made anew."""
+    numbered = F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("doc_id")
+    made = lambda rows: full_items(s, d, rows.select(numbered))
+    scored = lambda rows: items(s, d).select("path", *collection.SCORES).join(rows.select("path"), "path", "left_semi")
+    scanned = table(s, d, "documents").select("doc_id", doc_path()).join(table(s, d, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("mtime")), "doc_id", "left")
+    merged = collection.refreshed(scanned.select("path", "mtime"), stored_items(s, d), made, scored, SIGNATURE, "/root")
     out = plan.curate(merged.withColumn("ts_ms", F.unix_micros("ts") / 1000.0), CONFIG)
     return out.select("path", "group_id", r6(F.col("comp_score"), "comp_score", 4), "is_best", "is_candidate", "is_waste", "waste_reasons")
 
@@ -621,6 +652,32 @@ def ingest_documents(s, d):
     return target.read()
 
 
+@query("SELECT n.path, s.stored, bit_count(xor(n.fp, s.fp))::INT AS dist FROM (SELECT f.path, f.fp FROM fps f JOIN items USING (path) WHERE doc_id % 100 = 7) n JOIN (SELECT min(path) AS stored, f.fp FROM fps f JOIN items USING (path) WHERE doc_id % 100 <> 7 GROUP BY f.fp) s ON bit_count(xor(n.fp, s.fp)) < 12", "fps")
+def near_stored_index(s, d):
+    """A hundredth of the documents as a later run's new items, against a kept band index that earlier runs have added the others to, in two versions."""
+    i = full_items(s, d).select("doc_id", "path", "fp")
+    index = flows.BandIndex(s, f"{shared_dir(s)}/{s.sparkContext.applicationId}/bands-{uuid.uuid4().hex}", 16)
+    for version in (1, 2):
+        index.add(i.where(f"doc_id % 100 <> 7 and doc_id % 2 = {version - 1}"), version)
+    return flows.near_stored(i.where("doc_id % 100 = 7"), index.read(), 12)
+
+
+# progress
+@query("SELECT event_type AS phase, count(*)::BIGINT AS rows, round(sum(value), 3) AS total, round(100 * sum(value) / (SELECT sum(value) FROM events), 5) AS share FROM events GROUP BY event_type")
+def phase_shares(s, d):
+    """Events as a log of phases, their values as seconds."""
+    return progress.phase_shares(table(s, d, "events"), "event_type", "value").select("phase", "rows", r6(F.col("total"), "total", 3), r6(F.col("share"), "share"))
+
+
+@query("SELECT phase, count(*)::BIGINT AS rows, CASE WHEN phase = 'judge' THEN count(*) FILTER (is_waste) END::BIGINT AS waste, 100.0::DOUBLE AS shares FROM judged, (VALUES ('group'), ('score'), ('judge')) p(phase) GROUP BY phase", "judged")
+def run_progress(s, d):
+    """Rows that each phase of a curation has told of; the phases' shares of its seconds sum up to 100."""
+    watch = progress.Phases(s)
+    watch.run("judge", plan.curate(full_items(s, d), CONFIG, watch=watch), waste=F.count_if("is_waste"))
+    t = watch.table()
+    return t.crossJoin(F.broadcast(t.agg(F.round(F.sum("share"), 6).alias("shares")))).select("phase", "rows", F.col("also")["waste"].cast("long").alias("waste"), "shares")  # one row
+
+
 # grids, vectors, landmarks
 @query()
 def laplacian_var(s, d):

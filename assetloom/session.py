@@ -9,23 +9,40 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of each part of tables in few files.
-_ROWS: dict[tuple, list[int]] = {}
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a folder, through Spark's reader only."""
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    path = f"{sf_dir}/{name}.parquet"
+    return spread(spark.read.parquet(path), path)
+
+
+#: Rows of each part of tables in few files, and bytes that a table dealt anew has at most.
+_ROWS: dict[tuple, list[int]] = {}
+SPREAD_BYTES = 1 << 30
+
+
+def _few_files(spark: SparkSession, path: str, most: int) -> list[tuple[str, int]] | None:
+    """`(name, bytes)` of the files below a path; None if there are more than `most`. Stops listing there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files, found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append((str(f.getPath()), f.getLen()))
+        if len(found) > most:
+            return None
+    return found
 
 
-def spread(df: DataFrame, least: int = 5000) -> DataFrame:
+def spread(df: DataFrame, path: str, least: int = 5000) -> DataFrame:
     """A table as it is, but where it comes in fewer files and row groups than the session has cores, and has `least` rows
-    or more, dealt to all cores: else one task would read a file that was written as one row group. Larger tables are
-    never moved. Only the footers of those few files are read for this, once a session."""
+    or more, dealt to all cores: else one task would read a file that was written as one row group. Tables of more files or
+    of more than `SPREAD_BYTES` are never moved, nor listed to the end. Only the footers of few files are read, once a session."""
     spark = df.sparkSession
-    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
-    if len(files) >= cores:
+    cores = spark.sparkContext.defaultParallelism
+    files = _few_files(spark, path, cores - 1)
+    if files is None or sum(n for _, n in files) > SPREAD_BYTES:
         return df
     key = (spark.sparkContext.applicationId, *sorted(files))
     if key not in _ROWS:

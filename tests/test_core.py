@@ -15,6 +15,7 @@ from assetloom.config import Config
 from assetloom.functions import exprs as X
 from assetloom.operators import decisions, incremental, similarity, views
 from assetloom.operators.components import changed_edges, connected_components, update_components
+from assetloom.operators.places import placed, ranged
 from assetloom.sources import files
 
 
@@ -136,6 +137,40 @@ def test_stitched_sessions_equal_one_window(spark):
     assert one == two and len(one) == 300
 
 
+@pytest.fixture
+def hot(spark):
+    """2000 rows of which one key has 40 %, a null key among the others; times repeat, some are null."""
+    rng = random.Random(9)
+    rows = [(i, "hot" if i % 5 < 2 else rng.choice([f"k{j}" for j in range(40)] + [None]), rng.randrange(9000) if i % 97 else None) for i in range(2000)]
+    return spark.createDataFrame(rows, "id long, key string, t long").repartition(4)
+
+
+def test_places_of_a_hot_key_are_dealt_to_many_tasks(spark, hot):
+    by, order = ["key"], [F.desc_nulls_last("t"), F.col("id")]
+    plain = {}
+    for r in sorted(hot.collect(), key=lambda r: (r["t"] is None, -(r["t"] or 0), r["id"])):
+        plain.setdefault(r["key"], []).append(r["id"])
+    got = placed(hot, by, order, parts=16)
+    assert {(r["id"], r["place"]) for r in got.collect()} == {(i, n) for ids in plain.values() for n, i in enumerate(ids)} and got.count() == 2000
+    sizes = sorted(r["count"] for r in ranged(hot, by, order, 16).groupBy("part__").count().collect())
+    assert len(sizes) >= 12 and sizes[-1] <= 2 * sizes[len(sizes) // 2], sizes
+    empty = hot.where("false")
+    assert placed(empty, by, order).collect() == [] and placed(empty, [], order).collect() == []
+
+
+def test_sessions_of_a_hot_key_equal_a_plain_scan(spark, hot):
+    for by in (["key"], []):
+        got = similarity.sessions(hot.repartition(16), F.col("t"), 7, ["id"], by).collect()
+        want, last = {}, {}
+        for r in sorted((r for r in hot.collect() if r["t"] is not None), key=lambda r: (r["t"], r["id"])):
+            k = r["key"] if by else None
+            t, n = last.get(k, (None, 0))
+            n += t is not None and r["t"] - t >= 7
+            last[k] = (r["t"], n)
+            want[r["id"]] = n
+        assert {r["id"]: r["session"] for r in got if r["session"] is not None} == want and len(got) == 2000
+
+
 @pytest.mark.parametrize(("rows", "groups"), [
     ([("a", 0.0, 0), ("b", 1000.0, -1), ("c", 5000.0, 0x5555555555555555)], [["a", "b"], ["c"]]),
     ([("a", 0.0, 0), ("b", 1500.0, -1)], [["a"], ["b"]]),
