@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from assetloom.config import Config
 from assetloom.functions import exprs as X
+from assetloom.session import ready
 
 
 def grid_metrics(df: DataFrame, grid: str, width: int, high: float, low: float) -> DataFrame:
@@ -47,24 +50,49 @@ def prompt_score(df: DataFrame, vector: str, good: list[list[float]], bad: list[
     return df.withColumn("p__", X.softmax(logits)).withColumn("prompt_score", 100.0 * F.aggregate(F.slice("p__", 1, len(good)), F.lit(0.0), lambda a, x: a + x)).drop("p__")
 
 
-def score_batches(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series], name: str) -> DataFrame:
-    """Add a column by a user's pandas function. If a batch fails its rows are scored one by one; rows that fail are null."""
+#: Models that this Python worker has loaded, by name.
+_LOADED: dict[str, object] = {}
+
+
+def loaded(name: str, load: Callable[[], object]) -> object:
+    """A model by its name; `load` is called once in each Python worker, which Spark uses again for later tasks."""
+    if name not in _LOADED:
+        _LOADED[name] = load()
+    return _LOADED[name]
+
+
+def score_batches(df: DataFrame, scorer: Callable[..., pd.Series], name: str, load: Callable[[], object] | None = None, model: str | None = None, profile: ResourceProfile | None = None) -> DataFrame:
+    """Add a column by a user's pandas function. If a batch fails its rows are scored one by one; rows that fail are null.
+
+    With `load` the function's second argument is what that returns: it is called once in each worker for a `model` name,
+    which is the name of what is loaded and its version; a model that cannot be loaded fails the job. Executors and cores of
+    the stage can be asked for by a `profile`, such as one with graphics cards.
+    """
+    if load and not model:
+        raise ValueError("name the model that is loaded")
+    ready(df.sparkSession)
+    names = df.columns
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        from assetloom.operators import features  # the worker's own module holds what it has loaded
+
+        given = (features.loaded(model, load),) if load else ()
+
+        def one(row: pd.DataFrame) -> float | None:
             try:
-                yield pdf.assign(**{name: scorer(pdf).astype(float)})
+                return float(scorer(row, *given).iloc[0])
             except Exception:
-                def one(i: int, pdf: pd.DataFrame = pdf) -> float | None:
-                    try:
-                        return float(scorer(pdf.iloc[i : i + 1]).iloc[0])
-                    except Exception:
-                        return None
-
-                yield pdf.assign(**{name: pd.Series([one(i) for i in range(len(pdf))], index=pdf.index, dtype=float)})
+                return None
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
+        for pdf in batches:
+            try:
+                scores = scorer(pdf, *given).astype(float)
+            except Exception:
+                scores = pd.Series([one(pdf.iloc[i : i + 1]) for i in range(len(pdf))], index=pdf.index, dtype=float)
+            yield pdf.assign(**{name: scores})[[*names, name]]
 
-    return df.mapInPandas(run, StructType([*df.schema.fields, StructField(name, DoubleType())]))
+    schema = StructType([*df.schema.fields, StructField(name, DoubleType())])
+    return df.mapInPandas(run, schema, profile=profile) if profile else df.mapInPandas(run, schema)
 
 
 def cascade(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series], c: Config, cheap: str = "ear") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from assetloom.config import Config
 from assetloom.functions import exprs as X
-from assetloom.operators import decisions, incremental, similarity, views
+from assetloom.operators import decisions, features, incremental, similarity, views
 from assetloom.operators.components import changed_edges, connected_components, update_components
 from assetloom.operators.places import placed, ranged
 from assetloom.sources import files
@@ -368,3 +368,26 @@ def test_group_members_are_those_of_all_groups(spark):
     got = [(r["group_id"], r["path"]) for r in e.queries()["group_members"](spark, sf).collect()]
     assert max(g for g, _ in got) >= 50
     assert sorted(got) == sorted((r["group_id"], r["path"]) for r in e.queries()["group_ids"](spark, sf).collect())
+
+
+def test_a_model_is_loaded_once_in_each_worker(spark, tmp_path):
+    """Twelve tasks in two jobs on four cores: no worker loads twice; a failing batch is scored row by row by the same model."""
+    def load():
+        import os
+        import uuid
+
+        (tmp_path / f"{os.getpid()}-{uuid.uuid4().hex}").touch()
+        return 10.0
+
+    def score(pdf, model):
+        if len(pdf) > 1 and (pdf["id"] == 3).any() or (pdf["id"] == 5).all():
+            raise ValueError
+        return pdf["id"] * model
+
+    for _ in range(2):
+        got = {r["id"]: r["v"] for r in features.score_batches(spark.range(0, 60, 1, 6), score, "v", load, "ten-1").collect()}
+        assert got == {i: None if i == 5 else 10.0 * i for i in range(60)}
+    loads = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert loads and len(loads) == len(set(loads))
+    with pytest.raises(ValueError, match="name the model"):
+        features.score_batches(spark.range(1), score, "v", load)
