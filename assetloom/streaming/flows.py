@@ -5,12 +5,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import StructType
 
 from assetloom.functions.exprs import hamming
@@ -50,6 +51,62 @@ def online_bursts(events: DataFrame, gap_us: int, late: str, by: list[str] | Non
     return events.withWatermark(ts, late).groupBy(*(by or []), w).agg(F.count("*").alias("n"), F.min(ts).alias("first"), F.max(ts).alias("last"))
 
 
+class ItemSessions(StatefulProcessor):
+    """Keyed: the items of sessions that are still open. Sends each item with its session's first time, and again when a late item changes that."""
+
+    def __init__(self, gap_us: int, id: str, us: str):
+        self.gap, self.id, self.us = gap_us, id, us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "at array<bigint>, id array<bigint>, first array<bigint>")
+
+    def _keep(self, at: np.ndarray, ids: np.ndarray, first: np.ndarray, watermark_ms: int) -> None:
+        """Keep what later items can still join, and wake up when the first of it is closed."""
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if len(at):
+            ends = np.flatnonzero(np.diff(first, append=first[-1] + 1))  # the last item of each session
+            close = -(-(at[ends] + self.gap) // 1000)
+            alive = np.isin(first, first[ends[close > watermark_ms]])
+            at, ids, first = at[alive], ids[alive], first[alive]
+            if len(at):
+                self.open.update((at.tolist(), ids.tolist(), first.tolist()))
+                self.handle.registerTimer(int(close[close > watermark_ms].min()))
+                return
+        self.open.clear()
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows))
+        at, ids, told = (np.array(x, np.int64) for x in self.open.get()) if self.open.exists() else (np.zeros(0, np.int64),) * 3
+        known = len(at)
+        at, ids = np.concatenate([at, pdf[self.us].to_numpy(np.int64)]), np.concatenate([ids, pdf[self.id].to_numpy(np.int64)])
+        told = np.concatenate([told, np.zeros(len(pdf), np.int64)])
+        new = np.arange(len(at)) >= known
+        order = np.lexsort((ids, at))
+        at, ids, told, new = at[order], ids[order], told[order], new[order]
+        starts = np.concatenate([[True], np.diff(at) >= self.gap])
+        first = at[starts][np.cumsum(starts) - 1]
+        send = new | (first != told)
+        yield pd.DataFrame({"key": str(key[0]), "id": ids[send], "at": at[send], "session_start": first[send], "correction": ~new[send]})
+        self._keep(at, ids, first, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.open.exists():
+            self._keep(*(np.array(x, np.int64) for x in self.open.get()), timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame({"key": pd.Series(dtype=str), "id": pd.Series(dtype="int64"), "at": pd.Series(dtype="int64"), "session_start": pd.Series(dtype="int64"), "correction": pd.Series(dtype=bool)})
+
+
+def item_sessions(events: DataFrame, gap_us: int, late: str, by: str, id: str, ts: str = "ts") -> DataFrame:
+    """`(key, id, at, session_start, correction)` of a stream: each item as it comes, with the first time (microseconds) of
+    its burst, whose neighbours are less than the gap apart; once more, as a correction, whenever a late item joins two
+    bursts or begins one earlier. Each item's last row is what `sessions` gives for all. Items later than `late` are
+    dropped, and a burst is forgotten when the watermark is past its gap. Append mode, with RocksDB (`rocksdb_state`).
+    """
+    rows = events.withWatermark(ts, late).where(F.col(ts).isNotNull()).select(F.col(by).cast("string").alias("key"), F.col(id).cast("long").alias("id"), F.col(ts), F.unix_micros(ts).alias("us"))
+    return rows.groupBy("key").transformWithStateInPandas(ItemSessions(gap_us, "id", "us"), "key string, id bigint, at bigint, session_start bigint, correction boolean", "append", "eventTime")
+
+
 def decision_stream(log: DataFrame) -> DataFrame:
     """Latest `(path, star, label, scene_manual)` of a stream of decisions, in update mode; a lower seq never overwrites a
     higher one. It keeps only the latest of each field, so rows of kind `undo` are not heeded: `settled_decisions` heeds them."""

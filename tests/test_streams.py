@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from assetloom.operators import decisions
@@ -40,7 +41,7 @@ def test_decision_stream_ends_at_the_batch_fold(spark, tmp_path):
     assert got == want
 
 
-def test_undo_in_the_stream_ends_at_the_batch_fold(spark, tmp_path):
+def test_undo_in_the_stream_ends_at_the_batch_fold(spark, tmp_path, rocksdb):
     """Undos before and after their decisions, of other paths, of unknown and repeated numbers, over several batches."""
     rng = random.Random(15)
     value = {"star": lambda: rng.choice(["0", "3", "5", "x", None]), "label": lambda: rng.choice(["P", "X", "", None]), "pick": lambda: rng.choice("PX"), "scene": lambda: rng.choice(["food", "city"])}
@@ -53,13 +54,9 @@ def test_undo_in_the_stream_ends_at_the_batch_fold(spark, tmp_path):
     rng.shuffle(rows)
     schema = "seq long, path string, kind string, value string"
     want = {r["path"]: (r["star"], r["label"], r["scene_manual"]) for r in decisions.fold(decisions.without_undone(spark.createDataFrame(rows, schema))).collect()}
-    before, seen = spark.conf.get("spark.sql.streaming.stateStore.providerClass"), []
-    flows.rocksdb_state(spark)
-    try:
-        stream = flows.settled_decisions(_batches(spark, tmp_path, rows, schema, 4))
-        stream.writeStream.foreachBatch(lambda b, i: seen.extend((i, tuple(r)) for r in b.collect())).outputMode("append").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    seen = []
+    stream = flows.settled_decisions(_batches(spark, tmp_path, rows, schema, 4))
+    stream.writeStream.foreachBatch(lambda b, i: seen.extend((i, tuple(r)) for r in b.collect())).outputMode("append").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
     assert len({i for i, _ in seen}) >= 3
     got = {r[0]: r[1:] for _, r in sorted(seen, key=lambda x: x[0])}
     assert {p: v for p, v in got.items() if p in want} == want
@@ -90,6 +87,37 @@ def test_online_bursts_equal_batch_sessions(spark, tmp_path):
     assert {tuple(r) for r in got if r["who"] != "end"} == want and len(got) == len(set(map(tuple, got)))
 
 
+@pytest.fixture
+def rocksdb(spark):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    flows.rocksdb_state(spark)
+    yield
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def test_items_get_their_sessions_and_corrections(spark, tmp_path, rocksdb):
+    """Late items, in any order within the delay, join bursts that were told apart; each item's last row is the batch's answer."""
+    rng = random.Random(16)
+    gap, rows, at = 1_500_000, [], 1_700_000_000_000_000
+    for i in range(150):
+        at += rng.choice([200_000, 900_000, gap - 1, gap, gap + 1, 4_000_000])
+        rows.append((at, rng.choice("ab"), i))
+    rows.sort(key=lambda r: r[0] + rng.randrange(20_000_000))  # out of order by up to 20 s
+    schema = "us long, who string, id long"
+    events = _batches(spark, tmp_path, rows, schema, 6).select(F.timestamp_micros("us").alias("ts"), "who", "id")
+    seen = []
+    stream = flows.item_sessions(events, gap, "40 seconds", "who", "id")
+    stream.writeStream.foreachBatch(lambda b, n: seen.extend((n, r) for r in b.collect())).outputMode("append").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    want = {}
+    for who in "ab":
+        first = last = None
+        for t, _, i in sorted((r for r in rows if r[1] == who), key=lambda r: (r[0], r[2])):
+            first = t if last is None or t - last >= gap else first
+            last, want[i] = t, first
+    assert {r["id"]: r["session_start"] for _, r in sorted(seen, key=lambda x: x[0])} == want
+    assert sum(not r["correction"] for _, r in seen) == 150 and any(r["correction"] for _, r in seen)
+
+
 def test_near_stored_equals_brute_force(spark):
     rng = random.Random(8)
     base = [rng.getrandbits(63) for _ in range(40)]
