@@ -90,9 +90,9 @@ WITH u AS (SELECT page_id, url, TIMESTAMP '2024-01-01' + to_days((page_id * 37 %
   list_filter(string_split(coalesce(regexp_extract(url, {_q(url_filters.PATH)}, 1), ''), '/'), lambda x: x <> '') AS seg FROM pages),
 k AS (SELECT page_id, url, fetched_at, 'host' AS kind, host AS pattern FROM u WHERE host <> ''
   UNION ALL SELECT page_id, url, fetched_at, 'domain', array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.') FROM u, unnest(range(1, len(string_split(host, '.')) + 1)) r(i) WHERE host <> ''
-  UNION ALL SELECT page_id, url, fetched_at, 'prefix', host || '/' || array_to_string(list_slice(seg, 1, i), '/') FROM u, unnest(range(1, least(3, len(seg)) + 1)) r(i) WHERE host <> ''),
+  UNION ALL SELECT page_id, url, fetched_at, 'prefix', host || '/' || array_to_string(list_slice(seg, 1, i), '/') FROM u, unnest(range(1, len(seg) + 1)) r(i) WHERE host <> ''),
 n AS (SELECT DISTINCT kind, pattern, ('0x' || substr(md5(kind || ':' || pattern), 1, 4))::INT AS h FROM k),
-e AS (SELECT kind, lower(pattern) AS pattern, TIMESTAMP '2024-01-01' + to_days(h % 200 + a) AS at, act FROM n, (VALUES ('add', 0), ('remove', 60), ('add', 120)) s(act, a) WHERE (h % 5 = 0 AND len(string_split(pattern, '.')) >= 3) OR (kind = 'domain' AND len(string_split(pattern, '.')) = 2)),
+e AS (SELECT kind, lower(split_part(pattern, '/', 1)) || substr(pattern, length(split_part(pattern, '/', 1)) + 1) AS pattern, TIMESTAMP '2024-01-01' + to_days(h % 200 + a) AS at, act FROM n, (VALUES ('add', 0), ('remove', 60), ('add', 120)) s(act, a) WHERE (h % 5 = 0 AND len(string_split(pattern, '.')) >= 3) OR (kind = 'domain' AND len(string_split(pattern, '.')) = 2)),
 m AS (SELECT k.page_id, k.url, k.fetched_at, k.kind, k.pattern, e.act FROM k ASOF LEFT JOIN e ON k.kind = e.kind AND k.pattern = e.pattern AND k.fetched_at >= e.at)
 SELECT u.page_id, u.url, u.fetched_at, coalesce(bool_or(m.act = 'add'), false) AS blocked, count(*) FILTER (m.act = 'add')::BIGINT AS n_active, min(m.kind || ':' || m.pattern) FILTER (m.act = 'add') AS first_pattern
 FROM u LEFT JOIN m ON u.page_id = m.page_id GROUP BY u.page_id, u.url, u.fetched_at
