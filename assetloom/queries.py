@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from assetloom.config import Config
 from assetloom.functions import exprs as X
-from assetloom.operators import components, decisions, features, incremental, progress, similarity, verdict, views
+from assetloom.operators import components, decisions, features, incremental, progress, rollups, search, similarity, verdict, views
 from assetloom.plans import collection
 from assetloom.plans import curate as plan
 from assetloom.session import KEPT, cut, shared_dir, table
@@ -416,6 +416,26 @@ def filter_items(s, d):
     return judged(s, d).where(views.item_filter({"scene": "portrait", "is_waste": False, "search": "1_.TXT", "label": ""})).select("path", "scene")
 
 
+@query("SELECT path, fname FROM items WHERE fname ILIKE '%012_.T%'", "items")
+def search_items(s, d):
+    """Names that hold a pattern, by postings written for all of them."""
+    i = items(s, d).select("path", "fname")
+    folder = f"{shared_dir(s)}/{s.sparkContext.applicationId}/postings-{uuid.uuid4().hex}"
+    search.write_postings(i, folder)
+    return search.search(i, folder, "012_.T")
+
+
+@query("SELECT scene, count(*)::BIGINT AS n, count(*) FILTER (is_waste)::BIGINT AS waste, sum(star)::BIGINT AS stars FROM (SELECT CASE WHEN doc_id % 100 = 3 THEN 'food' ELSE scene END AS scene, is_waste, CASE WHEN doc_id % 100 = 4 THEN 5 ELSE star END AS star FROM judged WHERE doc_id % 100 <> 5) GROUP BY 1", "judged")
+def rollup_after_change(s, d):
+    """Counts by scene after a run that changed or removed three hundredths of the items, from those before and the change rows."""
+    i, h = judged(s, d).select("doc_id", "path", "scene", "is_waste", "star"), F.col("doc_id") % 100
+    now = i.where(h != 5).withColumns({"scene": F.when(h == 3, "food").otherwise(F.col("scene")), "star": F.when(h == 4, 5).otherwise(F.col("star"))})
+    sums = {"waste": F.col("is_waste").cast("int"), "stars": F.col("star")}
+    kept = cut(rollups.rollup(i, ["scene"], sums))
+    change = rollups.changes(i, now, "path", ["scene", "is_waste", "star"], i.where(h.isin(3, 4, 5)))
+    return rollups.changed_rollup(kept, change, ["scene"], sums)
+
+
 @query("SELECT count(*)::BIGINT AS n FROM judged WHERE star >= 5 AND NOT is_uncertain", "judged")
 def filtered_count(s, d):
     return judged(s, d).where(views.item_filter({"star_min": 5, "is_uncertain": False})).agg(F.count("*").alias("n"))
