@@ -682,6 +682,78 @@ def near_stored_index(s, d):
     return flows.near_stored(i.where("doc_id % 100 = 7"), index.read(), 12)
 
 
+def streamed(rows: DataFrame, flow: Callable[[DataFrame], DataFrame], files: int = 4) -> DataFrame:
+    """All that a flow sends of a table as a stream of some files, in two batches at least, with the `batch` that sent it. State is kept in RocksDB."""
+    s = rows.sparkSession
+    at = f"{shared_dir(s)}/{s.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    rows.repartition(files).write.parquet(f"{at}/in")
+    flows.rocksdb_state(s)
+    source = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", files // 2).parquet(f"{at}/in")
+    out = flow(source)
+    save = lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/batch={n}")
+    out.writeStream.foreachBatch(save).outputMode("append").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(f"{out._jdf.schema().toDDL()}, batch bigint").option("basePath", f"{at}/out").parquet(f"{at}/out")
+
+
+def latest(sent: DataFrame, key: str) -> DataFrame:
+    """The last that was sent of each key."""
+    cols = [c for c in sent.columns if c not in (key, "batch")]
+    return sent.groupBy(key).agg(F.max_by(F.struct(*cols), "batch").alias("x")).select(key, *(F.col("x")[c].alias(c) for c in cols))
+
+
+@query(_FOLD.format("(SELECT * FROM log WHERE seq NOT IN (SELECT value::BIGINT FROM log WHERE kind = 'undo'))"), "log")
+def decision_stream_undo(s, d):
+    """Decisions and undos as a stream, in no order; paths of which nothing holds are left out."""
+    log = decision_log(s, d)
+    state = latest(streamed(log, flows.settled_decisions), "path")
+    return state.join(decisions.without_undone(log).select("path").distinct(), "path", "left_semi")
+
+
+@query("SELECT event_id AS id, user_id::VARCHAR AS key, epoch_us(min(ts) OVER (PARTITION BY user_id, session))::BIGINT AS session_start FROM (SELECT user_id, event_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) >= 10800000000 THEN 1 ELSE 0 END AS new FROM events))")
+def item_sessions(s, d):
+    """Each event's burst, online, from files in no order of time; the last that was sent of each event."""
+    e = table(s, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    sent = streamed(e, lambda rows: flows.item_sessions(rows, 10_800_000_000, "400 days", "user_id", "event_id"))
+    return latest(sent, "id").select("id", "key", "session_start")
+
+
+# whole runs
+@query("SELECT path, fname, scene, round(blur_score, 5) AS blur_score, is_face FROM items", "items")
+def known_columns(s, d):
+    """What of the items a snapshot would take: only columns that it has."""
+    i = items(s, d).withColumns({"blur_score": F.round("blur_score", 5), "unknown": F.lit(1)})
+    return incremental.known_columns(i.select("unknown", "doc_id", "path", "fname", "scene", "blur_score", "is_face"))
+
+
+@query("SELECT v AS version, count(*) FILTER (v = 2 OR doc_id % 2 = 0)::BIGINT AS rows, '/root' AS source_root, CASE v WHEN 1 THEN 'one' ELSE 'two' END AS model_signature FROM items, (VALUES (1), (2)) t(v) GROUP BY v", "items")
+def snapshot_meta(s, d):
+    """Two versions of the items and the values published with each; a cleared folder has none."""
+    i = items(s, d).select("doc_id", "path")
+    target, rows = files.Snapshots(s, f"{shared_dir(s)}/{s.sparkContext.applicationId}/meta-{uuid.uuid4().hex}"), []
+    for signature, df in (("one", i.where("doc_id % 2 = 0")), ("two", i)):
+        version = target.publish(df, model_signature=signature, **({"source_root": "/root"} if signature == "one" else {}))
+        rows.append(target.read().agg(F.count("*").alias("rows")).select(F.lit(version).alias("version"), "rows", F.lit(target.meta("source_root")).alias("source_root"), F.lit(target.meta("model_signature")).alias("model_signature")))
+    out = cut(rows[0].unionByName(rows[1]))
+    target.clear()
+    return out.where(F.lit(target.read() is None))
+
+
+@query("SELECT run, count(*) FILTER (run = 1 OR len(w) = 0)::BIGINT AS extracted, count(*) FILTER (run = 1 OR len(w) = 0 OR aesthetic IS NULL OR scene_conf IS NULL)::BIGINT AS scored, count(*)::BIGINT AS published FROM items, (VALUES (1), (2)) t(run) GROUP BY run", "items")
+def rerun_unchanged(s, d):
+    """Two whole runs over the same documents: the second extracts and scores only what still lacks a value, such as texts without words."""
+    numbered = F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("doc_id")
+    made = lambda rows: full_items(s, d, rows.select(numbered))
+    scored = lambda rows: items(s, d).select("path", *collection.SCORES).join(rows.select("path"), "path", "left_semi")
+    scanned = cut(table(s, d, "documents").select("doc_id", doc_path()).join(table(s, d, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("mtime")), "doc_id", "left").select("path", "mtime"))
+    target, out = files.Snapshots(s, f"{shared_dir(s)}/{s.sparkContext.applicationId}/runs-{uuid.uuid4().hex}"), []
+    for run in (1, 2):
+        watch = progress.Phases(s)
+        collection.run_collection(target, scanned, made, scored, CONFIG, SIGNATURE, "/root", watch=watch)
+        of = lambda phase: F.coalesce(F.sum(F.when(F.col("phase") == phase, F.col("rows"))), F.lit(0)).alias({"features": "extracted", "scores": "scored", "publish": "published"}[phase])
+        out.append(watch.table().agg(of("features"), of("scores"), of("publish")).select(F.lit(run).alias("run"), "extracted", "scored", "published"))
+    return out[0].unionByName(out[1])
+
+
 # progress
 @query("SELECT event_type AS phase, count(*)::BIGINT AS rows, round(sum(value), 3) AS total, round(100 * sum(value) / (SELECT sum(value) FROM events), 5) AS share FROM events GROUP BY event_type")
 def phase_shares(s, d):
