@@ -247,7 +247,7 @@ def group_items(items: DataFrame, at: Column, gap: float, threshold: int = 12, k
     Each burst is one node of the graph, so long bursts add no rounds; only edges between bursts are followed, and of close
     pairs only as many as connect them.
     """
-    s = cut(stitched_sessions(items.select(key, "fp", at.alias("at")), F.col("at"), gap, [key], bucket))
+    s = stitched_sessions(items.select(key, "fp", at.alias("at")), F.col("at"), gap, [key], bucket)
     heads = s.where("session is not null").groupBy("session").agg(F.min(key).alias("head"))
     nodes = cut(s.join(heads, "session", "left").select(key, "fp", F.coalesce("head", key).alias("node")))
     links = hamming_links(nodes, key, threshold)
