@@ -194,11 +194,11 @@ def _few_linked(batches: Iterator[pa.RecordBatch], threshold: int, block: int =
 
 
 def _picked(fps: DataFrame, threshold: int) -> DataFrame:
-    """`(fp, lead, reach)`: of the picks that have a band within a bit of its own, in the order of their hashes, the first within half the threshold and the first within the threshold; the fingerprint itself where there is none."""
+    """`(fp, lead, reach)`: of the picks that have a band close to its own, in the order of their hashes, the first within half the threshold and the first within the threshold; the fingerprint itself where there is none."""
     picks = F.array_distinct(F.array(*(F.min_by("fp", F.xxhash64(F.lit(j), "fp")) for j in range(PICKS))))
     firsts = cut(bands(fps, 0, ["fp"]).groupBy("at").agg(picks.alias("picks")).select("at", F.explode("picks").alias("pick")))
     dist = hamming(F.col("fp"), F.col("pick"))
-    near = bands(fps, min(1, band_radius(threshold)), ["fp"]).join(F.broadcast(firsts), "at").where(dist < threshold)
+    near = bands(fps, band_radius(threshold), ["fp"]).join(F.broadcast(firsts), "at").where(dist < threshold)
     first = lambda most: F.min(F.when(dist <= most, F.struct(F.xxhash64(F.lit(-1), "pick").alias("h"), "pick")))["pick"]
     return near.groupBy("fp").agg(F.coalesce(first((threshold - 1) // 2), "fp").alias("lead"), F.coalesce(first(threshold - 1), "fp").alias("reach"))
 
