@@ -152,6 +152,8 @@ def _same(df: DataFrame, reps: DataFrame, key: str, fp: str) -> DataFrame:
 FEW = 16_384
 #: Fingerprints of each band's value that stand for all that have it. There are four times 65536 such values, so all picks together are bounded.
 PICKS = 4
+#: Leads that a part may have at a band's value that is searched without first asking which part most fingerprints there belong to.
+CALM = 4
 
 
 def hamming_links(df: DataFrame, key: str, threshold: int = 12, fp: str = "fp") -> DataFrame:
@@ -159,11 +161,11 @@ def hamming_links(df: DataFrame, key: str, threshold: int = 12, fp: str = "fp")
 
     First every fingerprint meets a few picks of each band's value: at most `PICKS` for each, so the comparisons grow with
     the number of fingerprints. What that connects are parts. Then bands are searched exactly, but only between parts:
-    in each band's value the part that most of its fingerprints belong to does not meet itself, and where fingerprints of
-    a part are within half the threshold of a common pick, their lead, others are compared with the lead, and with them
-    only if the triangle inequality leaves room. One edge for each fingerprint, to the least of its part, and one for each
-    pair of parts that are close is all that is returned. At most `FEW` distinct fingerprints, counted, are compared by one
-    task instead.
+    in each band's value where a part has more than `CALM` leads, the part that most fingerprints there belong to does not
+    meet itself, and where fingerprints of a part are within half the threshold of a common pick, their lead, others are
+    compared with the lead, and with them only if the triangle inequality leaves room. One edge for each fingerprint, to the
+    least of its part, and one for each pair of parts that are close is all that is returned. At most `FEW` distinct
+    fingerprints, counted, are compared by one task instead.
     """
     reps = cut(exact_duplicates(df, key, fp))
     same = _same(df, reps, key, fp)
@@ -208,15 +210,20 @@ def _meetings(rows: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     another part that share a band's value, with the largest distance of the lead's fingerprints there; and the plain bands."""
     plain = bands(rows, 0, ["fp", "lead", "part"])
     each = cut(plain.groupBy("at", "part", "lead").agg(F.max(hamming(F.col("fp"), F.col("lead"))).alias("spread"), F.count("*").alias("n")))
-    by_part = each.groupBy("at", "part").agg(F.sum("n").alias("n"))
-    main = cut(by_part.groupBy("at").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")))
-    leads = cut(each.join(main, "at").select("at", "lead", F.col("part").alias("other"), "spread", (F.col("part") == F.col("main")).alias("is_main")))
-    # at most a row for each of the bands' values; what can meet nothing but its own part stays where it is
-    wide = bands(rows, band_radius(threshold), ["fp", "part"]).join(F.broadcast(main), "at").where("part <> main or parts > 1")
+    by_part = each.groupBy("at", "part").agg(F.sum("n").alias("n"), F.count("*").alias("leads"))
+    # values whose parts have few leads each are searched as they are, as a fingerprint there passes few of its own part
+    main = cut(by_part.groupBy("at").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"), (F.max("leads") <= CALM).alias("calm")))
+    leads = cut(each.join(main, "at").select("at", "lead", F.col("part").alias("other"), "spread", "calm", (F.col("part") == F.col("main")).alias("is_main")))
     few = leads.count() <= BROADCAST_ROWS
-    told = lambda f: leads.where(f).drop("is_main").hint("broadcast" if few else "merge")
-    met = wide.where("part <> main").join(told("is_main"), "at").unionByName(wide.where("parts > 1").join(told("not is_main"), "at"))
-    return met.where("part <> other").select("fp", "part", "at", "lead", "other", "spread"), plain
+    told = lambda f, *also: leads.where(f).select("at", "lead", "other", "spread", *also).hint("broadcast" if few else "merge")
+    wide = bands(rows, band_radius(threshold), ["fp", "part"])
+    calm = wide.join(told("calm"), "at").where("part <> other")
+    # at most a row for each of the bands' values; what can meet nothing but its own part stays where it is
+    busy = wide.join(F.broadcast(main.where("not calm")), "at").where("part <> main or parts > 1")
+    sides = F.filter(F.array(F.when(F.col("part") != F.col("main"), True), F.when(F.col("parts") > 1, False)), F.isnotnull)
+    busy = busy.select("fp", "part", "at", F.explode(sides).alias("is_main")).join(told("not calm", "is_main"), ["at", "is_main"]).where("part <> other")
+    cols = ["fp", "part", "at", "lead", "other", "spread"]
+    return calm.select(cols).unionByName(busy.select(cols)), plain
 
 
 def _between(rows: DataFrame, threshold: int) -> DataFrame:

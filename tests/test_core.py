@@ -84,9 +84,10 @@ def test_components_after_a_change(spark):
     assert todo.count() <= 42 < len(edges)  # the chain that lost a node, and the new edge
 
 
-@pytest.mark.parametrize(("threshold", "few"), [(4, 0), (12, 0), (12, 1 << 14)])
-def test_hamming_links_connect_what_pairs_connect(spark, monkeypatch, threshold, few):
+@pytest.mark.parametrize(("threshold", "few", "calm"), [(4, 0, 4), (12, 0, 4), (12, 0, 0), (12, 1 << 14, 4)])
+def test_hamming_links_connect_what_pairs_connect(spark, monkeypatch, threshold, few, calm):
     monkeypatch.setattr(similarity, "FEW", few)
+    monkeypatch.setattr(similarity, "CALM", calm)
     rng = random.Random(threshold + 1)
     fps = [rng.getrandbits(64) - (1 << 63) for _ in range(40)]
     while len(fps) < 160:  # chains: each copy is made from any earlier one
