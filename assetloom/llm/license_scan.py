@@ -11,9 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetloom.llm import text as tx
-from assetloom.llm.license_texts import TEMPLATES
+from assetloom.llm.license_texts import TEMPLATES as TEMPLATES
+from assetloom.llm.license_texts import known_texts
 from assetloom.session import ready
 
+#: Templates of as many words are aligned in windows that slide over the document.
+LONG = 500
+
+
 def _words(text: str) -> list[int]:
     data = np.frombuffer(text.encode(), np.uint8)
     return tx.word_hashes(data, np.array([0, len(data)]), tx.ALNUM)[0].tolist()
@@ -100,16 +105,46 @@ def best_match(template: list[int], words: np.ndarray, least: float = 0.8, slack
     return best
 
 
+def long_match(template: list[int], words: np.ndarray, least: float = 0.8) -> tuple[float, int, int]:
+    """The same for templates of `LONG` words and more, in windows of one and a half template lengths, a quarter apart.
+
+    A match that is at most a quarter longer than the template lies in such a window as a whole. Beside it there are at
+    most parts of other copies that make half a length together, so half of the copy's own rare words stay unique: anchors
+    are there even where copies stand side by side, and in the gaps between anchors the rest becomes unique. Windows of
+    three lengths, one apart, take matches with more other words between. Only windows that
+    hold `least` of the template's words, counted with repeats, are aligned; they rule out no match.
+    """
+    m, best = len(template), (0.0, -1, -1)
+    kinds, need = np.unique(np.array(template, np.uint64), return_counts=True)
+    place = np.minimum(np.searchsorted(kinds, words), len(kinds) - 1)
+    place = np.where(kinds[place] == words, place, len(kinds))
+    for size, step in ((m + m // 2, m // 4), (3 * m, m)):
+        for lo in range(0, max(len(words) - size + step, 1), step):
+            have = np.bincount(place[lo : lo + size], minlength=len(kinds) + 1)[:-1]
+            if np.minimum(have, need).sum() < max(least, best[0]) * m:
+                continue
+            near = [j + lo for _, j in align(template, words[lo : lo + size].tolist())]
+            best = max(best, (len(near) / m, near[0], near[-1]) if near else best, key=lambda x: x[0])
+            if best[0] == 1:
+                return best
+    return best
+
+
 def listed(found: dict[str, list[tuple[int, tuple[float, int, int]]]]) -> list[dict]:
     """Rows of the licences of a text, each by its best match; `found` has (template words, match) of all that match.
 
-    A licence of which all matches lie inside a match of another one, of which more words align, is left out.
+    A licence of which all matches lie inside a match of another one (those of long templates by nine tenths), of which more
+    words align, or as many that are all of its words, is left out.
     """
-    def aligned(x: tuple) -> float:
-        return x[0] * x[1][0]
+    def aligned(x: tuple) -> int:
+        return round(x[0] * x[1][0])
+
+    def inside(x: tuple, y: tuple) -> bool:
+        most = 9 if x[0] >= LONG else 10  # a stray word at an edge of a long match does not count
+        return 10 * (min(x[1][2], y[1][2]) - max(x[1][1], y[1][1]) + 1) >= most * (x[1][2] - x[1][1] + 1)
 
     def part(x: tuple, name: str) -> bool:
-        return any(aligned(y) > aligned(x) + 1e-9 and y[1][1] <= x[1][1] and x[1][2] <= y[1][2] for other, ys in found.items() if other != name for y in ys)
+        return any((aligned(y), y[1][0] == 1) > (aligned(x), x[1][0] == 1) and inside(x, y) for other, ys in found.items() if other != name for y in ys)
 
     best = {k: (max(xs, key=lambda x: (x[1][0], x[0]))[1], max(map(aligned, xs))) for k, xs in found.items() if not all(part(x, k) for x in xs)}
     order = sorted(best, key=lambda k: (-round(best[k][0][0], 6), -best[k][1], k))
@@ -120,21 +155,26 @@ def scan_licenses(docs: DataFrame, id: str = "doc_id", text: str = "text", templ
     """Per row of `docs`: `doc_id`, `licenses`, a list of (license, coverage, first_word, last_word) by falling coverage, then
     words that align, then name.
 
-    A licence is found if `least` of the words of one of its templates align. A template is aligned only with documents
+    A licence is found if `least` of the words of one of its templates align; templates are short texts and notices, and
+    the terms of long licences, unless others are given. A template is aligned only with documents
     that hold enough of its words at all, counted with repeats, which rules out no match. A licence whose matches lie
-    inside a match of another licence, of which more words align, is part of that licence's text and is not listed.
+    inside a match of another one, as `listed` says, is part of that licence's text and is not listed.
 
     Null and empty texts, and texts without words, have no licence; a licence with several matching templates is listed
     once with its best; a longer template wins a tie. Repeated rows and null ids are each scanned. Other columns are
     not read; an empty table gives an empty result, and without templates no licence is found.
     """
     ready(docs.sparkSession)
-    known = [(name, _words(t)) for name, ts in sorted((templates or TEMPLATES).items()) for t in ts]
-    known = [(name, t) for name, t in known if t]
+    every = [(name, _words(t)) for name, ts in sorted((templates or known_texts()).items()) for t in ts]
+    known, long = [(name, t) for name, t in every if 0 < len(t) < LONG], [(name, t) for name, t in every if len(t) >= LONG]
     vocabulary = np.unique(np.array([w for _, t in known for w in t], np.uint64))
     needs = np.zeros((len(known), len(vocabulary)), np.int64)
     for k, (_, t) in enumerate(known):
         np.add.at(needs[k], np.searchsorted(vocabulary, np.array(t, np.uint64)), 1)
+    # few documents have as many words as a long template; its words are counted in those only
+    long_words = np.unique(np.array([w for _, t in long for w in t], np.uint64))
+    long_needs = [np.unique(np.searchsorted(long_words, np.array(t, np.uint64)), return_counts=True) for _, t in long]
+    shortest = least * min((len(t) for _, t in long), default=0)
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     item = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
 
@@ -153,6 +193,13 @@ def scan_licenses(docs: DataFrame, id: str = "doc_id", text: str = "text", templ
                         got = best_match(t, h[edge[d] : edge[d + 1]], least)
                         if got[0] >= least:
                             out[d].setdefault(name, []).append((len(t), got))
+                for d in np.flatnonzero(np.diff(edge) >= shortest) if long else ():
+                    own = h[edge[d] : edge[d + 1]]
+                    where = np.searchsorted(long_words, own)
+                    ours = np.bincount(where[long_words[np.minimum(where, len(long_words) - 1)] == own], minlength=len(long_words))
+                    for (name, t), (kinds, need) in zip(long, long_needs, strict=True):
+                        if np.minimum(ours[kinds], need).sum() >= least * len(t) and (got := long_match(t, own, least))[0] >= least:
+                            out[d].setdefault(name, []).append((len(t), got))
                 found = [listed(x) for x in out]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), pa.array(found, pa.list_(item))], ["doc_id", "licenses"])
 

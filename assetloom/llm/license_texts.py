@@ -1,5 +1,8 @@
 """Licence texts and notices that documents are aligned with."""
 
+from functools import cache
+from pathlib import Path
+
 _BSD_OPENING = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
 _BSD_TWO = f"""{_BSD_OPENING}:
 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
@@ -42,6 +45,7 @@ The copyright notices in the Software and this entire statement, including the a
         """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     ],
+    "LGPL-2.0": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
     "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"],
     "LGPL-3.0": [_gnu("GNU Lesser General Public License", "3")],
     "MIT": [
@@ -64,3 +68,36 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""],
 }
+
+
+#: Published wording of long licences, a file each, named by the licence. Fixed values.
+FOLDER = Path(__file__).parent / "licenses"
+#: Section 13 of the AGPL-3.0, where its terms differ from those of the GPL-3.0. Fixed value.
+_AGPL_13 = """  13. Remote Network Interaction; Use with the GNU General Public License.
+
+  Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer all users interacting with it remotely through a computer network (if your version supports such interaction) an opportunity to receive the Corresponding Source of your version by providing access to the Corresponding Source from a network server at no charge, through some standard or customary means of facilitating copying of software. This Corresponding Source shall include the Corresponding Source for any work covered by version 3 of the GNU General Public License that is incorporated pursuant to the following paragraph.
+
+  Notwithstanding any other provision of this License, you have permission to link or combine any covered work with a work licensed under version 3 of the GNU General Public License into a single combined work, and to convey the resulting work. The terms of this License will continue to apply to the part which is the covered work, but the work with which it is combined will remain governed by version 3 of the GNU General Public License.
+
+"""
+
+
+@cache
+def whole_texts() -> dict[str, list[str]]:
+    """The terms of long licences: what lies between the headings that open and close them, as preambles and appendices are often left out; the whole text where there are no such headings."""
+    out = {}
+    for path in sorted(FOLDER.glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        end = text.find("END OF TERMS AND CONDITIONS")
+        start = text.find("\n", text.find("TERMS AND CONDITIONS"))
+        out[path.stem] = [text if end < 0 else text[start:end]]
+    gpl = out["GPL-3.0"][0]
+    own, after = gpl.index("  13. Use with the GNU Affero"), gpl.index("  14. Revised Versions")
+    named = lambda s: s.replace("GNU General Public", "GNU Affero General Public").replace("GNU\nGeneral Public", "GNU Affero General Public")
+    out["AGPL-3.0"] = [named(gpl[:own]) + _AGPL_13 + named(gpl[after:])]
+    return out
+
+
+def known_texts() -> dict[str, list[str]]:
+    """Short texts and notices, and the terms of long licences, by licence."""
+    return {name: TEMPLATES.get(name, []) + whole_texts().get(name, []) for name in sorted(TEMPLATES | whole_texts())}
