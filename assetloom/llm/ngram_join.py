@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from assetloom.llm import text as tx
 from assetloom.operators.components import connected_components
-from assetloom.session import cut, ready
+from assetloom.session import CUTS, cut, drop_cuts, ready
 
 #: Tokens and sets that one task compares at once; larger groups are dealt out in blocks.
 GROUP_TOKENS, GROUP_SETS = 1 << 21, 4096
@@ -280,6 +280,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id: s
     """
     spark = docs.sparkSession
     ready(spark)
+    mark = len(CUTS)
     docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     scan = cut(_scan(docs, words))
     rows = scan.where("not common").select("doc_id", "n", "k1", "k2", "map")
@@ -287,15 +288,23 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id: s
     common = np.sort(hot.toArrow().column("k1").to_numpy().view(np.uint64))
 
     sets = cut(rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node")))
+    kept = CUTS[mark:]  # what the result reads; other tables go as soon as none needs them
+
+    def only(*also: str) -> None:
+        drop_cuts(spark, [p for p in CUTS[mark:] if p not in kept and p not in also])
+
     meet = cut(_prefixes(docs, words, percent, common))
     # aggregates are cut before they are joined back, so that Spark may split a hot key's rows in the join
     shared = cut(meet.groupBy("token").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("token"))
     klass = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * 1.001)).cast("int") if percent < 100 else F.col("n").cast("int")
     met = meet.join(shared, "token", "left_semi").distinct().join(sets.where("node is not null"), "k1").select("token", "node", "n", F.explode(F.array(klass, klass - 1)).alias("klass"))
     met = cut(met)
+    only(CUTS[-1])
     hubs = cut(met.groupBy("token", "klass").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("token", "klass", "hub"))
     members = cut(met.join(hubs, ["token", "klass"]).select("hub", "klass", "node", "n").distinct())
+    only(CUTS[-1])
     members = _refined(members, rows.where("n > 0").select(F.col("doc_id").alias("node"), "map"), percent)
+    only(CUTS[-1])
     dealt = _blocks(members)
     own_block = F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blocks"))))
     tasks = members.join(dealt, ["hub", "klass"]).select("hub", "klass", F.explode(own_block).alias("block"), "node", F.col("node").alias("part"))
@@ -303,7 +312,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id: s
     large = cut(dealt.where("blocks > 1"))
     if large.limit(1).count():
         found = found.unionByName(_across_blocks(docs, members, large, found, words, percent))
-    parts = connected_components(found)
+    parts = cut(connected_components(found))
+    only(CUTS[-1])
     named = sets.join(parts, sets["node"] == parts["node"], "left").select("k1", "k2", "n", F.coalesce("component", sets["node"]).alias("component"))
     return rows.drop("map").join(named, ["k1", "k2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
