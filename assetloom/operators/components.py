@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetloom.session import cut, ready
+from assetloom.session import CUTS, cut, drop_cuts, ready
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """`(node, component)` for every node of an edge; the component is the least node that can be reached.
 
     Edges with a null end and loops are dropped; repeated edges count once. Each round is written to the shared folder,
-    so lineage stays short and a lost executor costs one round. At most `small` edges, counted, are connected by one task
+    so lineage stays short and a lost executor costs one round; the round before is deleted then. At most `small` edges, counted, are connected by one task
     instead of by rounds. Fails if `max_rounds` do not suffice.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
@@ -34,11 +34,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     if small and e.count() <= small:
         ready(e.sparkSession)
         return cut(e.coalesce(1).mapInArrow(_connected, f"node {e.dtypes[0][1]}, component {e.dtypes[0][1]}"))
+    mark = len(CUTS) - 1
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small_ = _least(large)
         e = cut(small_.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        drop_cuts(e.sparkSession, CUTS[mark:-1])
         if _stars(e):
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
