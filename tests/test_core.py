@@ -392,3 +392,34 @@ def test_a_model_is_loaded_once_in_each_worker(spark, tmp_path):
     assert loads and len(loads) == len(set(loads))
     with pytest.raises(ValueError, match="name the model"):
         features.score_batches(spark.range(1), score, "v", load)
+
+
+def test_no_row_is_made_of_fingerprints_that_are_far(spark):
+    """Random fingerprints: what leaves the tasks that compare are close ones only, not all that share a band's value."""
+    rng = random.Random(77)
+    fps = [rng.getrandbits(64) - (1 << 63) for _ in range(2500)]
+    fps += [x ^ 5 << 20 for x in fps[:40]]
+    rows = spark.createDataFrame([(x, x, x) for x in fps], "fp long, lead long, part long")
+    near = {(x, y) for x in fps[:40] for y in (x ^ 5 << 20,)} | {(x ^ 5 << 20, x) for x in fps[:40]}
+    met = similarity._meetings(rows, 12)[0]
+    got = [(r["lead"], r["fp"]) for r in met.collect()]
+    assert near <= set(got) and len(got) < 1000
+
+
+@pytest.mark.parametrize(("leads", "queries"), [(1 << 17, 1 << 20), (16, 64)])
+def test_pairs_of_deals_and_grids(spark, monkeypatch, leads, queries):
+    """Deals of one task and of many: each close pair once, whichever of its bands are close; a hot band's value too."""
+    monkeypatch.setattr(similarity, "LEADS", leads)
+    monkeypatch.setattr(similarity, "QUERIES", queries)
+    rng = random.Random(78)
+    fps = {rng.getrandbits(64) - (1 << 63) for _ in range(300)} | {-1, 0, (1 << 63) - 1, -(1 << 63)}
+    fps |= {(rng.getrandbits(47) << 16 | 0xABCD) for _ in range(200)}
+    for x in list(fps)[:150]:
+        for _ in range(rng.randrange(13)):
+            x ^= 1 << rng.randrange(63)
+        fps.add(x)
+    fps = sorted(fps)
+    rows = spark.createDataFrame([(f"p{i:04}", x) for i, x in enumerate(fps)], "path string, fp long")
+    far = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
+    want = sorted((f"p{i:04}", f"p{j:04}", far(fps[i], fps[j])) for i in range(len(fps)) for j in range(i + 1, len(fps)) if far(fps[i], fps[j]) < 12)
+    assert sorted(tuple(r) for r in similarity.hamming_pairs(rows, "path", 12).collect()) == want
