@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 from assetloom.functions.exprs import hamming
 from assetloom.operators.incremental import upsert
 from assetloom.operators.similarity import BROADCAST_ROWS, band_radius, bands
-from assetloom.session import cut
+from assetloom.session import cut, ready
 from assetloom.sources.files import Snapshots
 
 
@@ -61,25 +61,32 @@ class ItemSessions(StatefulProcessor):
         self.handle = handle
         self.open = handle.getValueState("open", "at array<bigint>, id array<bigint>, first array<bigint>")
 
-    def _keep(self, at: np.ndarray, ids: np.ndarray, first: np.ndarray, watermark_ms: int) -> None:
-        """Keep what later items can still join, and wake up when the first of it is closed."""
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if len(at):
-            ends = np.flatnonzero(np.diff(first, append=first[-1] + 1))  # the last item of each session
-            close = -(-(at[ends] + self.gap) // 1000)
-            alive = np.isin(first, first[ends[close > watermark_ms]])
-            at, ids, first = at[alive], ids[alive], first[alive]
-            if len(at):
-                self.open.update((at.tolist(), ids.tolist(), first.tolist()))
-                self.handle.registerTimer(int(close[close > watermark_ms].min()))
-                return
-        self.open.clear()
+    def _ends(self, at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the last item of each session, and the milliseconds at which they close."""
+        ends = np.flatnonzero(np.diff(first, append=first[-1] + 1))
+        return ends, -(-(at[ends] + self.gap) // 1000)
+
+    def _keep(self, at: np.ndarray, ids: np.ndarray, first: np.ndarray, watermark_ms: int, timer: int | None) -> None:
+        """Keep what later items can still join, and wake up when the first of it is closed; `timer` is the one that is set."""
+        ends, close = self._ends(at, first) if len(at) else (np.zeros(0, np.int64),) * 2
+        open_ = close > watermark_ms
+        wake = int(close[open_].min()) if open_.any() else None
+        if timer != wake:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if wake is not None:
+                self.handle.registerTimer(wake)
+        if wake is None:
+            self.open.clear()
+        else:
+            alive = slice(None) if open_.all() else np.isin(first, first[ends[open_]])
+            self.open.update((at[alive].tolist(), ids[alive].tolist(), first[alive].tolist()))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows))
         at, ids, told = (np.array(x, np.int64) for x in self.open.get()) if self.open.exists() else (np.zeros(0, np.int64),) * 3
         known = len(at)
+        timer = int(self._ends(at, told)[1].min()) if known else None  # as set when this was kept
         at, ids = np.concatenate([at, pdf[self.us].to_numpy(np.int64)]), np.concatenate([ids, pdf[self.id].to_numpy(np.int64)])
         told = np.concatenate([told, np.zeros(len(pdf), np.int64)])
         new = np.arange(len(at)) >= known
@@ -89,11 +96,11 @@ class ItemSessions(StatefulProcessor):
         first = at[starts][np.cumsum(starts) - 1]
         send = new | (first != told)
         yield pd.DataFrame({"key": str(key[0]), "id": ids[send], "at": at[send], "session_start": first[send], "correction": ~new[send]})
-        self._keep(at, ids, first, timerValues.getCurrentWatermarkInMs())
+        self._keep(at, ids, first, timerValues.getCurrentWatermarkInMs(), timer)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.open.exists():
-            self._keep(*(np.array(x, np.int64) for x in self.open.get()), timerValues.getCurrentWatermarkInMs())
+            self._keep(*(np.array(x, np.int64) for x in self.open.get()), timerValues.getCurrentWatermarkInMs(), None)  # the one that was set is spent
         yield pd.DataFrame({"key": pd.Series(dtype=str), "id": pd.Series(dtype="int64"), "at": pd.Series(dtype="int64"), "session_start": pd.Series(dtype="int64"), "correction": pd.Series(dtype=bool)})
 
 
@@ -103,6 +110,7 @@ def item_sessions(events: DataFrame, gap_us: int, late: str, by: str, id: str, t
     bursts or begins one earlier. Each item's last row is what `sessions` gives for all. Items later than `late` are
     dropped, and a burst is forgotten when the watermark is past its gap. Append mode, with RocksDB (`rocksdb_state`).
     """
+    ready(events.sparkSession)
     rows = events.withWatermark(ts, late).where(F.col(ts).isNotNull()).select(F.col(by).cast("string").alias("key"), F.col(id).cast("long").alias("id"), F.col(ts), F.unix_micros(ts).alias("us"))
     return rows.groupBy("key").transformWithStateInPandas(ItemSessions(gap_us, "id", "us"), "key string, id bigint, at bigint, session_start bigint, correction boolean", "append", "eventTime")
 
@@ -128,27 +136,36 @@ def decision_stream(log: DataFrame) -> DataFrame:
     return sets.groupBy("path").applyInPandasWithState(step, "path string, star int, label string, scene_manual string", "seqs array<bigint>, vals array<string>", "update", GroupStateTimeout.NoTimeout)
 
 
+#: Decisions of so many numbers in a row, as a power of two, have one state: a call and an update serve them all.
+RANGE_BITS = 12
+
+
 class Settled(StatefulProcessor):
-    """Keyed by a decision's number: sends the decision once, and its cancellation once, in whatever order decision and undo come."""
+    """Keyed by a range of decisions' numbers: sends each decision once, and its cancellation once, in whatever order decision and undo come."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sent = handle.getValueState("sent", "path string, kind string, value string")
-        self.undone = handle.getValueState("undone", "yes boolean")
+        self.known = handle.getValueState("known", "seq array<bigint>, decided array<boolean>, path array<string>, kind array<string>, value array<string>, undone array<boolean>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows))
-        row, cancelled, out = self.sent.get(), self.undone.exists(), []
-        decided = pdf[pdf["kind"] != "undo"]
-        if (pdf["kind"] == "undo").any() and not cancelled:
-            cancelled = True
-            self.undone.update((True,))
-            if row is not None:
-                out.append((key[0], *row, True))
-        if row is None and len(decided):
-            row = tuple(None if pd.isna(x) else x for x in decided.iloc[0][["path", "kind", "value"]])
-            self.sent.update(row)
-            if not cancelled:
-                out.append((key[0], *row, False))
+        known = {seq: (tuple(row) if decided else None, undone) for seq, decided, *row, undone in zip(*self.known.get(), strict=True)} if self.known.exists() else {}
+        undos, out = pdf["kind"] == "undo", []
+        for seq in pdf.loc[undos, "seq"].unique().tolist():
+            row, undone = known.get(seq, (None, False))
+            if row is not None and not undone:
+                out.append((seq, *row, True))
+            known[seq] = row, True
+        decided = pdf.loc[~undos, ["seq", "path", "kind", "value"]].drop_duplicates("seq")
+        for seq, *new in zip(*(decided[c].tolist() for c in decided.columns), strict=True):
+            row, undone = known.get(seq, (None, False))
+            if row is None:
+                row = tuple(None if pd.isna(x) else x for x in new)
+                known[seq] = row, undone
+                if not undone:
+                    out.append((seq, *row, False))
+        none = (None, None, None)
+        parts = list(zip(*((row or none) for row, _ in known.values()), strict=True))
+        self.known.update((list(known), [row is not None for row, _ in known.values()], *map(list, parts), [undone for _, undone in known.values()]))
         yield pd.DataFrame(out, columns=["seq", "path", "kind", "value", "cancel"])
 
 
@@ -156,17 +173,19 @@ class LatestFields(StatefulProcessor):
     """Keyed by path: every decision that holds, and the latest value of each field when any comes or goes."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getMapState("held", "seq bigint", "kind string, value string")
+        self.held = handle.getValueState("held", "seq array<bigint>, kind array<string>, value array<string>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        held = {seq: (kind, value) for seq, kind, value in zip(*self.held.get(), strict=True)} if self.held.exists() else {}
         for pdf in rows:
-            for r in pdf.sort_values("cancel", kind="stable").itertuples():
-                if not r.cancel:
-                    self.held.updateValue((r.seq,), (r.kind, None if pd.isna(r.value) else r.value))
-                elif self.held.containsKey((r.seq,)):
-                    self.held.removeKey((r.seq,))
+            each = list(zip(*(pdf[c].tolist() for c in ("seq", "kind", "value", "cancel")), strict=True))
+            held.update((seq, (kind, None if pd.isna(value) else value)) for seq, kind, value, cancel in each if not cancel)
+            for seq, _, _, cancel in each:
+                if cancel:
+                    held.pop(seq, None)
+        self.held.update((list(held), [kind for kind, _ in held.values()], [value for _, value in held.values()]))
         last: dict[str, tuple] = {}
-        for (seq,), (kind, value) in self.held.iterator():
+        for seq, (kind, value) in held.items():
             sets = {"label": value, "star": "5" if value == "P" else "0"} if kind == "pick" else {kind: value}
             for field, v in sets.items():
                 last[field] = max(last.get(field, (-1, None)), (seq, v), key=lambda x: x[0])
@@ -175,7 +194,7 @@ class LatestFields(StatefulProcessor):
             star = int(star.strip()) if star is not None else None
         except ValueError:
             star = None
-        yield pd.DataFrame([(key[0], star, label, scene)], columns=["path", "star", "label", "scene_manual"]).astype({"star": "Int32"})
+        yield pd.DataFrame({"path": [key[0]], "star": pd.array([star], "Int32"), "label": pd.Series([label], dtype=object), "scene_manual": pd.Series([scene], dtype=object)})
 
 
 def settled_decisions(log: DataFrame) -> DataFrame:
@@ -183,14 +202,15 @@ def settled_decisions(log: DataFrame) -> DataFrame:
     path's state each time it changes, the last one counts, nulls where nothing holds any more.
 
     An undo names the number of a decision, maybe of another path and maybe one that is still to come. So both are keyed
-    by that number first; what it settles goes on by path, where all decisions that hold are kept, as an undo may reach
-    back any time. Ends at what `fold(without_undone(log))` gives for the whole log. The session needs RocksDB as its state
+    by that number first, `1 << RANGE_BITS` numbers in a row as one key, whose state is read and written as a whole; what
+    it settles goes on by path, where all decisions that hold are kept, as an undo may reach back any time. Ends at what `fold(without_undone(log))` gives for the whole log. The session needs RocksDB as its state
     store (`rocksdb_state`).
     """
     undo = F.col("kind") == "undo"
     rows = log.where(F.col("kind").isin("undo", "pick", "star", "label", "scene"))
     keyed = rows.select(F.when(undo, F.col("value").try_cast("bigint")).otherwise(F.col("seq")).alias("seq"), "path", "kind", "value").where("seq is not null")
-    each = keyed.groupBy("seq").transformWithStateInPandas(Settled(), "seq bigint, path string, kind string, value string, cancel boolean", "append", "none")
+    ready(log.sparkSession)
+    each = keyed.withColumn("range", F.shiftright("seq", RANGE_BITS)).groupBy("range").transformWithStateInPandas(Settled(), "seq bigint, path string, kind string, value string, cancel boolean", "append", "none")
     return each.groupBy("path").transformWithStateInPandas(LatestFields(), "path string, star int, label string, scene_manual string", "append", "none")
 
 
