@@ -156,3 +156,65 @@ def test_a_kept_band_index_is_not_moved(spark, tmp_path):
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(at#" in line]
     assert len(dealt) == 1 and "Bucketed: true" in plan, plan  # the batch's side alone
     assert again.read(1).select("stored").distinct().count() == 30
+
+
+def test_decisions_share_state_by_ranges(spark, tmp_path, rocksdb):
+    """Two thousand numbers, below zero and very large ones too, are a few states; undone across files and of other paths."""
+    rng = random.Random(44)
+    rows = [(seq, f"p{seq % 3}", rng.choice(["star", "pick"]), rng.choice("PX5")) for seq in [*range(-1000, 1000), 1 << 40, -(1 << 62)]]
+    rows += [(5000 + i, "p0", "undo", str(rng.randrange(-1000, 1000))) for i in range(900)] + [(9000, None, "undo", str(1 << 40))]
+    rng.shuffle(rows)
+    schema = "seq long, path string, kind string, value string"
+    log = spark.createDataFrame(rows, schema)
+    want = {r["path"]: (r["star"], r["label"], r["scene_manual"]) for r in decisions.fold(decisions.without_undone(log)).collect()}
+    seen = []
+    query = flows.settled_decisions(_batches(spark, tmp_path, rows, schema, 3)).writeStream.foreachBatch(lambda b, i: seen.extend((i, tuple(r)) for r in b.collect())).outputMode("append").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {r[0]: r[1:] for _, r in sorted(seen, key=lambda x: x[0])} == want
+    states = [p["stateOperators"] for p in query.recentProgress if p["stateOperators"]]
+    assert sum(o["numRowsTotal"] for o in states[-1]) < 30
+
+
+class _State:
+    def __init__(self):
+        self.x = None
+
+    def exists(self):
+        return self.x is not None
+
+    def get(self):
+        return self.x
+
+    def update(self, x):
+        self.x = x
+
+    def clear(self):
+        self.x = None
+
+
+def test_item_sessions_set_a_timer_only_when_it_changes():
+    import pandas as pd
+
+    calls = []
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return _State()
+
+        def __getattr__(self, name):
+            return lambda *a: calls.append((name, *a)) or []
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    sessions = flows.ItemSessions(1_000_000, "id", "us")
+    sessions.init(Handle())
+    send = lambda us: pd.concat(list(sessions.handleInputRows(("k",), iter([pd.DataFrame({"id": range(len(us)), "us": us})]), Now())))
+    assert send([5_000_000, 90_000_000])["session_start"].tolist() == [5_000_000, 90_000_000]
+    assert calls == [("registerTimer", 6000)]
+    send([90_500_000])
+    assert calls == [("registerTimer", 6000)]  # the first that closes is the same
+    out = send([5_900_000, 4_500_000])
+    assert out["session_start"].tolist() == [4_500_000] * 3 and out["correction"].tolist() == [False, True, False]
+    assert calls[1:] == [("deleteTimer", 6000), ("registerTimer", 6900)]
