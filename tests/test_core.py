@@ -423,3 +423,18 @@ def test_pairs_of_deals_and_grids(spark, monkeypatch, leads, queries):
     far = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
     want = sorted((f"p{i:04}", f"p{j:04}", far(fps[i], fps[j])) for i in range(len(fps)) for j in range(i + 1, len(fps)) if far(fps[i], fps[j]) < 12)
     assert sorted(tuple(r) for r in similarity.hamming_pairs(rows, "path", 12).collect()) == want
+
+
+def test_fingerprints_that_no_pick_is_close_to_are_linked(spark, monkeypatch):
+    """Few picks and many fingerprints of each band's value: those far from all picks keep their links."""
+    monkeypatch.setattr(similarity, "FEW", 0)
+    monkeypatch.setattr(similarity, "PICKS", 1)
+    rng = random.Random(79)
+    values = [0x0000, 0x00FF, 0xFF00, 0xFFFF, 0x0F0F, 0xF0F0]
+    fps = {sum(v << 16 * k for k, v in enumerate(rng.choices(values, k=4))) for _ in range(150)}
+    fps = sorted(x - (1 << 63) for x in fps | {x ^ 0x10001 for x in fps})
+    rows = spark.createDataFrame([(f"p{i:04}", x) for i, x in enumerate(fps)], "path string, fp long")
+    named = lambda edges: sorted(connected_components(edges).collect())
+    want = named(similarity.hamming_pairs(rows, "path", 4))
+    assert similarity._picked(rows.select("fp"), 4).count() == len(fps) == len(want)
+    assert named(similarity.hamming_links(rows, "path", 4)) == want
