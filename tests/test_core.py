@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import struct
 import time
 import zlib
@@ -311,6 +312,37 @@ def test_simhash_equals_a_plain_one(spark):
     assert similarity.word_bits(pa.array(["x", "y", "z", "x", "y"]), edges, at_once=2).tolist() == similarity.word_bits(pa.array(["x", "y", "z", "x", "y"]), edges).tolist()
 
 
+def test_words_of_whole_texts_equal_plain_ones(spark):
+    """Words, distinct words, white space and fingerprint of texts with all kinds of white space, many distinct words or one that comes often; in slices of any size."""
+    rng = random.Random(5)
+    kinds = ["a", "B", "é", "İ", "\t", "\n", "\x0b", "\f", "\r", " ", "  ", "\x1c", "\x85", "\xa0", "9"]
+    texts = ["".join(rng.choices(kinds, k=rng.randrange(120))) for _ in range(80)] + ["", " ", None, "a " * 70_000, " ".join(map(str, range(1300)))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+
+    def plain(t):
+        own = [w for w in re.split("[ \t\n\x0b\f\r]+", t or "") if w]
+        hs = [int(hashlib.md5(w.encode()).hexdigest()[:16], 16) for w in set(own)]
+        v = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+        return len(own), len(hs), len(re.findall("[ \t\n\x0b\f\r]", t or "")), (v - (1 << 64) if v >> 63 else v) if hs else None
+
+    for at_once in (1, 500, 1 << 22):
+        got = similarity.text_simhash(rows, "id", F.col("text"), ("text",), at_once).collect()
+        assert {r["id"]: tuple(r)[2:] for r in got} == {i: plain(t) for i, t in enumerate(texts)} and {(r["id"], r["text"]) for r in got} == set(enumerate(texts))
+
+
+def test_one_pass_over_the_text_equals_columns(spark, tmp_path):
+    """Items with fingerprints have the metrics that items without them have, and the fingerprints of their words."""
+    from assetloom import queries
+
+    texts = [None, "", " \t", "Straße ÉÉ  x9\x0b!!\r\nx9 ", "日本 語, a-b\x1cB", "..."] + [f"{i} words of {i * 7} 'x' {'y ' * i}" for i in range(20)]
+    spark.createDataFrame([(i, t, "web") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = queries.text_metrics_and_fp(spark, str(tmp_path))
+    plain = queries.text_metrics(spark, str(tmp_path))
+    assert sorted(made.select(plain.columns).collect()) == sorted(plain.collect())
+    fps = similarity.simhash(spark.read.parquet(f"{tmp_path}/documents.parquet"), "doc_id", queries.words(F.col("text")))
+    assert sorted(made.select("doc_id", F.coalesce("fp", F.lit(0))).collect()) == sorted(fps.select("doc_id", F.coalesce("fp", F.lit(0))).collect())
+
+
 def test_judging_by_top_members_equals_whole_ranks(spark):
     """A group with most of all rows, ties, and groups without clean members."""
     from assetloom.operators import verdict
