@@ -35,7 +35,7 @@ def _shaped(made: DataFrame, also: tuple[str, ...], names: tuple[str, ...]) -> D
     return made.select(*also, *((F.col(c) if c in made.columns else F.lit(None)).cast(TYPES.get(c, "double")).alias(c) for c in names))
 
 
-def refreshed(scanned: DataFrame, prior: DataFrame | None, features: Stage, scores: Stage, signature: str | None = None, root: str | None = None, ledger: Ledger | None = None, watch: Phases | None = None) -> DataFrame:
+def refreshed(scanned: DataFrame, prior: DataFrame | None, features: Stage, scores: Stage, signature: str | None = None, root: str | None = None, ledger: Ledger | None = None, watch: Phases | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
     """Items `(path, mtime, FEATURES, SCORES, BY_HAND)` for all of `scanned` `(path, mtime)`.
 
     `features` gets the scanned rows that are new or changed, or lack features, and returns `(path, FEATURES)`; `scores`
@@ -44,6 +44,9 @@ def refreshed(scanned: DataFrame, prior: DataFrame | None, features: Stage, scor
     row without features and is tried again in the next run. A scene that a person set is no automatic one: it is kept
     apart in `scene_manual`.
 
+    Both stages get only rows that they are asked for, and should read nothing else that grows with the collection:
+    `features` gets all columns of `scanned`, `scores` those of the items and the `carried` ones of `scanned`.
+
     With a `ledger` both stages run in batches that are kept as they end. What earlier runs finished for the same file
     time counts as if it were in the prior, so a run after one that died does the rest only.
     """
@@ -63,7 +66,7 @@ def refreshed(scanned: DataFrame, prior: DataFrame | None, features: Stage, scor
         fresh = cut(times.join(found, "path").where("mtime <=> done_for").select("path", *FEATURES))
     else:
         fresh = saved("features", _shaped(features(todo), ("path",), FEATURES))
-    base = scanned.select("path", "mtime").join(plan, "path").join(fresh.select("path", *(F.col(c).alias(f"f_{c}") for c in FEATURES)), "path", "left")
+    base = scanned.select("path", "mtime", *(F.col(c).alias(f"c_{c}") for c in carried)).join(plan, "path").join(fresh.select("path", *(F.col(c).alias(f"f_{c}") for c in FEATURES)), "path", "left")
     if had is not None:
         base = base.join(had.select("path", *(F.col(c).alias(f"p_{c}") for c in had.columns if c not in ("path", "mtime"))), "path", "left")
 
@@ -72,8 +75,8 @@ def refreshed(scanned: DataFrame, prior: DataFrame | None, features: Stage, scor
 
     new = F.col("need_features")
     cols = [F.when(new, F.col(f"f_{c}")).otherwise(stored(c)).alias(c) for c in FEATURES] + [F.when(~new, stored(c)).cast(TYPES.get(c, "double")).alias(c) for c in SCORES] + [stored(c).alias(c) for c in BY_HAND]
-    items = cut(base.select("path", "mtime", *cols))
-    return second_stage(items, scores, ledger) if ledger else saved("scores", fill_scores(items, scores, SCORES))
+    items = cut(base.select("path", "mtime", *cols, *(F.col(f"c_{c}").alias(c) for c in carried)))
+    return (second_stage(items, scores, ledger) if ledger else saved("scores", fill_scores(items, scores, SCORES))).drop(*carried)
 
 
 def _columns(df: DataFrame, names: tuple[str, ...]) -> list[str]:
@@ -111,17 +114,17 @@ def published(target: Snapshots) -> DataFrame | None:
     return None if prior is None else prior.withColumns({"scene": F.col("scene_auto"), "scene_conf": F.col("scene_conf_auto")} | named)
 
 
-def run_collection(target: Snapshots, scanned: DataFrame, features: Stage, scores: Stage, c: Config, signature: str, root: str, overrides: DataFrame | None = None, decisions: DataFrame | None = None, batch_rows: int = 100_000, watch: Phases | None = None) -> DataFrame:
+def run_collection(target: Snapshots, scanned: DataFrame, features: Stage, scores: Stage, c: Config, signature: str, root: str, overrides: DataFrame | None = None, decisions: DataFrame | None = None, batch_rows: int = 100_000, watch: Phases | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
     """One whole run: refresh against the published version, group, judge, publish with signature and root. Returns what was published.
 
     `scene` and `scene_conf` are the resolved ones; the automatic ones are published as `scene_auto` and `scene_conf_auto`,
     and a later run resolves them anew. A second run without change extracts and scores nothing. Features and scores are
     made in batches of `batch_rows`, each kept as it ends; a run after one that died goes on from there. `watch` is told of
-    each phase's rows and seconds.
+    each phase's rows and seconds. `carried` names columns of `scanned` that `scores` reads beside the items' own.
     """
     watch = watch or Phases(scanned.sparkSession)
     ledger = Ledger(scanned.sparkSession, f"{target.root}/unfinished", signature, root, batch_rows, watch)
-    items = refreshed(scanned, published(target), features, scores, signature, root, ledger, watch).withColumns({"scene_auto": F.col("scene"), "scene_conf_auto": F.col("scene_conf"), "ts_ms": F.unix_micros("ts") / 1000.0})
+    items = refreshed(scanned, published(target), features, scores, signature, root, ledger, watch, carried).withColumns({"scene_auto": F.col("scene"), "scene_conf_auto": F.col("scene_conf"), "ts_ms": F.unix_micros("ts") / 1000.0})
     judged = curate(items, c, overrides, decisions, watch)
     watch.run("publish", judged, lambda df: target.publish(df, model_signature=signature, source_root=root))
     ledger.clear()

@@ -174,6 +174,32 @@ def test_a_run_that_dies_goes_on_where_it_was(spark, tmp_path):
     assert stages.counts() == (0, 0)
 
 
+def test_batches_of_a_run_read_their_own_rows_only(spark, monkeypatch):
+    """No batch opens a table: what features and scores need comes with the rows of the scan."""
+    from assetloom import queries
+
+    def closed(*args, **named):
+        with monkeypatch.context() as m:
+            m.setattr(queries, "table", lambda *_: pytest.fail("a batch reads a whole table"))
+            return whole(*args, batch_rows=90, **named)
+
+    whole, sf = collection.run_collection, "/root/testdata/sf0.001"
+    monkeypatch.setattr(collection, "run_collection", closed)
+    got = sorted(map(tuple, queries.queries()["rerun_unchanged"](spark, sf).collect()))
+    items = queries.full_items(spark, sf).select("fp", "aesthetic", "scene_conf").collect()
+    lacking = [sum(r["fp"] is None for r in items), sum(None in tuple(r) for r in items)]
+    assert got == [(1, len(items), len(items), len(items)), (2, *lacking, len(items))]
+
+
+def test_carried_columns_reach_the_scores(spark, tmp_path):
+    """Scores may read columns of the scan, in batches or at once; the items do not have them."""
+    stages, scanned = Stages(spark), files_of(spark).withColumn("told", F.lit(0.25))
+    scores = lambda rows: stages.scores(rows).join(rows.select("path", "told"), "path").withColumn("scene_conf", F.col("told")).drop("told")
+    for ledger in (None, Ledger(spark, f"file://{tmp_path}/l", SIG, ROOT, batch_rows=3)):
+        out = collection.refreshed(scanned, None, stages.features, scores, SIG, ROOT, ledger, carried=("told",))
+        assert "told" not in out.columns and {r["scene_conf"] for r in out.collect()} == {0.25} and out.count() == 8
+
+
 def test_unfinished_work_of_other_models_does_not_count(spark, tmp_path):
     stages, target = Stages(spark), Snapshots(spark, f"file://{tmp_path}/items")
     with pytest.raises(Exception, match="batch 2"):

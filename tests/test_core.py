@@ -336,7 +336,7 @@ def test_one_pass_over_the_text_equals_columns(spark, tmp_path):
 
     texts = [None, "", " \t", "Straße ÉÉ  x9\x0b!!\r\nx9 ", "日本 語, a-b\x1cB", "..."] + [f"{i} words of {i * 7} 'x' {'y ' * i}" for i in range(20)]
     spark.createDataFrame([(i, t, "web") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    made = queries.text_metrics_and_fp(spark, str(tmp_path))
+    made = queries.text_metrics_and_fp(queries.documents(spark, str(tmp_path)))
     plain = queries.text_metrics(spark, str(tmp_path))
     assert sorted(made.select(plain.columns).collect()) == sorted(plain.collect())
     fps = similarity.simhash(spark.read.parquet(f"{tmp_path}/documents.parquet"), "doc_id", queries.words(F.col("text")))
