@@ -343,6 +343,17 @@ def test_one_pass_over_the_text_equals_columns(spark, tmp_path):
     assert sorted(made.select("doc_id", F.coalesce("fp", F.lit(0))).collect()) == sorted(fps.select("doc_id", F.coalesce("fp", F.lit(0))).collect())
 
 
+def test_what_a_run_has_stored_reads_the_text_once(spark, monkeypatch):
+    from assetloom import queries, session
+
+    opened, sf = [], "/root/testdata/sf0.001"
+    monkeypatch.setattr(queries, "table", lambda s, d, name: opened.append(name) or session.table(s, d, name))
+    session.clear_shared(spark)
+    stored = queries.stored_items(spark, sf)
+    assert opened.count("documents") == 1 and stored.count() == spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 5 <> 0").count()
+    session.clear_shared(spark)
+
+
 def test_judging_by_top_members_equals_whole_ranks(spark):
     """A group with most of all rows, ties, and groups without clean members."""
     from assetloom.operators import verdict
