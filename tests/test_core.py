@@ -17,6 +17,7 @@ from assetloom.functions import exprs as X
 from assetloom.operators import decisions, features, incremental, similarity, views
 from assetloom.operators.components import changed_edges, connected_components, update_components
 from assetloom.operators.places import placed, ranged
+from assetloom.session import cut
 from assetloom.sources import files
 
 
@@ -481,3 +482,23 @@ def test_fingerprints_that_no_pick_is_close_to_are_linked(spark, monkeypatch):
     want = named(similarity.hamming_pairs(rows, "path", 4))
     assert similarity._picked(rows.select("fp"), 4).count() == len(fps) == len(want)
     assert named(similarity.hamming_links(rows, "path", 4)) == want
+
+
+def test_fingerprints_travel_as_arrays(spark, monkeypatch):
+    """A batch sends a deal one row, however many of its fingerprints go there; of a pair's two ways one is compared."""
+    sent = []
+    dealt = similarity._dealt
+
+    def watched(*args):
+        sent.append(cut(dealt(*args)))
+        return sent[-1]
+
+    monkeypatch.setattr(similarity, "_dealt", watched)
+    rng = random.Random(80)
+    fps = [rng.getrandbits(64) - (1 << 63) for _ in range(4000)]
+    rows = spark.createDataFrame([(f"p{i:04}", x) for i, x in enumerate(fps)], "path string, fp long").coalesce(1)
+    similarity.hamming_pairs(rows, "path", 12).collect()
+    queries, leads = sent
+    n = [df.agg(F.sum(F.size(c))).first()[0] for df, c in ((queries, "fp"), (leads, "lead"))]
+    assert n[1] == 4 * 4000 and 3.5 * n[1] < n[0] < 4.5 * n[1]  # 7 of 8 deals are close to one; half of these, and its own
+    assert queries.count() <= 2 * 32 and leads.count() <= 2 * 32
