@@ -502,3 +502,25 @@ def test_fingerprints_travel_as_arrays(spark, monkeypatch):
     n = [df.agg(F.sum(F.size(c))).first()[0] for df, c in ((queries, "fp"), (leads, "lead"))]
     assert n[1] == 4 * 4000 and 3.5 * n[1] < n[0] < 4.5 * n[1]  # 7 of 8 deals are close to one; half of these, and its own
     assert queries.count() <= 2 * 32 and leads.count() <= 2 * 32
+
+
+def test_picks_are_met_by_arrays(spark):
+    """What a fingerprint meets is as by a plain search of all picks, and no row is made for each value near its bands."""
+    rng = random.Random(81)
+    fps = [rng.getrandbits(64) - (1 << 63) for _ in range(300)] + [-1, 0, -(1 << 63)]
+    fps += [x ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) ^ 7 * k << 40 for x in fps for k in range(3)]
+    df = spark.createDataFrame([(x,) for x in set(fps)], "fp long")
+    picked = similarity._picked(df, 12)
+    assert "Join" not in picked._jdf.queryExecution().toString()
+    hashed = {r["fp"]: tuple(r)[1:] for r in df.select("fp", F.xxhash64(F.lit(-1), "fp"), *(F.xxhash64(F.lit(j), "fp") for j in range(similarity.PICKS))).collect()}
+    band = lambda x, b: x >> 16 * b & 0xFFFF
+    holds = {}
+    for x in hashed:
+        for b in range(4):
+            holds.setdefault((b, band(x, b)), []).append(x)
+    picks = {(at, min(xs, key=lambda x: hashed[x][1 + j])) for at, xs in holds.items() for j in range(similarity.PICKS)}
+    for r in picked.collect():
+        x = r["fp"]
+        near = sorted((hashed[p][0], p, ((x ^ p) & (1 << 64) - 1).bit_count()) for p in {p for (b, v), p in picks if (v ^ band(x, b)).bit_count() <= 2})
+        for name, most in (("lead", 5), ("reach", 11)):
+            assert r[name] == next((p for _, p, d in near if d <= most), x)
