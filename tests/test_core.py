@@ -524,3 +524,16 @@ def test_picks_are_met_by_arrays(spark):
         near = sorted((hashed[p][0], p, ((x ^ p) & (1 << 64) - 1).bit_count()) for p in {p for (b, v), p in picks if (v ^ band(x, b)).bit_count() <= 2})
         for name, most in (("lead", 5), ("reach", 11)):
             assert r[name] == next((p for _, p, d in near if d <= most), x)
+
+
+def test_pairs_make_each_fingerprint_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def make(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(f"p{i:03}", i // 2 << 8) for i in range(200)], "path string, fp long").mapInArrow(make, "path string, fp long")
+    assert similarity.hamming_pairs(rows, "path", 1).where("dist = 0").count() == 100
+    assert made.value == 200
