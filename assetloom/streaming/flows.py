@@ -52,23 +52,30 @@ def online_bursts(events: DataFrame, gap_us: int, late: str, by: list[str] | Non
 
 
 class ItemSessions(StatefulProcessor):
-    """Keyed: the items of sessions that are still open. Sends each item with its session's first time, and again when a late item changes that."""
+    """Keyed: the items of sessions that are still open; of one key, or of all keys (column `by`) that share a state. Sends each item with its session's first time, and again when a late item changes that."""
 
-    def __init__(self, gap_us: int, id: str, us: str):
-        self.gap, self.id, self.us = gap_us, id, us
+    def __init__(self, gap_us: int, id: str, us: str, by: str | None = None):
+        self.gap, self.id, self.us, self.by = gap_us, id, us, by
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "at array<bigint>, id array<bigint>, first array<bigint>")
+        # 64-bit integers as bytes, by key and time; n: items of each key
+        self.open = handle.getValueState("open", "keys array<string>, n binary, at binary, id binary, first binary")
 
-    def _ends(self, at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _kept(self) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, and of each item that is kept its key's place, time, id and session's first time."""
+        keys, *parts = self.open.get() if self.open.exists() else ([], b"", b"", b"", b"")
+        n, at, ids, first = (np.frombuffer(x, np.int64) for x in parts)
+        return list(keys), np.repeat(np.arange(len(keys)), n), at, ids, first
+
+    def _ends(self, key: np.ndarray, at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the last item of each session, and the milliseconds at which they close."""
-        ends = np.flatnonzero(np.diff(first, append=first[-1] + 1))
+        ends = np.flatnonzero(np.append((np.diff(key) != 0) | (np.diff(first) != 0), True)) if len(at) else np.zeros(0, np.int64)
         return ends, -(-(at[ends] + self.gap) // 1000)
 
-    def _keep(self, at: np.ndarray, ids: np.ndarray, first: np.ndarray, watermark_ms: int, timer: int | None) -> None:
+    def _keep(self, keys: list, key: np.ndarray, at: np.ndarray, ids: np.ndarray, first: np.ndarray, watermark_ms: int, timer: int | None) -> None:
         """Keep what later items can still join, and wake up when the first of it is closed; `timer` is the one that is set."""
-        ends, close = self._ends(at, first) if len(at) else (np.zeros(0, np.int64),) * 2
+        ends, close = self._ends(key, at, first)
         open_ = close > watermark_ms
         wake = int(close[open_].min()) if open_.any() else None
         if timer != wake:
@@ -79,40 +86,54 @@ class ItemSessions(StatefulProcessor):
         if wake is None:
             self.open.clear()
         else:
-            alive = slice(None) if open_.all() else np.isin(first, first[ends[open_]])
-            self.open.update((at[alive].tolist(), ids[alive].tolist(), first[alive].tolist()))
+            alive = np.repeat(open_, np.diff(ends, prepend=-1))
+            n = np.bincount(key[alive], minlength=len(keys))
+            some = np.flatnonzero(n)
+            self.open.update(([keys[i] for i in some], *(x.astype(np.int64).tobytes() for x in (n[some], at[alive], ids[alive], first[alive]))))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows))
-        at, ids, told = (np.array(x, np.int64) for x in self.open.get()) if self.open.exists() else (np.zeros(0, np.int64),) * 3
+        keys, of, at, ids, told = self._kept()
         known = len(at)
-        timer = int(self._ends(at, told)[1].min()) if known else None  # as set when this was kept
+        timer = int(self._ends(of, at, told)[1].min()) if known else None  # as set when this was kept
+        new_keys = pdf[self.by].to_numpy(object) if self.by else np.full(len(pdf), key[0], object)
+        place, distinct = pd.factorize(np.concatenate([np.array(keys, object), new_keys]), use_na_sentinel=False)
+        of = np.concatenate([of, place[len(keys) :]])  # those that are known come first, in their order
+        keys = [None if pd.isna(k) else str(k) for k in distinct]
         at, ids = np.concatenate([at, pdf[self.us].to_numpy(np.int64)]), np.concatenate([ids, pdf[self.id].to_numpy(np.int64)])
         told = np.concatenate([told, np.zeros(len(pdf), np.int64)])
         new = np.arange(len(at)) >= known
-        order = np.lexsort((ids, at))
-        at, ids, told, new = at[order], ids[order], told[order], new[order]
-        starts = np.concatenate([[True], np.diff(at) >= self.gap])
+        order = np.lexsort((ids, at, of))
+        of, at, ids, told, new = of[order], at[order], ids[order], told[order], new[order]
+        starts = np.append(True, (np.diff(of) != 0) | (np.diff(at) >= self.gap))
         first = at[starts][np.cumsum(starts) - 1]
         send = new | (first != told)
-        yield pd.DataFrame({"key": str(key[0]), "id": ids[send], "at": at[send], "session_start": first[send], "correction": ~new[send]})
-        self._keep(at, ids, first, timerValues.getCurrentWatermarkInMs(), timer)
+        yield pd.DataFrame({"key": np.array(keys, object)[of[send]], "id": ids[send], "at": at[send], "session_start": first[send], "correction": ~new[send]})
+        self._keep(keys, of, at, ids, first, timerValues.getCurrentWatermarkInMs(), timer)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.open.exists():
-            self._keep(*(np.array(x, np.int64) for x in self.open.get()), timerValues.getCurrentWatermarkInMs(), None)  # the one that was set is spent
+            self._keep(*self._kept(), timerValues.getCurrentWatermarkInMs(), None)  # the one that was set is spent
         yield pd.DataFrame({"key": pd.Series(dtype=str), "id": pd.Series(dtype="int64"), "at": pd.Series(dtype="int64"), "session_start": pd.Series(dtype="int64"), "correction": pd.Series(dtype=bool)})
 
 
-def item_sessions(events: DataFrame, gap_us: int, late: str, by: str, id: str, ts: str = "ts") -> DataFrame:
+#: Keys are dealt to so many states by their hash: a call and an update serve all keys of one.
+SHARED_STATES = 1024
+
+
+def item_sessions(events: DataFrame, gap_us: int, late: str, by: str, id: str, ts: str = "ts", states: int = SHARED_STATES) -> DataFrame:
     """`(key, id, at, session_start, correction)` of a stream: each item as it comes, with the first time (microseconds) of
     its burst, whose neighbours are less than the gap apart; once more, as a correction, whenever a late item joins two
     bursts or begins one earlier. Each item's last row is what `sessions` gives for all. Items later than `late` are
     dropped, and a burst is forgotten when the watermark is past its gap. Append mode, with RocksDB (`rocksdb_state`).
+
+    Keys share `states` states, each read and written as a whole by a batch that has items of any of its keys: more of
+    them suit a stream of small batches over much open state. A checkpoint belongs to one number of states.
     """
     ready(events.sparkSession)
     rows = events.withWatermark(ts, late).where(F.col(ts).isNotNull()).select(F.col(by).cast("string").alias("key"), F.col(id).cast("long").alias("id"), F.col(ts), F.unix_micros(ts).alias("us"))
-    return rows.groupBy("key").transformWithStateInPandas(ItemSessions(gap_us, "id", "us"), "key string, id bigint, at bigint, session_start bigint, correction boolean", "append", "eventTime")
+    shared = rows.withColumn("state", F.pmod(F.xxhash64("key"), F.lit(states)))
+    return shared.groupBy("state").transformWithStateInPandas(ItemSessions(gap_us, "id", "us", "key"), "key string, id bigint, at bigint, session_start bigint, correction boolean", "append", "eventTime")
 
 
 def decision_stream(log: DataFrame) -> DataFrame:

@@ -218,3 +218,58 @@ def test_item_sessions_set_a_timer_only_when_it_changes():
     out = send([5_900_000, 4_500_000])
     assert out["session_start"].tolist() == [4_500_000] * 3 and out["correction"].tolist() == [False, True, False]
     assert calls[1:] == [("deleteTimer", 6000), ("registerTimer", 6900)]
+
+
+def test_keys_share_states_of_sessions(spark, tmp_path, rocksdb):
+    """Three thousand keys, one of them null and one named None, have their own sessions in at most 1024 states."""
+    rng = random.Random(45)
+    gap, keys = 1_000_000, [None, "None", "", *map(str, range(3000))]
+    rows = [(rng.randrange(4_000_000), k, 0) for k in keys for _ in range(2)] + [(rng.randrange(4_000_000), rng.choice(keys[:5]), 0) for _ in range(60)]
+    rng.shuffle(rows)
+    rows = [(us, k, i) for i, (us, k, _) in enumerate(rows)]
+    events = _batches(spark, tmp_path, rows, "us long, who string, id long", 2).select(F.timestamp_micros("us").alias("ts"), "who", "id")
+    seen = []
+    query = flows.item_sessions(events, gap, "1 hour", "who", "id").writeStream.foreachBatch(lambda b, n: seen.extend((n, r) for r in b.collect())).outputMode("append").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
+    query.awaitTermination()
+    want, first, last = {}, {}, {}
+    for us, k, i in sorted(rows, key=lambda r: (r[0], r[2])):
+        if k not in last or us - last[k] >= gap:
+            first[k] = us
+        last[k], want[i] = us, (k, first[k])
+    assert {r["id"]: (r["key"], r["session_start"]) for _, r in sorted(seen, key=lambda x: x[0])} == want
+    states = [p["stateOperators"] for p in query.recentProgress if p["stateOperators"]]
+    assert sum(o["numRowsTotal"] for o in states[-1]) <= 1024
+
+
+def test_a_shared_state_forgets_closed_sessions_of_each_key():
+    import pandas as pd
+
+    state, timers = _State(), []
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return state
+
+        def registerTimer(self, ms):
+            timers.append(ms)
+
+        def deleteTimer(self, ms):
+            timers.remove(ms)
+
+    class Now:
+        ms = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    now, sessions = Now(), flows.ItemSessions(1_000_000, "id", "us", "key")
+    sessions.init(Handle())
+    send = lambda rows: pd.concat(list(sessions.handleInputRows((7,), iter([pd.DataFrame(rows, columns=["key", "us", "id"])]), now))).values.tolist()
+    assert [r[0] for r in send([("a", 5_000_000, 1), (None, 5_000_000, 2), ("b", 9_000_000, 3), ("a", 9_500_000, 4)])] == ["a", "a", None, "b"]
+    assert timers == [6000]
+    now.ms = timers.pop()
+    list(sessions.handleExpiredTimer((7,), now, None))
+    keys, of, at, ids, first = sessions._kept()
+    assert (keys, of.tolist(), at.tolist(), ids.tolist()) == (["a", "b"], [0, 1], [9_500_000, 9_000_000], [4, 3]) and timers == [10_000]
+    assert send([("b", 8_900_000, 5), ("c", 9_000_000, 6)]) == [["b", 5, 8_900_000, 8_900_000, False], ["b", 3, 9_000_000, 8_900_000, True], ["c", 6, 9_000_000, 9_000_000, False]]
+    assert timers == [10_000]
