@@ -5,7 +5,8 @@ fixed token order (prefix filter), so sets meet in groups: all sets that share s
 under the least of them, their hub. In each group a signature tree holds OR-combined token bitmaps and size ranges; a
 traversal of the tree against itself prunes node pairs whose largest possible overlap is too small. That is done twice:
 over bitmaps alone, so that sets without a possible partner never travel, then over the sets that are left, where pairs
-that reach the leaves are compared exactly.
+that reach the leaves are compared exactly. Tokens that many sets hold come last in the order, so that passages which sets
+have in common, be they spread thinly, do not make them meet.
 """
 
 from __future__ import annotations
@@ -24,8 +25,11 @@ from assetloom.session import CUTS, cut, drop_cuts, ready
 
 #: Tokens and sets that one task compares at once; larger groups are dealt out in blocks.
 GROUP_TOKENS, GROUP_SETS = 1 << 21, 4096
-#: Common tokens that sets order last. It only steers which tokens sets meet by; any choice gives the same links.
-COMMON, COMMON_FROM = 100_000, 32
+#: A bitmap takes a sixteenth of its tokens' bytes at most, so one task has so many times the tokens by bitmaps.
+BY_MAPS = 16
+#: Common tokens that sets order last, and tokens that are counted at once to find them. It only steers which tokens sets
+#: meet by; any choice gives the same links.
+COMMON, COMMON_FROM, COUNTED, COUNTED_FROM = 100_000, 32, 1 << 22, 3
 _FAN = 8
 
 
@@ -96,8 +100,9 @@ class SignatureTree:
         most = np.minimum(np.bitwise_count(m[x] & m[y]).sum(1) + np.minimum(slack[x], slack[y]), np.minimum(hi[x], hi[y]))
         return (most * (100 + percent) >= percent * (lo[x] + lo[y])) & (100 * hi[x] >= percent * lo[y]) & (100 * hi[y] >= percent * lo[x])
 
-    def pairs(self, percent: int, at_once: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Batches of pairs i < j of sets that the bounds cannot rule out."""
+    def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Batches of pairs i < j of sets that the bounds cannot rule out. At most 8 MB of bitmaps are looked at together."""
+        at_once = min(1 << 16, max(_FAN * _FAN, (1 << 20) // self.levels[0][0].shape[1]))
         todo = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         child = np.arange(_FAN)
         while todo:
@@ -136,6 +141,19 @@ def may_connect(maps: list[bytes], size: np.ndarray, percent: int) -> np.ndarray
     return out
 
 
+def may_link_parts(maps: list[bytes], size: np.ndarray, part: np.ndarray, percent: int) -> np.ndarray:
+    """Whether each set is of a pair within the bounds whose sets have different parts."""
+    m = folded(maps)
+    order = np.lexsort((size, m[:, 0]))
+    part, found = part[order], np.zeros(len(size), bool)
+    for x, y in SignatureTree(m[order], size[order]).pairs(percent):
+        keep = part[x] != part[y]
+        found[x[keep]] = found[y[keep]] = True
+    out = np.empty(len(size), bool)
+    out[order] = found
+    return out
+
+
 def links(node: np.ndarray, tokens: list[np.ndarray], percent: int, part: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that join all sets of this group that are connected within it; sets of the same `part` count as joined already."""
     size = np.array([len(t) for t in tokens])
@@ -162,29 +180,47 @@ def links(node: np.ndarray, tokens: list[np.ndarray], percent: int, part: np.nda
 
 
 def _scan(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of two kinds: `(doc_id, n, k1, k2, map)` of each text, and `(token in k1, n)` of tokens that are common in a block of texts."""
+    """Rows of two kinds: `(doc_id, n, k1, k2, map)` of each text, and `(token in k1, n)` of tokens that come a few times among those counted at once."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "n", "k1", "k2", "common", "map"]
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        t = np.concatenate(held)
+        held.clear()
+        t.sort()
+        first = np.flatnonzero(np.append(len(t) > 0, t[1:] != t[:-1]))
+        n = np.diff(first, append=len(t))
+        keep = n >= COUNTED_FROM
+        t, n = t[first[keep]].view(np.int64), n[keep]
+        none = pa.nulls(len(t))
+        return pa.RecordBatch.from_arrays([none.cast(pa.int64()), pa.array(n), pa.array(t), pa.array(np.zeros(len(t), np.int64)), pa.array(np.ones(len(t), bool)), none.cast(pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # tokens of sets not seen since the last count
+        seen = np.zeros(0, np.int64)
         for batch in batches:
             for lo, hi, data, at in tx.text_blocks(batch, most=2 << 20):
                 tokens, edges = shingle_sets(data, at, k)
                 k1, k2 = set_keys(tokens, edges)
                 size = np.diff(edges)
+                maps = pa.array(bitmaps(tokens, edges), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), *map(pa.array, (size, k1, k2, np.zeros(len(size), bool))), maps], names)
                 fresh = np.zeros(len(size), bool)
                 fresh[np.unique(k1, return_index=True)[1]] = True
-                t, n = np.unique(tokens[np.repeat(fresh, size)], return_counts=True)
-                t, n = t[n >= 4], n[n >= 4]
-                ids = pa.concat_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.nulls(len(t), batch.column("doc_id").type)])
-                cols = [np.concatenate(x) for x in ((size, n), (k1, t.view(np.int64)), (k2, np.zeros(len(t), np.int64)), (np.zeros(len(size), bool), np.ones(len(t), bool)))]
-                maps = pa.array(bitmaps(tokens, edges) + [None] * len(t), pa.binary())
-                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, cols), maps], ["doc_id", "n", "k1", "k2", "common", "map"])
+                fresh &= ~np.isin(k1, seen)
+                seen = np.concatenate([seen, k1[fresh]])
+                held.append(tokens[np.repeat(fresh, size)])
+                if sum(map(len, held)) >= COUNTED:
+                    yield counted(held)
+                    seen = seen[:0]
+        if held:
+            yield counted(held)
 
     return docs.mapInArrow(run, f"doc_id {kind}, n long, k1 long, k2 long, common boolean, map binary")
 
 
-def _prefixes(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame:
-    """`(token, k1)`: the tokens by which each set meets others, common ones last in the order."""
+def _prefixes(docs: DataFrame, k: int, percent: int, common: np.ndarray, much: np.ndarray) -> DataFrame:
+    """`(token, k1)`: the tokens by which each set meets others, `common` ones last in the order, by how `much` they are so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +230,8 @@ def _prefixes(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> Data
                 size = np.diff(edges)
                 own = np.repeat(np.arange(len(size)), size)
                 place = np.searchsorted(common, tokens)
-                last = common[np.minimum(place, len(common) - 1)] == tokens if len(common) else np.zeros(len(tokens), bool)
+                place = np.minimum(place, len(common) - 1)
+                last = np.where(common[place] == tokens, much[place], 0) if len(common) else np.zeros(len(tokens), np.int64)
                 order = np.lexsort((tokens, last, own))
                 rank = np.arange(len(own)) - np.repeat(edges[:-1], size)
                 fresh = np.zeros(len(size), bool)
@@ -205,15 +242,15 @@ def _prefixes(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> Data
     return docs.mapInArrow(run, "token long, k1 long")
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """How many tasks share each group."""
-    return cut(members.groupBy("hub", "klass").agg(F.greatest(F.ceil(F.sum("n") / GROUP_TOKENS), F.ceil(F.count("*") / GROUP_SETS)).cast("long").alias("blocks")))
+def _blocks(members: DataFrame, times: int = 1) -> DataFrame:
+    """How many tasks share each group; `times` as many tokens as else are one task's."""
+    return cut(members.groupBy("hub", "klass").agg(F.greatest(F.ceil(F.sum("n") / (times * GROUP_TOKENS)), F.ceil(F.count("*") / GROUP_SETS)).cast("long").alias("blocks")))
 
 
 def _refined(members: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """Groups without the sets that the trees of bitmaps rule out, taken apart where no pair within the bounds connects
-    the parts; a part is named by its least set, so equal parts of several groups become one. Groups of more than one
-    task stay as they are."""
+    the parts; a part is named by its least set, so equal parts of several groups become one. Groups whose bitmaps are more
+    than one task's stay as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in tx.sorted_groups(batches, ["hub", "klass"]):
@@ -227,7 +264,7 @@ def _refined(members: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(least[label][keep]), pa.array(g.column("klass").to_numpy()[keep]), pa.array(node[keep]), pa.array(n[keep])], ["hub", "klass", "node", "n"])
 
-    dealt = _blocks(members)
+    dealt = _blocks(members, BY_MAPS)
     small = members.join(dealt.where("blocks = 1").select("hub", "klass"), ["hub", "klass"]).join(maps, "node")
     parts = small.select("hub", "klass", "node", "n", "map").repartition("hub", "klass").sortWithinPartitions("hub", "klass").mapInArrow(run, "hub long, klass int, node long, n long")
     return cut(parts.unionByName(members.join(dealt.where("blocks > 1").select("hub", "klass"), ["hub", "klass"])).distinct())
@@ -284,8 +321,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id: s
     docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     scan = cut(_scan(docs, words))
     rows = scan.where("not common").select("doc_id", "n", "k1", "k2", "map")
-    hot = scan.where("common").groupBy("k1").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_FROM).orderBy(F.desc("n"), "k1").limit(COMMON).select("k1")
-    common = np.sort(hot.toArrow().column("k1").to_numpy().view(np.uint64))
+    hot = scan.where("common").groupBy("k1").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_FROM).orderBy(F.desc("n"), "k1").limit(COMMON).toArrow()
+    common, much = hot.column("k1").to_numpy().view(np.uint64), np.frexp(hot.column("n").to_numpy())[1]
+    order = np.argsort(common)
+    common, much = common[order], much[order]
 
     sets = cut(rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node")))
     kept = CUTS[mark:]  # what the result reads; other tables go as soon as none needs them
@@ -293,7 +332,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id: s
     def only(*also: str) -> None:
         drop_cuts(spark, [p for p in CUTS[mark:] if p not in kept and p not in also])
 
-    meet = cut(_prefixes(docs, words, percent, common))
+    meet = cut(_prefixes(docs, words, percent, common, much))
     # aggregates are cut before they are joined back, so that Spark may split a hot key's rows in the join
     shared = cut(meet.groupBy("token").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("token"))
     klass = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * 1.001)).cast("int") if percent < 100 else F.col("n").cast("int")
@@ -303,7 +342,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id: s
     hubs = cut(met.groupBy("token", "klass").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("token", "klass", "hub"))
     members = cut(met.join(hubs, ["token", "klass"]).select("hub", "klass", "node", "n").distinct())
     only(CUTS[-1])
-    members = _refined(members, rows.where("n > 0").select(F.col("doc_id").alias("node"), "map"), percent)
+    maps = rows.where("n > 0").select(F.col("doc_id").alias("node"), "map")
+    members = _refined(members, maps, percent)
     only(CUTS[-1])
     dealt = _blocks(members)
     own_block = F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blocks"))))
@@ -311,27 +351,41 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id: s
     found = cut(_groups(docs, tasks, words, percent).distinct())
     large = cut(dealt.where("blocks > 1"))
     if large.limit(1).count():
-        found = found.unionByName(_across_blocks(docs, members, large, found, words, percent))
+        found = found.unionByName(_across_blocks(docs, maps, members, large, found, words, percent))
     parts = cut(connected_components(found))
     only(CUTS[-1])
     named = sets.join(parts, sets["node"] == parts["node"], "left").select("k1", "k2", "n", F.coalesce("component", sets["node"]).alias("component"))
     return rows.drop("map").join(named, ["k1", "k2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _across_blocks(docs: DataFrame, members: DataFrame, large: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between blocks of large groups. Most sets of such a group are one component by now; each set outside its
-    largest component is compared with all sets of the group, in blocks."""
-    parts = connected_components(found)
-    m = members.join(large.select("hub", "klass"), ["hub", "klass"]).join(parts, "node", "left").select("hub", "klass", "node", "n", F.coalesce("component", "node").alias("part"))
-    m = cut(m)
-    main = m.groupBy("hub", "klass", "part").agg(F.count("*").alias("c")).groupBy("hub", "klass").agg(F.max_by("part", F.struct("c", "part")).alias("main"))
-    m = cut(m.join(main, ["hub", "klass"]).withColumn("rest", F.col("part") != F.col("main")))
-    half = lambda cond: F.greatest(F.lit(1), F.ceil(2 * F.sum(F.when(cond, F.col("n")).otherwise(0)) / GROUP_TOKENS), F.ceil(2 * F.count_if(cond) / GROUP_SETS)).cast("long")
+def _grid(m: DataFrame, times: int = 1) -> DataFrame:
+    """Rows of `m` for each task of their group's grid, in which each `rest` set meets all sets of the group."""
+    half = lambda cond: F.greatest(F.lit(1), F.ceil(2 * F.sum(F.when(cond, F.col("n")).otherwise(0)) / (times * GROUP_TOKENS)), F.ceil(2 * F.count_if(cond) / GROUP_SETS)).cast("long")
     grid = m.groupBy("hub", "klass").agg(half(F.col("rest")).alias("i_n"), half(F.lit(True)).alias("j_n"), F.count_if("rest").alias("rests")).where("rests > 0")
     m = m.join(grid, ["hub", "klass"])
     spread = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), n)
     to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     as_rest = m.where("rest").withColumn("i", spread(F.col("i_n"))).withColumn("j", to("j_n"))
     as_any = m.withColumn("j", spread(F.col("j_n"))).withColumn("i", to("i_n"))
-    tasks = as_rest.unionByName(as_any).select("hub", "klass", (F.col("i") * F.col("j_n") + F.col("j")).alias("block"), "node", "part").distinct()
-    return cut(_groups(docs, tasks, words, percent).distinct())
+    return as_rest.unionByName(as_any).select("hub", "klass", (F.col("i") * F.col("j_n") + F.col("j")).alias("block"), "node", "n", "part", "rest").distinct()
+
+
+def _across_blocks(docs: DataFrame, maps: DataFrame, members: DataFrame, large: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between blocks of large groups. Most sets of such a group are one component by now; each set outside its
+    largest component is compared with all sets of the group, in blocks: first by bitmaps, then those that are left by tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in tx.sorted_groups(batches, ["hub", "klass", "block"]):
+            keep = may_link_parts(g.column("map").to_pylist(), g.column("n").to_numpy(), g.column("part").to_numpy(), percent)
+            if keep.any():
+                yield from g.filter(pa.array(keep)).select(["hub", "klass", "node", "n", "part", "rest"]).combine_chunks().to_batches()
+
+    parts = connected_components(found)
+    m = members.join(large.select("hub", "klass"), ["hub", "klass"]).join(parts, "node", "left").select("hub", "klass", "node", "n", F.coalesce("component", "node").alias("part"))
+    m = cut(m)
+    main = m.groupBy("hub", "klass", "part").agg(F.count("*").alias("c")).groupBy("hub", "klass").agg(F.max_by("part", F.struct("c", "part")).alias("main"))
+    m = cut(m.join(main, ["hub", "klass"]).withColumn("rest", F.col("part") != F.col("main")))
+    near = _grid(m, BY_MAPS).join(maps, "node").select("hub", "klass", "block", "node", "n", "part", "rest", "map")
+    near = near.repartition("hub", "klass", "block").sortWithinPartitions("hub", "klass", "block")
+    m = cut(near.mapInArrow(run, "hub long, klass int, node long, n long, part long, rest boolean").distinct())
+    return cut(_groups(docs, _grid(m).drop("n", "rest"), words, percent).distinct())
